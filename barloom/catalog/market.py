@@ -135,8 +135,8 @@ def min_bars(spark, d):
     "chart_stats",
     with_sql(SQL_DAILY)
     + """
-SELECT symbol, ts, round(close - lag(close) OVER w, 6) AS change,
-       round((close - lag(close) OVER w) / lag(close) OVER w * 100, 6) AS change_pct,
+SELECT symbol, ts, close - lag(close) OVER w AS change,
+       (close - lag(close) OVER w) / lag(close) OVER w * 100 AS change_pct,
        round(lo - pad, 2) AS y_min, round(hi + pad, 2) AS y_max
 FROM daily JOIN (
   SELECT symbol, min(low) AS lo, max(high) AS hi,
@@ -153,8 +153,8 @@ def chart_stats(spark, d):
     return daily_indexed(spark, d).select(
         "symbol",
         "ts",
-        F.round(F.col("close") - prev, 6).alias("change"),
-        F.round((F.col("close") - prev) / prev * 100, 6).alias("change_pct"),
+        (F.col("close") - prev).alias("change"),
+        ((F.col("close") - prev) / prev * 100).alias("change_pct"),
         F.round(low - pad, 2).alias("y_min"),
         F.round(high + pad, 2).alias("y_max"),
     )

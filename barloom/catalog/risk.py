@@ -168,6 +168,7 @@ def risk_monitor(spark, d):
     "backtest_ls",
     with_sql(
         SQL_DAILY,
+        sql_momentum("daily", 5, 20),
         """
 sers AS (SELECT symbol, list(ts ORDER BY idx) AS tss, list(open ORDER BY idx) AS os,
          list(close ORDER BY idx) AS cs, list(signal ORDER BY idx) AS sl, count(*) AS n
@@ -187,7 +188,7 @@ run0 AS (
          WHEN i + 1 < n AND pos = -1 AND sl[i + 1] = 1
          THEN 0.999 * (1 - os[i + 2] / ep) - 0.001 - 0.999 * 0.001 * os[i + 2] / ep END
   FROM run0 WHERE i < n)""",
-    ).replace("\nsers AS", sql_momentum("daily", 5, 20) + ",\nsers AS")
+    )
     + """
 SELECT symbol, tss[i] AS ts, pos, round(CASE pos WHEN 1 THEN cash * 0.999 * cs[i] / ep
        WHEN -1 THEN cash * (1 + 0.999 * (1 - cs[i] / ep) - 0.001) ELSE cash END, 3) AS equity,

@@ -39,11 +39,11 @@ SQL_EMA = SQL_DAILY + "," + sql_walk("", *sql_ema_steps(12, 26))
 @query(
     "ema",
     with_sql(SQL_EMA)
-    + """SELECT symbol, tss[i] AS ts, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26 FROM walk""",
+    + """SELECT symbol, tss[i] AS ts, round(e12, 4) AS ema_12, round(e26, 4) AS ema_26 FROM walk""",
 )
 def ema(spark, d):
     out = recurrence.ema(daily_indexed(spark, d), {"ema_12": 12, "ema_26": 26})
-    return out.select("symbol", "ts", r("ema_12"), r("ema_26"))
+    return out.select("symbol", "ts", r("ema_12", 4), r("ema_26", 4))
 
 
 SQL_MACD = (
@@ -67,12 +67,13 @@ macd AS (
 @query(
     "macd",
     with_sql(SQL_MACD)
-    + """SELECT symbol, ts, round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal,
-       round(hist, 6) AS hist FROM macd""",
+    + """SELECT symbol, ts, round(macd, 4) + 0.0 AS macd, round(macd_signal, 4) + 0.0 AS macd_signal,
+       round(hist, 4) + 0.0 AS hist FROM macd""",
 )
 def macd(spark, d):
     out = recurrence.macd(daily_indexed(spark, d))
-    return out.select("symbol", "ts", r("macd"), r("macd_signal"), r("hist"))
+    lines = [(F.round(c, 4) + 0.0).alias(c) for c in ("macd", "macd_signal", "hist")]
+    return out.select("symbol", "ts", *lines)
 
 
 def sql_rsi(period: int = 14) -> str:
@@ -105,9 +106,9 @@ rsi AS (
 SQL_RSI = sql_rsi()
 
 
-@query("rsi", with_sql(SQL_RSI) + "SELECT symbol, ts, round(rsi, 6) AS rsi FROM rsi")
+@query("rsi", with_sql(SQL_RSI) + "SELECT symbol, ts, round(rsi, 4) AS rsi FROM rsi")
 def rsi(spark, d):
-    return recurrence.rsi(daily_indexed(spark, d)).select("symbol", "ts", r("rsi"))
+    return recurrence.rsi(daily_indexed(spark, d)).select("symbol", "ts", r("rsi", 4))
 
 
 @query(

@@ -176,8 +176,8 @@ def sql_backtest(source: str, keys: str = "symbol", out: str = "sim") -> str:
 {out}_g AS (
   SELECT *, CASE WHEN pos THEN cash * 0.999 * close / ep ELSE cash END AS equity FROM {out}_f),
 {out}_h AS (
-  SELECT *, (equity - lag(equity) OVER {w}) /
-            CASE WHEN lag(equity) OVER {w} > 0 THEN lag(equity) OVER {w} ELSE 1 END AS ret,
+  SELECT *, round((equity - lag(equity) OVER {w}) /
+            CASE WHEN lag(equity) OVER {w} > 0 THEN lag(equity) OVER {w} ELSE 1 END, 12) AS ret,
          max(equity) OVER {w} AS peak FROM {out}_g),
 {out} AS (
   SELECT *, CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END AS drawdown

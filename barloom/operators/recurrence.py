@@ -96,6 +96,42 @@ def macd(
     )
 
 
+def macd_lines(
+    df: DataFrame, lines: dict[tuple[int, int, int], str], value="close", layout: Layout = BY_SYMBOL
+) -> DataFrame:
+    """Histograms of many ``(fast, slow, signal)`` settings in one pass.
+
+    Each distinct EMA is computed once and shared by the settings that use it.
+    """
+    spans = sorted({s for fast, slow, _ in lines for s in (fast, slow)})
+    signals = sorted({s for _, _, s in lines})
+    blocks, window = _blocks(
+        df,
+        layout,
+        block_rows(*[alpha_of(s) for s in spans + signals]),
+        max(memory(alpha_of(s)) for s in spans) + max(memory(alpha_of(s)) for s in signals),
+    )
+    off = F.col("_off")
+    d = blocks.withColumns(
+        {
+            f"_ema{s}": smooth(seeded(F.col(value), alpha_of(s)), alpha_of(s), off, window)
+            for s in spans
+        }
+    )
+    pairs = sorted({(fast, slow) for fast, slow, _ in lines})
+    d = d.withColumns({f"_line{a}_{b}": F.col(f"_ema{a}") - F.col(f"_ema{b}") for a, b in pairs})
+    hists = {}
+    for (fast, slow, signal), name in lines.items():
+        line, alpha = F.col(f"_line{fast}_{slow}"), alpha_of(signal)
+        hists[name] = line - smooth(seeded(line, alpha), alpha, off, window)
+    return (
+        d.withColumns(hists)
+        .filter("_own")
+        .drop("_blk", "_own", "_off", *[f"_ema{s}" for s in spans],
+              *[f"_line{a}_{b}" for a, b in pairs])
+    )
+
+
 def rsi(df: DataFrame, period: int = 14, value="close", layout: Layout = BY_SYMBOL) -> DataFrame:
     """Wilder's RSI, NULL before ``period`` changes were seen.
 

@@ -62,7 +62,7 @@ def mean_reversion(
 
 
 def reversion_signals(
-    df: DataFrame, window: int, z_threshold: float, exit_threshold: float, layout: Layout
+    df: DataFrame, window, z_threshold, exit_threshold: float, layout: Layout
 ) -> DataFrame:
     """Position automaton over a ``z`` column, as window functions.
 
@@ -73,16 +73,17 @@ def reversion_signals(
     toggle the state; all others settle it, and the state follows from the last settled
     run and the number of toggles since.
     """
-    if abs(exit_threshold) > z_threshold:
+    if not isinstance(z_threshold, Column) and abs(exit_threshold) > z_threshold:
         raise ValueError("exit_threshold must lie inside the entry thresholds")
     w = Window.partitionBy(*layout.keys).orderBy(INDEX)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    limit = z_threshold if isinstance(z_threshold, Column) else F.lit(z_threshold)
     z = F.when(F.col(INDEX) >= window, F.col("z"))
     d = df.withColumns(
         {
             "_side": F.signum(z - exit_threshold),
-            "_hit": F.coalesce((z < -z_threshold) | (z > z_threshold), F.lit(False)),
+            "_hit": F.coalesce((z < -limit) | (z > limit), F.lit(False)),
         }
     )
     d = d.withColumn("_was", F.last("_side", ignorenulls=True).over(before))

@@ -122,8 +122,10 @@ def run(
     strategy: str = "momentum",
     params: dict | None = None,
     layout: Layout = BY_SYMBOL,
+    rounded: bool = True,
     **config,
 ) -> DataFrame:
     """Indexed bars to one report row per series."""
     d = sig.generate(bars, strategy, params, layout)
-    return report(equity_stats(simulate(d, layout, **config), layout), list(layout.keys))
+    rows = equity_stats(simulate(d, layout, **config), layout)
+    return report(rows, list(layout.keys), rounded)

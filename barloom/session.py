@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,7 @@ def local_session(cores: int = 8, app: str = "barloom", memory: str = "8g") -> S
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
     )
@@ -48,11 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     if root is None:
         if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_dir()
     return root.rstrip("/")
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="barloom-")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import datetime
 import sys
 import time
 
@@ -29,6 +30,8 @@ def connect(root: str) -> duckdb.DuckDBPyConnection:
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if df[c].map(lambda v: type(v) is datetime.date).any():
+            df[c] = pd.to_datetime(df[c])
         if df[c].dtype == object:
             df[c] = df[c].map(
                 lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v))
