@@ -12,5 +12,5 @@ def load() -> None:
         import_module(f"barloom.catalog.{name}")
 
 
-MODULES = ["market", "rolling", "risk", "trend", "jobs"]
+MODULES = ["market", "rolling", "risk", "trend", "jobs", "book", "text"]
 __all__ = ["ORACLES", "QUERIES", "load"]

@@ -72,11 +72,14 @@ def lots(spark: SparkSession, d: str) -> DataFrame:
     """One bought lot per order line."""
     li = table(spark, d, "lineitem")
     part = table(spark, d, "part").select("p_partkey", "p_brand")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
+    )
     return (
         li.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
+            F.col("o_custkey").alias("account"),
             F.col("p_brand").alias("ticker"),
             F.col("l_quantity").alias("shares"),
             index_price().alias("entry_price"),
@@ -134,7 +137,7 @@ hourly AS (
 
 SQL_LOTS = """
 lots AS (
-  SELECT p_brand AS ticker, l_quantity AS shares,
+  SELECT o_custkey AS account, p_brand AS ticker, l_quantity AS shares,
          100 + l_extendedprice / l_quantity / 1000 AS entry_price, o_orderdate AS entry_date,
          CASE WHEN l_returnflag = 'N' THEN '' ELSE o_orderpriority END AS notes,
          (o_orderdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq

@@ -75,3 +75,48 @@ def valid_config(capital: Column, size: Column, stop_loss: Column, commission: C
         & (commission >= 0)
         & (commission < 0.1)
     )
+
+
+def request_reason(ticker: Column, query: Column, start: Column, end: Column) -> Column:
+    """First reason to reject an analysis request, or NULL."""
+    t, q = F.trim(ticker), F.trim(query)
+    a, b = start.try_cast("date"), end.try_cast("date")
+    return (
+        F.when((F.length(ticker) < 1) | (F.length(ticker) > 20), "ticker must have 1-20 characters")
+        .when((F.length(query) < 5) | (F.length(query) > 500), "query must have 5-500 characters")
+        .when(q == "", "query must not be empty")
+        .when(a.isNull() | b.isNull(), "dates must be YYYY-MM-DD")
+        .when(a >= b, "start must be before end")
+        .when(t == "", "ticker must not be empty")
+    )
+
+
+def chart_ticker_ok(ticker: Column) -> Column:
+    """At most 12 characters: letters and digits, dots and dashes."""
+    t = F.upper(F.trim(ticker))
+    bare = F.regexp_replace(t, "[.-]", "")
+    return (F.length(t).between(1, 12)) & bare.rlike(r"^[\p{L}\p{N}]+$")
+
+
+def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted requests (ticker upper-cased) and rejected ones with their reason."""
+    reason = request_reason(
+        F.col("ticker"), F.col("query"), F.col("start_date"), F.col("end_date")
+    )
+    d = requests.withColumn("reason", reason)
+    good = d.filter(F.col("reason").isNull()).drop("reason")
+    good = good.withColumns({"ticker": F.upper(F.trim("ticker")), "query": F.trim("query")})
+    return good, d.filter(F.col("reason").isNotNull())
+
+
+def position_reason(ticker: Column, shares: Column, price: Column) -> Column:
+    return (
+        F.when(F.length(F.trim(ticker)) < 1, "ticker must not be empty")
+        .when(~(shares > 0), "shares must be positive")
+        .when(~(price > 0), "price must be positive")
+    )
+
+
+def compare_reason(tickers: Column) -> Column:
+    """Comparisons take 2 to 10 tickers."""
+    return F.when(~F.size(tickers).between(2, 10), "2 to 10 tickers are compared")
