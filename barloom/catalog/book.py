@@ -78,7 +78,7 @@ def portfolio_pnl(spark, d):
 
 @query(
     "portfolio_totals",
-    with_sql(SQL_LOTS, sql_positions("account, ticker", "pos", 8), SQL_QUOTES, SQL_PERF)
+    with_sql(SQL_LOTS, sql_positions("account, ticker", "pos", 10), SQL_QUOTES, SQL_PERF)
     + """
 SELECT account, round(sum(cost_basis), 2) AS total_cost_basis,
   round(sum(current_value), 2) AS total_current_value,
@@ -89,13 +89,13 @@ SELECT account, round(sum(cost_basis), 2) AS total_cost_basis,
 FROM perf GROUP BY account""",
 )
 def portfolio_totals(spark, d):
-    held = portfolio.merge_lots(lots(spark, d), ["account", "ticker"], 8)
+    held = portfolio.merge_lots(lots(spark, d), ["account", "ticker"], 10)
     return portfolio.totals(portfolio.performance(held, latest_quotes(spark, d)), ["account"])
 
 
 @query(
     "account_rollup",
-    with_sql(SQL_LOTS, sql_positions("account, ticker", "pos", 8), SQL_QUOTES, SQL_PERF)
+    with_sql(SQL_LOTS, sql_positions("account, ticker", "pos", 10), SQL_QUOTES, SQL_PERF)
     + """,
 held AS (SELECT account, sum(unrealized_pnl) AS pnl, sum(current_value) AS v, count(*) AS n
          FROM perf GROUP BY account)
@@ -106,7 +106,7 @@ SELECT c_custkey AS account, c_acctbal AS cash, round(c_acctbal + coalesce(v, 0)
 FROM customer LEFT JOIN held ON account = c_custkey""",
 )
 def account_rollup(spark, d):
-    held = portfolio.merge_lots(lots(spark, d), ["account", "ticker"], 8)
+    held = portfolio.merge_lots(lots(spark, d), ["account", "ticker"], 10)
     cash = table(spark, d, "customer").select(
         F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("cash")
     )
@@ -123,17 +123,17 @@ def account_rollup(spark, d):
 
 @query(
     "positions_after_removal",
-    with_sql(SQL_LOTS, sql_positions("account, ticker", "pos", 8))
+    with_sql(SQL_LOTS, sql_positions("account, ticker", "pos", 10))
     + """
-SELECT account, count(*) AS positions, round(sum(shares * entry_price), 8) AS total_cost
+SELECT account, count(*) AS positions, round(sum(shares * entry_price), 6) AS total_cost
 FROM pos WHERE (account, ticker) NOT IN (SELECT (account, ticker) FROM lots WHERE notes = '5-LOW')
 GROUP BY account""",
 )
 def positions_after_removal(spark, d):
     rows = lots(spark, d)
     gone = rows.filter(F.col("notes") == "5-LOW").select("account", "ticker")
-    held = portfolio.merge_lots(rows, ["account", "ticker"], 8)
-    return portfolio.cost_by(portfolio.without(held, gone, ["account", "ticker"]), "account", 8)
+    held = portfolio.merge_lots(rows, ["account", "ticker"], 10)
+    return portfolio.cost_by(portfolio.without(held, gone, ["account", "ticker"]), "account", 6)
 
 
 @query(

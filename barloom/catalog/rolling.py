@@ -121,13 +121,11 @@ def bollinger(spark, d):
     return out.select("symbol", "ts", r("upper"), r("middle"), r("lower"))
 
 
-SQL_ZSCORE = (
-    SQL_DAILY
-    + f""",
+SQL_ZS = f"""
 zs0 AS (SELECT *, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s
         FROM daily {W} ROWS 19 PRECEDING)),
 zs AS (SELECT *, CASE WHEN idx >= 19 AND s > 1e-10 THEN (close - m) / s END AS z FROM zs0)"""
-)
+SQL_ZSCORE = SQL_DAILY + "," + SQL_ZS
 
 
 @query("zscore", with_sql(SQL_ZSCORE) + "SELECT symbol, ts, round(z, 6) AS z FROM zs")

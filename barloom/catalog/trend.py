@@ -10,19 +10,19 @@ from barloom.catalog.views import SQL_DAILY, daily_indexed, sql_momentum, with_s
 from barloom.operators import recurrence, signals
 
 
-def sql_walk(state: str, first: str, step: str, where: str = "idx = 0") -> str:
-    """Recursive walk along all series at once; ``c`` is the next bar, ``w`` the state.
+def sql_walk(name: str, first: str, step: str) -> str:
+    """Recursive walk ``name`` along all series at once.
 
     Each symbol's bars travel as lists, so that a step is an element access and no join.
     """
     return f"""
-series AS (
+{name}_s AS (
   SELECT symbol, list(ts ORDER BY idx) AS tss, list(close ORDER BY idx) AS cs, count(*) AS n
   FROM daily GROUP BY symbol),
-walk AS (
-  SELECT symbol, tss, cs, n, {first} FROM series
+{name} AS (
+  SELECT symbol, tss, cs, n, {first} FROM {name}_s
   UNION ALL
-  SELECT symbol, tss, cs, n, {step} FROM walk WHERE i < n)"""
+  SELECT symbol, tss, cs, n, {step} FROM {name} WHERE i < n)"""
 
 
 def sql_ema_steps(*spans: int) -> tuple[str, str]:
@@ -33,7 +33,7 @@ def sql_ema_steps(*spans: int) -> tuple[str, str]:
     return first, step
 
 
-SQL_EMA = SQL_DAILY + "," + sql_walk("", *sql_ema_steps(12, 26))
+SQL_EMA = SQL_DAILY + "," + sql_walk("walk", *sql_ema_steps(12, 26))
 
 
 @query(
@@ -46,11 +46,9 @@ def ema(spark, d):
     return out.select("symbol", "ts", r("ema_12", 4), r("ema_26", 4))
 
 
-SQL_MACD = (
-    SQL_DAILY
-    + ","
-    + sql_walk(
-        "",
+SQL_MACD_WALK = (
+    sql_walk(
+        "macdw",
         "1::BIGINT AS i, cs[1] AS f, cs[1] AS s, 0.0::DOUBLE AS g",
         """i + 1, 2.0::DOUBLE / 13 * cs[i + 1] + 11.0::DOUBLE / 13 * f,
     2.0::DOUBLE / 27 * cs[i + 1] + 25.0::DOUBLE / 27 * s,
@@ -60,8 +58,9 @@ SQL_MACD = (
     + """,
 macd AS (
   SELECT symbol, i - 1 AS idx, tss[i] AS ts, f - s AS macd, g AS macd_signal, f - s - g AS hist
-  FROM walk)"""
+  FROM macdw)"""
 )
+SQL_MACD = SQL_DAILY + "," + SQL_MACD_WALK
 
 
 @query(
@@ -87,10 +86,8 @@ def sql_rsi(period: int = 14) -> str:
          ELSE ({state} * ({p} - 1) + {move}) / {p} END"""
 
     return (
-        SQL_DAILY
-        + ","
-        + sql_walk(
-            "",
+        sql_walk(
+            "rsiw",
             "1::BIGINT AS i, 0.0::DOUBLE AS ag, 0.0::DOUBLE AS al",
             f"i + 1, {next_avg('ag', gain)}, {next_avg('al', loss)}",
         )
@@ -99,11 +96,12 @@ rsi AS (
   SELECT symbol, i - 1 AS idx, tss[i] AS ts,
     CASE WHEN i - 1 >= {period} THEN CASE WHEN al = 0 THEN 100
          ELSE 100 - 100 / (1 + ag / al) END END AS rsi
-  FROM walk)"""
+  FROM rsiw)"""
     )
 
 
-SQL_RSI = sql_rsi()
+SQL_RSI_WALK = sql_rsi()
+SQL_RSI = SQL_DAILY + "," + SQL_RSI_WALK
 
 
 @query("rsi", with_sql(SQL_RSI) + "SELECT symbol, ts, round(rsi, 4) AS rsi FROM rsi")
@@ -121,7 +119,7 @@ def signals_momentum(spark, d):
 
 @query(
     "signals_momentum_ema",
-    with_sql(SQL_DAILY, sql_walk("", *sql_ema_steps(20, 50)))
+    with_sql(SQL_DAILY, sql_walk("walk", *sql_ema_steps(20, 50)))
     + """,
 l AS (SELECT symbol, i, tss[i] AS ts, e20, e50, lag(e20) OVER w AS p20, lag(e50) OVER w AS p50
       FROM walk WINDOW w AS (PARTITION BY symbol ORDER BY i))
@@ -133,13 +131,11 @@ def signals_momentum_ema(spark, d):
     return out.select("symbol", "ts", "signal")
 
 
-SQL_RSI_SIGNALS = (
-    SQL_RSI
-    + """,
+SQL_RSI_RULE = """
 rs AS (
   SELECT *, CASE WHEN lag(rsi) OVER w < 30 THEN 1 WHEN lag(rsi) OVER w > 70 THEN -1 ELSE 0 END
     AS signal FROM rsi WINDOW w AS (PARTITION BY symbol ORDER BY idx))"""
-)
+SQL_RSI_SIGNALS = SQL_RSI + "," + SQL_RSI_RULE
 
 
 @query("signals_rsi", with_sql(SQL_RSI_SIGNALS) + "SELECT symbol, ts, signal FROM rs")
@@ -147,14 +143,12 @@ def signals_rsi(spark, d):
     return signals.rsi_levels(daily_indexed(spark, d)).select("symbol", "ts", "signal")
 
 
-SQL_MACD_SIGNALS = (
-    SQL_MACD
-    + """,
+SQL_MACD_RULE = """
 ms AS (
   SELECT *, CASE WHEN idx >= 35 AND lag(hist, 2) OVER w < 0 AND lag(hist, 1) OVER w >= 0 THEN 1
     WHEN idx >= 35 AND lag(hist, 2) OVER w > 0 AND lag(hist, 1) OVER w <= 0 THEN -1 ELSE 0 END
     AS signal FROM macd WINDOW w AS (PARTITION BY symbol ORDER BY idx))"""
-)
+SQL_MACD_SIGNALS = SQL_MACD + "," + SQL_MACD_RULE
 
 
 @query("signals_macd", with_sql(SQL_MACD_SIGNALS) + "SELECT symbol, ts, signal FROM ms")
@@ -162,21 +156,22 @@ def signals_macd(spark, d):
     return signals.macd_cross(daily_indexed(spark, d)).select("symbol", "ts", "signal")
 
 
-def sql_reversion(z: float = 2.0, window: int = 20) -> str:
-    """The position automaton as a plain walk over z-scores."""
+def sql_reversion(window: int = 20, limits: str = "SELECT DISTINCT symbol, 2.0::DOUBLE AS lim FROM zs"):
+    """The position automaton as a plain walk over z-scores; ``lim`` per symbol."""
     zn = "zl[i + 1]"
     live = f"i >= {window} AND {zn} IS NOT NULL"
     move = f"""CASE WHEN NOT ({live}) THEN 0
-      WHEN pos = 0 AND {zn} < -{z} THEN 1 WHEN pos = 0 AND {zn} > {z} THEN -1
+      WHEN pos = 0 AND {zn} < -lim THEN 1 WHEN pos = 0 AND {zn} > lim THEN -1
       WHEN pos = 1 AND {zn} >= 0 THEN -1 WHEN pos = -1 AND {zn} <= 0 THEN 1 ELSE 0 END"""
     return f"""
 zlists AS (
-  SELECT symbol, list(ts ORDER BY idx) AS tss, list(z ORDER BY idx) AS zl, count(*) AS n
-  FROM zs GROUP BY symbol),
+  SELECT symbol, list(ts ORDER BY idx) AS tss, list(z ORDER BY idx) AS zl, count(*) AS n,
+         any_value(lim) AS lim
+  FROM zs JOIN ({limits}) USING (symbol) GROUP BY symbol),
 auto AS (
-  SELECT symbol, tss, zl, n, 1::BIGINT AS i, 0 AS pos, 0 AS signal FROM zlists
+  SELECT symbol, tss, zl, n, lim, 1::BIGINT AS i, 0 AS pos, 0 AS signal FROM zlists
   UNION ALL
-  SELECT symbol, tss, zl, n, i + 1, pos + {move}, {move} FROM auto WHERE i < n)"""
+  SELECT symbol, tss, zl, n, lim, i + 1, pos + {move}, {move} FROM auto WHERE i < n)"""
 
 
 SQL_REVERSION = SQL_ZSCORE + "," + sql_reversion()
