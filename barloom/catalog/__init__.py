@@ -12,5 +12,5 @@ def load() -> None:
         import_module(f"barloom.catalog.{name}")
 
 
-MODULES = ["market", "rolling", "risk", "trend", "jobs", "book", "text", "advice"]
+MODULES = ["market", "rolling", "risk", "trend", "jobs", "book", "text", "advice", "live"]
 __all__ = ["ORACLES", "QUERIES", "load"]
