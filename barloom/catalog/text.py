@@ -8,7 +8,8 @@ from barloom.catalog.registry import query
 from barloom.functions import text as tx
 from barloom.operators import chunking, retrieval, sentiment
 from barloom.sources import chunk_store, documents, filings
-from barloom.sources.bars import table
+from barloom.catalog.views import prose
+from barloom.sources.bars import balanced, table
 
 
 # --- views -----------------------------------------------------------------------------
@@ -21,7 +22,7 @@ def lines(text):
 def raw_articles(spark, d):
     """Documents as news rows: first line as title, the rest as content."""
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return prose(spark, d).select(
         F.col("doc_id").alias("pos"),
         F.col("source").alias("ticker"),
         F.col("lang").alias("source"),
@@ -129,7 +130,7 @@ e AS (SELECT source AS feed, doc_id AS pos, lower(string_split(text, chr(10))[1]
 SELECT DISTINCT feed, pos, ticker FROM e JOIN c ON contains(hay, ticker) OR contains(hay, company)""",
 )
 def mention_join(spark, d):
-    entries = table(spark, d, "documents").select(
+    entries = prose(spark, d).select(
         F.col("source").alias("feed"),
         F.col("doc_id").alias("pos"),
         F.element_at(lines(F.col("text")), 1).alias("title"),
@@ -182,7 +183,7 @@ FROM p WHERE length(trim(t)) >= 100""",
 )
 def paged_docs(spark, d):
     made = F.date_add(F.lit("2023-01-01").cast("date"), F.col("doc_id").cast("int"))
-    pages = table(spark, d, "documents").select(
+    pages = prose(spark, d).select(
         F.col("source").alias("ticker"),
         F.col("doc_id").alias("doc"),
         F.posexplode(lines(F.col("text"))).alias("_n", "text"),
@@ -198,7 +199,7 @@ def paged_docs(spark, d):
 def landed(spark, d):
     """Articles and pages as one document set; plain-http pages carry unreadable dates."""
     news = articles(spark, d)
-    pages = table(spark, d, "pages").select(
+    pages = balanced(table(spark, d, "pages")).select(
         F.concat(F.lit("SRC"), F.pmod("page_id", F.lit(20))).alias("ticker"),
         F.lit("web").alias("source"),
         F.lit("unknown").alias("doc_type"),
@@ -307,7 +308,7 @@ def ingest_report(spark, d):
 
 def stored_chunks(spark, d):
     """Lines of documents as stored chunks."""
-    return table(spark, d, "documents").select(
+    return prose(spark, d).select(
         F.col("source").alias("ticker"),
         F.col("doc_id").alias("parent_doc_id"),
         F.posexplode(lines(F.col("text"))).alias("_i", "content"),
@@ -351,7 +352,7 @@ tox AS (SELECT source AS ticker FROM documents JOIN labels USING (doc_id) GROUP
 
 
 def toxic_sources(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("ticker"))
+    docs = prose(spark, d).select("doc_id", F.col("source").alias("ticker"))
     share = docs.join(table(spark, d, "labels"), "doc_id").groupBy("ticker").agg(
         F.avg("toxic").alias("_share")
     )
@@ -407,7 +408,7 @@ def chunk_exists(spark, d):
 def new_docs(spark, d):
     first = F.concat(F.col("doc_id"), F.lit("_chunk_0000"))
     stored = table(spark, d, "labels").select(first.alias("chunk_id"))
-    docs = table(spark, d, "documents").select("doc_id", "source")
+    docs = prose(spark, d).select("doc_id", "source")
     return chunk_store.missing(docs, stored, first)
 
 
@@ -448,12 +449,12 @@ def metadata_flatten(spark, d):
 
 @query("html_to_text", f"SELECT page_id, {sql_html('html')} AS text FROM pages")
 def html_to_text(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return balanced(table(spark, d, "pages")).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 @query("clean_html", f"SELECT page_id, {sql_clean('html')} AS text FROM pages")
 def clean_html(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.clean_html(F.col("html")).alias("text"))
+    return balanced(table(spark, d, "pages")).select("page_id", tx.clean_html(F.col("html")).alias("text"))
 
 
 SQL_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
@@ -466,7 +467,7 @@ SQL_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 )
 def doc_counts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return prose(spark, d).select(
         "doc_id",
         tx.word_count(t).alias("words"),
         F.length(t).alias("chars"),
@@ -527,7 +528,7 @@ def parse_signal(spark, d):
 
 
 def content_docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return prose(spark, d).select("doc_id", F.col("text").alias("content"))
 
 
 @query("chunk_documents")
@@ -581,7 +582,7 @@ scored AS (
 
 def doc_sentences(spark, d):
     return sentiment.sentences(
-        table(spark, d, "documents"), ["doc_id", "source", "lang"], "text", limit=None, chars=None
+        prose(spark, d), ["doc_id", "source", "lang"], "text", limit=None, chars=None
     )
 
 
@@ -707,7 +708,7 @@ th AS (
 
 
 def text_hits(spark, d, k: int = retrieval.FETCH_K):
-    docs = table(spark, d, "documents").select(
+    docs = prose(spark, d).select(
         F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), "source"
     )
     return label_hits(spark, d, k).join(docs, "vec_id")

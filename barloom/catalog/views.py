@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.series import BY_SYMBOL, blocked, index_rows
 from barloom.sources import bars as src
-from barloom.sources.bars import table
+from barloom.sources.bars import balanced, table
 
 #: Ticks are an unbounded series per symbol, so they use the blocked layout.
 TICKS = blocked(rows=65_536, span_seconds=86_400, order=("ts", "seq"))
@@ -37,6 +37,11 @@ def raw_ticks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def prose(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, spread for text work."""
+    return balanced(table(spark, d, "documents"))
+
+
 def index_price() -> F.Column:
     return 100 + F.col("l_extendedprice") / F.col("l_quantity") / 1000
 
@@ -44,7 +49,7 @@ def index_price() -> F.Column:
 def daily(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars per brand."""
     rows = (
-        table(spark, d, "lineitem")
+        balanced(table(spark, d, "lineitem"))
         .join(
             table(spark, d, "part").select("p_partkey", "p_brand"),
             F.col("l_partkey") == F.col("p_partkey"),
@@ -70,7 +75,7 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
 
 def lots(spark: SparkSession, d: str) -> DataFrame:
     """One bought lot per order line."""
-    li = table(spark, d, "lineitem")
+    li = balanced(table(spark, d, "lineitem"))
     part = table(spark, d, "part").select("p_partkey", "p_brand")
     orders = table(spark, d, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"

@@ -190,7 +190,9 @@ def strategy_name(strategy: str, params: dict) -> str:
     return f"MACD_{p['fast']}_{p['slow']}_{p['signal_period']}"
 
 
-def positions(df: DataFrame, long_only: bool = True, layout: Layout = BY_SYMBOL) -> DataFrame:
+def positions(
+    df: DataFrame, long_only: bool = True, layout: Layout = BY_SYMBOL, fill: str | None = None
+) -> DataFrame:
     """Position after each bar's signal. The last bar cannot trade.
 
     Long only: the side of the last signal, floored at flat. Long/short: each signal moves
@@ -199,7 +201,8 @@ def positions(df: DataFrame, long_only: bool = True, layout: Layout = BY_SYMBOL)
     """
     w = Window.partitionBy(*layout.keys).orderBy(INDEX)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    usable = F.when(F.lead("open").over(w).isNotNull(), F.nullif(F.col("signal"), F.lit(0)))
+    price = F.lead("open").over(w) if fill is None else F.col(fill)
+    usable = F.when(price.isNotNull(), F.nullif(F.col("signal"), F.lit(0)))
     d = df.withColumn("_act", usable)
     if long_only:
         held = F.coalesce(F.last("_act", ignorenulls=True).over(upto), F.lit(0))

@@ -14,12 +14,15 @@ from barloom.functions import metrics
 from barloom.operators import signals as sig
 from barloom.operators.series import BY_SYMBOL, INDEX, Layout
 
+# Starting capital, commission per fill, and decimals per report field.
 CAPITAL = 100_000.0
 COMMISSION = 0.001
 
 
-def running_product(factor: Column, window) -> Column:
-    """Product of factors of any sign over an ordered frame."""
+def running_product(factor: Column, window, positive: bool) -> Column:
+    """Product of factors over an ordered frame; ``positive`` spares the sign bookkeeping."""
+    if positive:
+        return F.exp(F.sum(F.ln(F.greatest(factor, F.lit(1e-300)))).over(window))
     size = F.exp(F.sum(F.ln(F.nullif(F.abs(factor), F.lit(0.0)))).over(window))
     negatives = F.sum(F.when(factor < 0, 1).otherwise(0)).over(window)
     zeros = F.sum(F.when(factor == 0, 1).otherwise(0)).over(window)
@@ -43,8 +46,8 @@ def simulate(
     p, c = F.lit(position_size), F.lit(commission)
     w = Window.partitionBy(*layout.keys).orderBy(INDEX)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = sig.positions(df, long_only, layout)
-    d = d.withColumns({"_was": F.coalesce(F.lag("pos").over(w), F.lit(0)), "_fill": F.lead("open").over(w)})
+    d = sig.positions(df.withColumn("_fill", F.lead("open").over(w)), long_only, layout, "_fill")
+    d = d.withColumn("_was", F.coalesce(F.lag("pos").over(w), F.lit(0)))
     enters = (F.col("pos") != 0) & (F.col("_was") == 0)
     leaves = (F.col("pos") == 0) & (F.col("_was") != 0)
     d = d.withColumn("_entry", F.last(F.when(enters, F.col("_fill")), ignorenulls=True).over(upto))
@@ -62,7 +65,9 @@ def simulate(
     trade = F.when(leaves, gain(F.col("_was"), F.col("_fill"), True))
     d = d.withColumn("trade_ret", trade)
     cash = F.lit(capital) * running_product(
-        F.when(F.col("trade_ret").isNotNull(), 1 + p * F.col("trade_ret")).otherwise(1.0), upto
+        F.when(F.col("trade_ret").isNotNull(), 1 + p * F.col("trade_ret")).otherwise(1.0),
+        upto,
+        positive=long_only,
     )
     d = d.withColumn("_cash", cash)
     held = F.col("_cash") * (1 + p * gain(F.col("pos"), F.col("close"), False))
@@ -87,31 +92,49 @@ def equity_stats(df: DataFrame, layout: Layout = BY_SYMBOL) -> DataFrame:
     )
 
 
-def report(df: DataFrame, keys: list[str], rounded: bool = True) -> DataFrame:
-    """The 13 report fields per group of ``equity_stats`` rows, in one aggregation."""
-    whole = Window.partitionBy(*keys)
-    df = df.withColumn("_cut", F.percentile("ret", F.lit(0.05)).over(whole))
-    first = F.min_by("equity", INDEX)
-    fields = {
-        "total_return": (
-            F.when(F.count(F.lit(1)) > 1, F.max_by("equity", INDEX) / first - 1).otherwise(0.0), 6
-        ),
-        "annualized_return": (metrics.annualized_return("ret"), 6),
-        "annualized_volatility": (metrics.annualized_volatility("ret"), 6),
-        "sharpe_ratio": (metrics.sharpe("ret"), 4),
-        "sortino_ratio": (metrics.sortino("ret"), 4),
-        "max_drawdown": (metrics.max_drawdown("drawdown"), 6),
-        "calmar_ratio": (metrics.calmar("ret", "drawdown"), 4),
-        "var_95": (F.greatest(-F.first("_cut"), F.lit(0.0)), 6),
-        "cvar_95": (metrics.conditional_var("ret", "_cut"), 6),
-        "win_rate": (metrics.win_rate("trade_ret"), 4),
-        "profit_factor": (metrics.profit_factor("trade_ret"), 4),
+FIELDS = {
+    "total_return": 6,
+    "annualized_return": 6,
+    "annualized_volatility": 6,
+    "sharpe_ratio": 4,
+    "sortino_ratio": 4,
+    "max_drawdown": 6,
+    "calmar_ratio": 4,
+    "var_95": 6,
+    "cvar_95": 6,
+    "win_rate": 4,
+    "profit_factor": 4,
+}
+
+
+def report(
+    df: DataFrame, keys: list[str], rounded: bool = True, fields: list[str] | None = None
+) -> DataFrame:
+    """Report fields per group of ``equity_stats`` rows, in one aggregation.
+
+    Only the tail metrics need a percentile first, and only then is one computed.
+    """
+    fields = fields or list(FIELDS)
+    if {"var_95", "cvar_95"} & set(fields):
+        whole = Window.partitionBy(*keys)
+        df = df.withColumn("_cut", F.percentile("ret", F.lit(0.05)).over(whole))
+    first, last = F.min_by("equity", INDEX), F.max_by("equity", INDEX)
+    build = {
+        "total_return": lambda: F.when(F.count(F.lit(1)) > 1, last / first - 1).otherwise(0.0),
+        "annualized_return": lambda: metrics.annualized_return("ret"),
+        "annualized_volatility": lambda: metrics.annualized_volatility("ret"),
+        "sharpe_ratio": lambda: metrics.sharpe("ret"),
+        "sortino_ratio": lambda: metrics.sortino("ret"),
+        "max_drawdown": lambda: metrics.max_drawdown("drawdown"),
+        "calmar_ratio": lambda: metrics.calmar("ret", "drawdown"),
+        "var_95": lambda: F.greatest(-F.first("_cut"), F.lit(0.0)),
+        "cvar_95": lambda: metrics.conditional_var("ret", "_cut"),
+        "win_rate": lambda: metrics.win_rate("trade_ret"),
+        "profit_factor": lambda: metrics.profit_factor("trade_ret"),
     }
-    aggs = [
-        (F.round(e, n) if rounded else e).alias(name) for name, (e, n) in fields.items()
-    ]
+    cut = (lambda c, n: F.round(c, n)) if rounded else (lambda c, n: c)
     return df.groupBy(*keys).agg(
-        *aggs,
+        *[cut(build[f](), FIELDS[f]).alias(f) for f in fields],
         F.count("trade_ret").alias("n_trades"),
         F.count("ret").alias("n_days"),
     )

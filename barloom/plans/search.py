@@ -129,47 +129,52 @@ def _reversion(df: DataFrame, layout: Layout, combos: list[dict]) -> DataFrame:
     return d.withColumn("_signals", F.array(*[F.col(f"_z{p['window']}") for p in combos]))
 
 
+def lookup(values: list, run: Column) -> Column:
+    """Value of a run, read from the grid instead of being carried in every row."""
+    return F.array(*[F.lit(v) for v in values])[run]
+
+
 def all_signals(df: DataFrame, strategy: str, combos: list[dict], layout: Layout = BY_SYMBOL):
-    """Indexed bars to one row per bar and run, with ``run, params, need, signal``.
+    """Indexed bars to one row per bar and ``run``, with its ``signal``.
 
-    ``n_bars`` is the length of the series; runs that need more bars keep signal 0.
+    Rows carry nothing but the series, the prices and the run: they are many.
     """
     build = {
         "momentum": _crossovers, "rsi": _rsi, "macd": _macd, "mean_reversion": _reversion
     }[strategy]
     d = build(df, layout, combos)
-    whole = Window.partitionBy(*layout.keys)
-    d = d.withColumn("n_bars", F.count(F.lit(1)).over(whole))
-    picked = F.arrays_zip(runs_array(strategy, combos).alias("r"), F.col("_signals").alias("s"))
-    d = d.select(
-        *layout.keys, INDEX, "ts", "open", "close", "n_bars", F.explode(picked).alias("x")
-    ).select(
-        *layout.keys, INDEX, "ts", "open", "close", "n_bars",
-        F.col("x.r.run").alias("run"),
-        F.col("x.r.params").alias("params"),
-        F.col("x.r.need").alias("need"),
-        F.col("x.s").alias("signal"),
-    )
+    kept = [*layout.keys, INDEX, *[c for c in ("ts", "start") if c in df.columns], "open", "close"]
+    d = d.select(*kept, F.posexplode("_signals").alias("run", "signal"))
     if strategy != "mean_reversion":
         return d
-    limits = F.array(*[F.lit(float(p["z_threshold"])) for p in combos])
-    sizes = F.array(*[F.lit(p["window"]) for p in combos])
+    keyed = Layout((*layout.keys, "run"))
     d = d.withColumnRenamed("signal", "z").withColumns(
-        {"_limit": limits[F.col("run")], "_size": sizes[F.col("run")]}
+        {
+            "_limit": lookup([float(p["z_threshold"]) for p in combos], F.col("run")),
+            "_size": lookup([p["window"] for p in combos], F.col("run")),
+        }
     )
-    keyed = Layout((*layout.keys, "run"))
     out = signals.reversion_signals(d, F.col("_size"), F.col("_limit"), 0.0, keyed)
     return out.drop("z", "_limit", "_size")
 
 
-def run_reports(
-    df: DataFrame, strategy: str, combos: list[dict], layout: Layout = BY_SYMBOL
-) -> DataFrame:
-    """One unrounded report per series and run, plus ``params, need, n_bars``."""
-    keys = [*layout.keys, "run", "params", "need", "n_bars"]
+def simulated(df: DataFrame, strategy: str, combos: list[dict], layout: Layout = BY_SYMBOL):
     keyed = Layout((*layout.keys, "run"))
-    rows = backtest.simulate(all_signals(df, strategy, combos, layout), keyed)
-    return backtest.report(backtest.equity_stats(rows, keyed), keys, rounded=False)
+    rows = all_signals(df, strategy, combos, layout)
+    return backtest.equity_stats(backtest.simulate(rows, keyed), keyed)
+
+
+def describe(reports: DataFrame, strategy: str, combos: list[dict]) -> DataFrame:
+    """Add the parameters of each run and the bars it needs."""
+    return reports.withColumns(
+        {
+            "params": lookup([params_text(p) for p in combos], F.col("run")),
+            "need": lookup([bars_needed(strategy, p) for p in combos], F.col("run")),
+        }
+    )
+
+
+GRID_FIELDS = ["total_return", "sharpe_ratio", "max_drawdown", "calmar_ratio", "win_rate"]
 
 
 def grid_search(
@@ -186,7 +191,11 @@ def grid_search(
     combos = combinations(strategy, grid)
     defaults = {k: v for k, v in signals.DEFAULTS[strategy].items() if k in combos[0]}
     default_run = next((i for i, p in enumerate(combos) if p == defaults), -1)
-    rep = run_reports(df, strategy, combos, layout).filter(F.col("n_bars") >= F.col("need"))
+    df = df.select(*layout.keys, INDEX, "open", "close")
+    rep = backtest.report(
+        simulated(df, strategy, combos, layout), [*layout.keys, "run"], False, GRID_FIELDS
+    )
+    rep = describe(rep, strategy, combos).filter(F.col("n_days") + 1 >= F.col("need"))
     score = F.round(F.col(SCORES[optimize_for]), 4)
     rep = rep.withColumn("score", score)
     ranked = Window.partitionBy(*layout.keys).orderBy(F.col("score").desc_nulls_last(), "run")

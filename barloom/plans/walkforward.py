@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import metrics
 from barloom.operators.series import INDEX, Layout, number_rows, spread
+from barloom.operators.validation import bars_needed
 from barloom.plans import backtest, search
 
 # The smaller grids used here, and the verdict thresholds.
@@ -110,68 +111,83 @@ def assign(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
     )
     whole = Window.partitionBy("symbol")
     d = d.withColumn("_wins", F.max("_k").over(whole) + 1).filter("_wins >= 2")
-    return d.withColumn("win", (F.col("_k") + 1).cast("int")).drop(
+    return d.withColumns({"win": (F.col("_k") + 1).cast("int"), "start": F.col("_start")}).drop(
         "_start", "_end", "_n", "_k", "_wins"
     )
 
 
-def _slices(bars: DataFrame, spec: Spec) -> DataFrame:
-    """Assigned bars of windows whose slices are long enough."""
-    d = spread(assign(bars.select("symbol", "ts", "open", "close"), spec), *SLICE)
-    w = Window.partitionBy(*SLICE)
-    n_of = lambda phase: F.count(F.when(F.col("phase") == phase, 1)).over(w)
-    d = d.withColumns({"_train": n_of("train"), "_test": n_of("test")})
-    return d.filter((F.col("_train") >= MIN_TRAIN) & (F.col("_test") >= MIN_TEST)).drop(
-        "_train", "_test"
-    )
+def score_over(metric: str, group) -> Column:
+    """The tuning metric of a run as a window aggregate over its rows."""
+    n = F.count("ret").over(group)
+    mean, std = F.avg("ret").over(group), F.stddev_samp("ret").over(group)
+    if metric == "sharpe":
+        flat = (n < 2) | (std < metrics.TINY)
+        return F.when(flat, 0.0).otherwise(mean / std * metrics.ROOT_YEAR)
+    if metric == "total_return":
+        first, last = F.min_by("equity", INDEX).over(group), F.max_by("equity", INDEX).over(group)
+        return last / first - 1
+    fall = F.max("drawdown").over(group)
+    yearly = F.pow(1 + mean, F.lit(metrics.YEAR)) - 1
+    return F.when(fall < metrics.TINY, 0.0).otherwise(yearly / fall)
 
 
-def best_runs(slices: DataFrame, spec: Spec) -> DataFrame:
-    """Best run per window on its training slice; equal scores go to the earlier run.
+def evaluate(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
+    """Simulated bars of all test slices under each window's best run.
+
+    Training and test slices are series of their own, with indicators started afresh, and
+    all runs are simulated on both in one pass. The best run of a window is then a window
+    aggregate over its training rows, so nothing is scanned or joined a second time.
 
-    A run whose training slice is too short has no score and comes last.
+    Equal scores go to the earlier run. A run whose training slice is too short has no score
+    and comes last; where the test slice is too short (``ok`` is false) nothing is traded.
     """
-    layout = Layout(SLICE)
-    train = number_rows(slices.filter(F.col("phase") == "train"), layout)
-    rep = search.run_reports(train, spec.strategy, spec.combos, layout)
-    usable = F.col("n_bars") >= F.greatest(F.col("need"), F.lit(MIN_RUN))
-    rep = rep.withColumn(
-        "train_score", F.when(usable, F.round(F.col(search.SCORES[spec.optimize_for]), 10))
+    d = assign(bars.select("symbol", "ts", "open", "close"), spec)
+    d = spread(d.select("symbol", "win", "phase", "ts", "open", "close", "start"), *SLICE)
+    phases = Layout((*SLICE, "phase"))
+    whole = Window.partitionBy(*SLICE)
+    n_of = lambda phase: F.count(F.when(F.col("phase") == phase, 1)).over(whole)
+    d = d.withColumns({"_train": n_of("train"), "_test": n_of("test")})
+    d = d.filter((F.col("_train") >= MIN_TRAIN) & (F.col("_test") >= MIN_TEST))
+    d = number_rows(d.drop("_train", "_test"), phases)
+
+    combos = spec.combos
+    rows = search.all_signals(d, spec.strategy, combos, phases)
+    per_run = Window.partitionBy(*phases.keys, "run")
+    need = F.greatest(
+        search.lookup([bars_needed(spec.strategy, p) for p in combos], F.col("run")), F.lit(MIN_RUN)
+    )
+    rows = rows.withColumn("ok", F.count(F.lit(1)).over(per_run) >= need)
+    rows = rows.withColumn("signal", F.when(F.col("ok"), F.col("signal")).otherwise(0))
+    keyed = Layout((*phases.keys, "run"))
+    sim = backtest.equity_stats(backtest.simulate(rows, keyed), keyed)
+
+    usable = (F.col("phase") == "train") & F.col("ok")
+    sim = sim.withColumn(
+        "_score", F.when(usable, F.round(score_over(spec.optimize_for, per_run), 10))
     )
-    best = Window.partitionBy(*SLICE).orderBy(F.col("train_score").desc_nulls_last(), "run")
+    # NULL scores sort last: no score counts as the largest negative.
+    order = F.struct(F.coalesce(-F.col("_score"), F.lit(float("inf"))), F.col("run"))
+    candidate = F.when(F.col("phase") == "train", order)
+    best = F.min_by(F.struct("run", F.col("_score").alias("score")), candidate)
+    sim = sim.withColumn("_best", best.over(whole))
     return (
-        rep.withColumn("_r", F.row_number().over(best))
-        .filter("_r = 1")
-        .select(*SLICE, "run", "params", "train_score")
+        sim.filter((F.col("phase") == "test") & (F.col("run") == F.col("_best.run")))
+        .withColumn("train_score", F.col("_best.score"))
+        .drop("phase", "_score", "_best")
     )
 
 
-def judged_runs(slices: DataFrame, best: DataFrame, spec: Spec) -> DataFrame:
-    """Simulated test slices under each window's best run, indicators started afresh.
-
-    ``ok`` is false where the slice is too short for the run; equity is flat there.
-    """
-    layout = Layout(SLICE)
-    test = number_rows(slices.filter(F.col("phase") == "test"), layout)
-    rows = search.all_signals(test, spec.strategy, spec.combos, layout)
-    picked = rows.join(best, [*SLICE, "run", "params"])
-    ok = F.col("n_bars") >= F.greatest(F.col("need"), F.lit(MIN_RUN))
-    picked = picked.withColumns({"ok": ok, "signal": F.when(ok, F.col("signal")).otherwise(0)})
-    return backtest.equity_stats(backtest.simulate(picked, layout), layout)
-
-
-def evaluate(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
-    """Bars of all test slices, simulated, with the window's tuning result."""
-    slices = _slices(bars, spec)
-    return judged_runs(slices, best_runs(slices, spec), spec)
-
-
 def results(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """One row per symbol and window."""
-    sim = evaluate(bars, spec)
-    keys = [*SLICE, "params", "train_score", "ok"]
-    rep = backtest.report(sim, keys, rounded=False)
-    return rep.join(windows(bars, spec), list(SLICE)).select(
+    combos = spec.combos
+    rep = backtest.report(
+        evaluate(bars, spec),
+        [*SLICE, "start", "run", "train_score", "ok"],
+        False,
+        ["total_return", "sharpe_ratio", "max_drawdown"],
+    )
+    rep = rep.withColumns(bounds(F.col("start"), F.col("win") - 1, spec))
+    return search.describe(rep, spec.strategy, combos).select(
         *SLICE,
         "train_start", "train_end", "test_start", "test_end",
         F.col("params").alias("best_params"),

@@ -46,6 +46,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def balanced(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    Meant for plain scans before heavy per-row work. A large table has more splits than
+    cores and is left alone, so this never shuffles it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_bars(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Lower-case the columns, enforce the OHLCV set and keep ``[start, end)``."""
     df = df.toDF(*[c.lower() for c in df.columns])
