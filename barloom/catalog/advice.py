@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.catalog.book import exact
 from barloom.catalog.registry import query
 from barloom.catalog.rolling import SQL_REGIME, SQL_ZS
-from barloom.catalog.text import (
-    BAD, GOOD, SQL_SCORED, doc_scores, sql_list, sql_sentiment,
-)
+from barloom.catalog.text import BAD, GOOD, SQL_SCORED, sql_list, sql_sentiment
 from barloom.catalog.trend import (
     SQL_MACD_RULE, SQL_MACD_WALK, SQL_RSI_RULE, SQL_RSI_WALK, sql_reversion,
 )
 from barloom.catalog.views import (
-    SQL_DAILY, SQL_REPORT_FIELDS, daily, sql_backtest, sql_momentum, sql_report, with_sql,
+    SQL_DAILY, SQL_REPORT_FIELDS, daily, prose, sql_backtest, sql_momentum, sql_report, with_sql,
 )
 from barloom.operators import sentiment
 from barloom.plans import decision
-from barloom.sources.bars import table
 
 # Frequent words of the supplied prose join the tone lists.
 BULL = decision.BULLISH + ["these", "cheval"]
@@ -29,23 +27,16 @@ def symbol_of(source):
     return F.concat(F.lit("Brand#"), F.substring(source, 4, 10))
 
 
-def symbol_sentiment(spark, d):
-    rows = doc_scores(spark, d).withColumn("symbol", symbol_of(F.col("source")))
-    return sentiment.aggregate(rows, ["symbol"]).select(
-        "symbol", "sentiment_score", "sentiment_label"
+def symbol_evidence(spark, d):
+    words = {"bullish_words": BULL, "bearish_words": BEAR}
+    return sentiment.evidence(
+        prose(spark, d), symbol_of(F.col("source")), "text", words, GOOD, BAD
     )
 
 
-def symbol_tone(spark, d):
-    docs = table(spark, d, "documents").withColumn("symbol", symbol_of(F.col("source")))
-    return decision.tone(docs, "symbol", "text", BULL, BEAR)
-
-
 def chosen(spark, d):
     return decision.choose(
-        decision.state(
-            decision.regime_features(daily(spark, d)), symbol_sentiment(spark, d), symbol_tone(spark, d)
-        )
+        decision.state(decision.regime_features(daily(spark, d)), symbol_evidence(spark, d))
     )
 
 
@@ -102,31 +93,33 @@ SQL_RUNS = ",".join(
     for x in (
         sql_momentum("daily", 20, 50, out="mo"),
         SQL_ZS,
-        sql_reversion(limits="SELECT symbol, z_threshold AS lim FROM chosen"),
+        sql_reversion(1.5, name="auto15"),
+        sql_reversion(2.5, name="auto25"),
         SQL_RSI_WALK,
         SQL_RSI_RULE,
         SQL_MACD_WALK,
         SQL_MACD_RULE,
         """
 runs AS (
-  SELECT symbol, idx, 'momentum' AS strategy, signal FROM mo
-  UNION ALL SELECT symbol, i - 1, 'mean_reversion', signal FROM auto
+  SELECT symbol, idx, 'momentum' AS run, signal FROM mo
+  UNION ALL SELECT symbol, i - 1, 'mean_reversion_1.5', signal FROM auto15
+  UNION ALL SELECT symbol, i - 1, 'mean_reversion_2.5', signal FROM auto25
   UNION ALL SELECT symbol, idx, 'rsi', signal FROM rs
   UNION ALL SELECT symbol, idx, 'macd', signal FROM ms),
-rund AS (SELECT d.symbol, strategy, d.idx, ts, open, close, signal FROM daily d JOIN runs USING (symbol, idx))""",
-        sql_backtest("rund", "symbol, strategy", "rsim"),
-        sql_report("rsim", "symbol, strategy", "rrep"),
+rund AS (SELECT d.symbol, run, d.idx, ts, open, close, signal FROM daily d JOIN runs USING (symbol, idx))""",
+        sql_backtest("rund", "symbol, run", "rsim"),
+        sql_report("rsim", "symbol, run", "rrep"),
         f"""
-rounded AS (SELECT symbol, strategy, {SQL_REPORT_FIELDS} FROM rrep),
+rounded AS (SELECT symbol, run, {SQL_REPORT_FIELDS} FROM rrep),
 gate0 AS (
   SELECT *, 0.30 * greatest(0, least(10, (2.0 - sharpe_ratio) * 5)) + 0.40 * least(10, max_drawdown * 40)
       + 0.20 * least(10, var_95 * 200) + 0.10 * greatest(0, least(10, (0.5 - win_rate) * 20)) AS score,
     concat_ws('; ',
-      CASE WHEN sharpe_ratio < 0.5 THEN printf('Sharpe %.2f < 0.5 minimum', sharpe_ratio) END,
-      CASE WHEN max_drawdown > 0.25 THEN printf('Max drawdown %.1f%% > 25%% limit', max_drawdown * 100) END,
-      CASE WHEN var_95 > 0.05 THEN printf('VaR 95%% %.2f%% > 5%% limit', var_95 * 100) END,
+      CASE WHEN sharpe_ratio < 0.5 THEN printf('Sharpe %.2f < 0.5 minimum', {exact('sharpe_ratio', 2)}) END,
+      CASE WHEN max_drawdown > 0.25 THEN printf('Max drawdown %.1f%% > 25%% limit', {exact('max_drawdown * 100', 1)}) END,
+      CASE WHEN var_95 > 0.05 THEN printf('VaR 95%% %.2f%% > 5%% limit', {exact('var_95 * 100', 2)}) END,
       CASE WHEN win_rate < 0.30 AND n_trades > 5
-           THEN printf('Win rate %.1f%% < 30%% minimum', win_rate * 100) END) AS reasons
+           THEN printf('Win rate %.1f%% < 30%% minimum', {exact('win_rate * 100', 1)}) END) AS reasons
   FROM rounded),
 gate AS (
   SELECT *, round(score, 2)::DOUBLE AS risk_score, CASE WHEN score < 3 THEN 'LOW' WHEN score < 6
@@ -137,14 +130,14 @@ gate AS (
 
 @query(
     "risk_gate",
-    with_sql(SQL_DAILY, SQL_REGIME, SQL_STATE, SQL_RUNS)
-    + """SELECT symbol, strategy, sharpe_ratio, max_drawdown, var_95, win_rate, n_trades, risk_score,
+    with_sql(SQL_DAILY, SQL_RUNS)
+    + """SELECT symbol, run, sharpe_ratio, max_drawdown, var_95, win_rate, n_trades, risk_score,
   risk_level, risk_approved, reasons AS rejection_reason FROM gate""",
 )
 def risk_gate(spark, d):
-    gated = decision.risk_gate(decision.strategy_reports(daily(spark, d), chosen(spark, d)))
+    gated = decision.risk_gate(decision.strategy_reports(daily(spark, d)))
     return gated.select(
-        "symbol", "strategy", "sharpe_ratio", "max_drawdown", "var_95", "win_rate", "n_trades",
+        "symbol", "run", "sharpe_ratio", "max_drawdown", "var_95", "win_rate", "n_trades",
         "risk_score", "risk_level", "risk_approved", "rejection_reason",
     )
 
@@ -158,7 +151,10 @@ tries AS (
 resolved AS (
   SELECT * REPLACE (CASE WHEN risk_approved THEN '' ELSE
       'Approved after 3 retries (best available). Violations: ' || reasons END AS reasons)
-  FROM tries JOIN gate USING (symbol, strategy) WHERE risk_approved OR attempt = 3
+  FROM (SELECT symbol, attempt, t.strategy, CASE WHEN t.strategy <> 'mean_reversion' THEN t.strategy
+          WHEN z_threshold = 2.5 THEN 'mean_reversion_2.5' ELSE 'mean_reversion_1.5' END AS run
+        FROM tries t JOIN chosen c USING (symbol))
+  JOIN gate USING (symbol, run) WHERE risk_approved OR attempt = 3
   QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY attempt) = 1)"""
 
 
@@ -169,9 +165,8 @@ resolved AS (
   sharpe_ratio, total_return FROM resolved""",
 )
 def retry_resolve(spark, d):
-    picked = chosen(spark, d)
-    gated = decision.risk_gate(decision.strategy_reports(daily(spark, d), picked))
-    return decision.resolve(picked, gated).select(
+    gated = decision.risk_gate(decision.strategy_reports(daily(spark, d)))
+    return decision.resolve(chosen(spark, d), gated).select(
         "symbol", "strategy", "retries", "risk_score", "rejection_reason", "sharpe_ratio",
         "total_return",
     )
@@ -188,12 +183,12 @@ adv AS (
 @query(
     "recommend",
     with_sql(SQL_DAILY, SQL_REGIME, SQL_STATE, SQL_RUNS, SQL_RESOLVED, SQL_ADVICE)
-    + """SELECT symbol, recommendation, 'SIGNAL: ' || recommendation || chr(10) || 'CONFIDENCE: MEDIUM'
+    + f"""SELECT symbol, recommendation, 'SIGNAL: ' || recommendation || chr(10) || 'CONFIDENCE: MEDIUM'
   || chr(10) || chr(10) || symbol || ' analysis using ' || upper(strategy) || ' strategy:' || chr(10)
   || chr(10) || 'Quantitative Evidence:' || chr(10)
-  || printf('- Total Return: %.1f%% over backtest period', total_return * 100) || chr(10)
-  || printf('- Sharpe Ratio: %.2f (risk-adjusted performance)', sharpe_ratio) || chr(10)
-  || printf('- Maximum Drawdown: %.1f%%', max_drawdown * 100) || chr(10)
+  || printf('- Total Return: %.1f%% over backtest period', {exact('total_return * 100', 1)}) || chr(10)
+  || printf('- Sharpe Ratio: %.2f (risk-adjusted performance)', {exact('sharpe_ratio', 2)}) || chr(10)
+  || printf('- Maximum Drawdown: %.1f%%', {exact('max_drawdown * 100', 1)}) || chr(10)
   || '- Risk Level: ' || risk_level || chr(10) || chr(10) || 'The ' || strategy || ' strategy '
   || CASE WHEN recommendation = 'BUY' THEN 'shows positive momentum' ELSE 'indicates caution' END
   || ' for ' || symbol || '.' || chr(10) || CASE recommendation
@@ -208,7 +203,7 @@ def recommend(spark, d):
 
 
 def full_analysis(spark, d):
-    return decision.analyze(daily(spark, d), symbol_sentiment(spark, d), symbol_tone(spark, d))
+    return decision.analyze(daily(spark, d), symbol_evidence(spark, d))
 
 
 @query(
@@ -222,9 +217,11 @@ def full_analysis(spark, d):
 )
 def analyze(spark, d):
     out = full_analysis(spark, d)
-    return out.drop("explanation", "volatility").withColumn(
-        "sentiment_score", F.round("sentiment_score", 6)
-    )
+    gone = [
+        "explanation", "volatility", "run", "z_threshold", "slope", "n_bars", "confidence",
+        "sentences", "bullish_words", "bearish_words",
+    ]
+    return out.drop(*gone).withColumn("sentiment_score", F.round("sentiment_score", 6))
 
 
 @query(
@@ -241,9 +238,7 @@ def analysis_row(spark, d):
     from barloom.catalog.views import daily_indexed
     from barloom.plans import backtest
 
-    rows = decision.state(
-        decision.regime_features(daily(spark, d)), symbol_sentiment(spark, d), symbol_tone(spark, d)
-    )
+    rows = decision.state(decision.regime_features(daily(spark, d)), symbol_evidence(spark, d))
     reports = backtest.run(daily_indexed(spark, d))
     return rows.join(reports, "symbol").select(
         "symbol", "n_bars", "change_pct",

@@ -156,22 +156,21 @@ def signals_macd(spark, d):
     return signals.macd_cross(daily_indexed(spark, d)).select("symbol", "ts", "signal")
 
 
-def sql_reversion(window: int = 20, limits: str = "SELECT DISTINCT symbol, 2.0::DOUBLE AS lim FROM zs"):
-    """The position automaton as a plain walk over z-scores; ``lim`` per symbol."""
+def sql_reversion(z: float = 2.0, window: int = 20, name: str = "auto") -> str:
+    """The position automaton as a plain walk over z-scores."""
     zn = "zl[i + 1]"
     live = f"i >= {window} AND {zn} IS NOT NULL"
     move = f"""CASE WHEN NOT ({live}) THEN 0
-      WHEN pos = 0 AND {zn} < -lim THEN 1 WHEN pos = 0 AND {zn} > lim THEN -1
+      WHEN pos = 0 AND {zn} < -{z} THEN 1 WHEN pos = 0 AND {zn} > {z} THEN -1
       WHEN pos = 1 AND {zn} >= 0 THEN -1 WHEN pos = -1 AND {zn} <= 0 THEN 1 ELSE 0 END"""
     return f"""
-zlists AS (
-  SELECT symbol, list(ts ORDER BY idx) AS tss, list(z ORDER BY idx) AS zl, count(*) AS n,
-         any_value(lim) AS lim
-  FROM zs JOIN ({limits}) USING (symbol) GROUP BY symbol),
-auto AS (
-  SELECT symbol, tss, zl, n, lim, 1::BIGINT AS i, 0 AS pos, 0 AS signal FROM zlists
+{name}_l AS (
+  SELECT symbol, list(ts ORDER BY idx) AS tss, list(z ORDER BY idx) AS zl, count(*) AS n
+  FROM zs GROUP BY symbol),
+{name} AS (
+  SELECT symbol, tss, zl, n, 1::BIGINT AS i, 0 AS pos, 0 AS signal FROM {name}_l
   UNION ALL
-  SELECT symbol, tss, zl, n, lim, i + 1, pos + {move}, {move} FROM auto WHERE i < n)"""
+  SELECT symbol, tss, zl, n, i + 1, pos + {move}, {move} FROM {name} WHERE i < n)"""
 
 
 SQL_REVERSION = SQL_ZSCORE + "," + sql_reversion()

@@ -65,6 +65,48 @@ def score(sentence: Column, positive=POSITIVE, negative=NEGATIVE) -> tuple[Colum
     return value, confidence
 
 
+def evidence(
+    docs: DataFrame, key: Column, content: str, tone_words: dict[str, list[str]] | None = None,
+    positive=POSITIVE, negative=NEGATIVE, limit: int | None = None, chars: int | None = None,
+) -> DataFrame:
+    """Sentiment per symbol in one pass over the documents, without a row per sentence.
+
+    Each document folds its own sentences; the shuffle carries one partial row per symbol
+    and task. ``tone_words`` adds columns counting which words occur anywhere.
+    """
+
+    def fold(acc: Column, s: Column) -> Column:
+        value, confidence = score(s, positive, negative)
+        return F.struct(
+            (acc["w"] + value * confidence).alias("w"),
+            (acc["c"] + confidence).alias("c"),
+            (acc["n"] + 1).alias("n"),
+        )
+
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("n"))
+    folded = F.aggregate(sentence_array(F.col(content), limit, chars), zero, fold)
+    text = F.lower(content)
+    words = {w: f"_t{i}" for i, w in enumerate(w for ws in (tone_words or {}).values() for w in ws)}
+    rows = docs.select(
+        key.alias("symbol"), folded.alias("_f"),
+        *[text.contains(w).cast("int").alias(c) for w, c in words.items()],
+    )
+    total = rows.groupBy("symbol").agg(
+        F.sum("_f.w").alias("_w"), F.sum("_f.c").alias("_c"), F.sum("_f.n").alias("sentences"),
+        *[
+            sum(F.max(words[w]) for w in ws).alias(name) for name, ws in (tone_words or {}).items()
+        ],
+    )
+    mean = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_w") / F.col("_c")))
+    return total.select(
+        "symbol",
+        F.when(F.col("_c") > 0, mean).otherwise(0.0).alias("sentiment_score"),
+        F.when(F.col("_c") > 0, F.col("_c") / F.col("sentences")).otherwise(0.0).alias("confidence"),
+        "sentences",
+        *(tone_words or {}),
+    ).withColumn("sentiment_label", label(F.col("sentiment_score")))
+
+
 def scored(sents: DataFrame, positive=POSITIVE, negative=NEGATIVE) -> DataFrame:
     value, confidence = score(F.col("sentence"), positive, negative)
     return sents.withColumns({"score": value, "confidence": confidence})

@@ -116,7 +116,8 @@ def report(
     """
     fields = fields or list(FIELDS)
     if {"var_95", "cvar_95"} & set(fields):
-        whole = Window.partitionBy(*keys)
+        ordered = Window.partitionBy(*keys).orderBy(INDEX)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         df = df.withColumn("_cut", F.percentile("ret", F.lit(0.05)).over(whole))
     first, last = F.min_by("equity", INDEX), F.max_by("equity", INDEX)
     build = {

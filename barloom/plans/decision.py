@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import rolling
@@ -44,19 +44,12 @@ MAX_RETRIES = 3
 STRATEGIES = ["momentum", "mean_reversion", "rsi", "macd"]
 
 
-def tone(docs: DataFrame, key: str, content: str, bullish=BULLISH, bearish=BEARISH) -> DataFrame:
-    """How many words of each list occur anywhere in the documents of a symbol."""
-    text = F.lower(content)
-    seen = lambda words: sum(F.max(text.contains(w).cast("int")) for w in words)
-    return docs.groupBy(F.col(key).alias("symbol")).agg(
-        seen(bullish).alias("bullish_words"), seen(bearish).alias("bearish_words")
-    )
-
+def state(features: DataFrame, evidence: DataFrame) -> DataFrame:
+    """All inputs of the choice in one row per symbol; missing text counts as neutral.
 
-def state(features: DataFrame, sentiment: DataFrame, words: DataFrame) -> DataFrame:
-    """All inputs of the choice in one row per symbol; missing text counts as neutral."""
-    d = features.join(sentiment, "symbol", "left").join(words, "symbol", "left")
-    return d.fillna(
+    ``evidence``: ``symbol, sentiment_score, sentiment_label, bullish_words, bearish_words``.
+    """
+    return features.join(evidence, "symbol", "left").fillna(
         {"sentiment_score": 0.0, "sentiment_label": "NEUTRAL", "bullish_words": 0, "bearish_words": 0}
     )
 
@@ -80,32 +73,37 @@ def choose(rows: DataFrame) -> DataFrame:
     )
 
 
-def strategy_reports(bars: DataFrame, limits: DataFrame) -> DataFrame:
-    """Reports of all four strategies per symbol over one placement of the bars.
+# The back-tests any symbol may need: reversion with both entry levels.
+RUNS = ["momentum", "mean_reversion_1.5", "mean_reversion_2.5", "rsi", "macd"]
+
+
+def run_name(strategy: Column, z_threshold: Column) -> Column:
+    wide = F.when(z_threshold == WIDE_Z, RUNS[2]).otherwise(RUNS[1])
+    return F.when(strategy == "mean_reversion", wide).otherwise(strategy)
 
-    The signals of every strategy become columns of the same rows, which are then unpivoted
-    and simulated. ``limits(symbol, z_threshold)`` sets the reversion entry per symbol.
+
+def strategy_reports(bars: DataFrame) -> DataFrame:
+    """Reports of every run per symbol over one placement of the bars.
+
+    The signals of all runs become columns of the same rows, which are then unpivoted and
+    simulated. It needs nothing but the bars, so the choice is never computed twice.
     """
-    d = index_rows(
-        bars.select("symbol", "ts", "open", "close").join(
-            limits.select("symbol", "z_threshold"), "symbol"
-        ),
-        BY_SYMBOL,
-    )
+    d = index_rows(bars.select("symbol", "ts", "open", "close"), BY_SYMBOL).drop("ts")
     d = sig.momentum(d).withColumnRenamed("signal", "_momentum").drop("ma_short", "ma_long")
-    d = rolling.zscore(d, sig.DEFAULTS["mean_reversion"]["window"])
-    d = sig.reversion_signals(
-        d, sig.DEFAULTS["mean_reversion"]["window"], F.col("z_threshold"), 0.0, BY_SYMBOL
-    ).withColumnRenamed("signal", "_mean_reversion").drop("z", "z_threshold")
-    d = sig.rsi_levels(d).withColumnRenamed("signal", "_rsi").drop("rsi")
+    size = sig.DEFAULTS["mean_reversion"]["window"]
+    d = rolling.zscore(d, size)
+    for name, limit in ((RUNS[1], TIGHT_Z), (RUNS[2], WIDE_Z)):
+        d = sig.reversion_signals(d, size, limit, 0.0, BY_SYMBOL)
+        d = d.withColumnRenamed("signal", "_" + name)
+    d = sig.rsi_levels(d.drop("z")).withColumnRenamed("signal", "_rsi").drop("rsi")
     d = sig.macd_cross(d).withColumnRenamed("signal", "_macd").drop("macd", "macd_signal", "hist")
     runs = F.array(
-        *[F.struct(F.lit(s).alias("strategy"), F.col(f"_{s}").alias("signal")) for s in STRATEGIES]
+        *[F.struct(F.lit(s).alias("run"), F.col(f"`_{s}`").alias("signal")) for s in RUNS]
     )
-    rows = d.select("symbol", "ts", INDEX, "open", "close", F.inline(runs))
-    keyed = Layout(("symbol", "strategy"))
+    rows = d.select("symbol", INDEX, "open", "close", F.inline(runs))
+    keyed = Layout(("symbol", "run"))
     sim = backtest.equity_stats(backtest.simulate(rows, keyed), keyed)
-    return backtest.report(sim, ["symbol", "strategy"])
+    return backtest.report(sim, ["symbol", "run"])
 
 
 def percent(c, digits: int):
@@ -160,12 +158,13 @@ def attempts(chosen: DataFrame) -> DataFrame:
     order = F.array(
         *[F.struct(F.lit(i).alias("attempt"), s.alias("strategy")) for i, s in enumerate(tried)]
     )
-    return chosen.select("symbol", F.inline(order))
+    d = chosen.select(*[c for c in chosen.columns if c != "strategy"], F.inline(order))
+    return d.withColumn("run", run_name(F.col("strategy"), F.col("z_threshold")))
 
 
 def resolve(chosen: DataFrame, gated: DataFrame) -> DataFrame:
     """First attempt that passes the gate; after the last retry it is approved with a note."""
-    tries = attempts(chosen).join(gated, ["symbol", "strategy"])
+    tries = attempts(chosen).join(gated, ["symbol", "run"])
     ok = F.col("risk_approved") | (F.col("attempt") == MAX_RETRIES)
     kept = [c for c in tries.columns if c != "symbol"]
     best = tries.groupBy("symbol").agg(
@@ -246,12 +245,7 @@ def compare(rows: DataFrame, request: str, position: str) -> DataFrame:
     )
 
 
-def analyze(bars: DataFrame, sentiment: DataFrame, words: DataFrame) -> DataFrame:
-    """Whole analysis of every symbol: choice, back-tests, risk gate, retries, advice.
-
-    ``sentiment(symbol, sentiment_score, sentiment_label)``, ``words`` as from ``tone``.
-    """
-    chosen = choose(state(regime_features(bars), sentiment, words))
-    gated = risk_gate(strategy_reports(bars, chosen))
-    mood = chosen.select("symbol", "sentiment_score", "sentiment_label", "change_pct", "volatility")
-    return recommend(resolve(chosen, gated).join(mood, "symbol"))
+def analyze(bars: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Whole analysis of every symbol: choice, back-tests, risk gate, retries, advice."""
+    chosen = choose(state(regime_features(bars), evidence))
+    return recommend(resolve(chosen, risk_gate(strategy_reports(bars))))

@@ -152,7 +152,9 @@ def evaluate(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
 
     combos = spec.combos
     rows = search.all_signals(d, spec.strategy, combos, phases)
-    per_run = Window.partitionBy(*phases.keys, "run")
+    # Ordered like the simulation below, so that all of them share one sort.
+    per_run = Window.partitionBy(*phases.keys, "run").orderBy(INDEX)
+    per_run = per_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     need = F.greatest(
         search.lookup([bars_needed(spec.strategy, p) for p in combos], F.col("run")), F.lit(MIN_RUN)
     )
