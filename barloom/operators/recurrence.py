@@ -18,7 +18,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.operators.series import BY_SYMBOL, INDEX, Layout, running, with_halo
+from barloom.operators.series import (
+    BY_SYMBOL, INDEX, Layout, over_lookback, running, with_halo,
+)
 
 OVERFLOW_EXPONENT = 500.0
 FORGOTTEN_EXPONENT = 46.0
@@ -135,58 +137,44 @@ def macd_lines(
 def rsi(df: DataFrame, period: int = 14, value="close", layout: Layout = BY_SYMBOL) -> DataFrame:
     """Wilder's RSI, NULL before ``period`` changes were seen.
 
-    A flat bar scales both averages alike and leaves the ratio unchanged, so weights run
-    over *moving* bars only. That keeps the ratio through any length of flat prices.
+    A flat bar scales both averages alike and keeps their ratio. So the ratio is taken on
+    moving bars, where the newest change always has weight, and carried over flat ones
+    however long they last.
     """
     if period < 2:
         raise ValueError(f"period must be at least 2, got {period}")
     alpha = 1.0 / period
-    if layout.rows is None:
-        w = Window.partitionBy(*layout.keys).orderBy(INDEX)
-        df = df.withColumn("_chg", F.col(value) - F.lag(value).over(w))
-    else:
-        from barloom.operators.series import over_lookback
-
-        df = over_lookback(
-            df, layout, 1, lambda d, w: d.withColumn("_chg", F.col(value) - F.lag(value).over(w))
+
+    def changes(d: DataFrame, w: WindowSpec) -> DataFrame:
+        change = F.col(value) - F.lag(value).over(w)
+        seed = w.rowsBetween(-(period - 1), 0)
+        d = d.withColumn("_chg", change)
+        return d.withColumns(
+            {
+                f"_seed{sign}": F.when(
+                    F.col(INDEX) == period,
+                    F.avg(F.greatest(F.col("_chg") * sign, F.lit(0.0))).over(seed),
+                )
+                for sign in (1, -1)
+            }
         )
-    moving = (F.col(INDEX) > period) & (F.col("_chg") != 0)
-    df = running(
-        df,
-        layout,
-        _moves=("sum", F.when(moving, 1).otherwise(0).cast("long")),
-        _g0=("sum", F.when(F.col(INDEX) <= period, F.greatest(F.col("_chg"), F.lit(0.0)))),
-        _l0=("sum", F.when(F.col(INDEX) <= period, F.greatest(-F.col("_chg"), F.lit(0.0)))),
-    )
-    rows, back = block_rows(alpha), memory(alpha)
-    home = F.floor(F.col("_moves") / rows)
-    last = F.when(moving | (F.col(INDEX) == period), F.floor((F.col("_moves") + back) / rows))
-    blocks = (
-        df.withColumn("_blk", F.explode(F.sequence(home, F.coalesce(last, home))))
-        .withColumn("_own", F.col("_blk") == F.floor(F.col("_moves") / rows))
-        .withColumn("_off", (F.col("_moves") - F.col("_blk") * rows).cast("double"))
-    )
-    window = Window.partitionBy(*layout.keys, "_blk").orderBy(INDEX)
 
-    def average(sign: int, seed: str) -> Column:
+    df = over_lookback(df, layout, period, changes)
+    blocks, window = _blocks(df, layout, block_rows(alpha), memory(alpha))
+
+    def average(sign: int) -> Column:
         step = F.greatest(F.col("_chg") * sign, F.lit(0.0))
         entry = (
             F.when(F.col(INDEX) < period, F.lit(0.0))
-            .when(F.col(INDEX) == period, F.col(seed) / period / alpha)
+            .when(F.col(INDEX) == period, F.col(f"`_seed{sign}`") / alpha)
             .otherwise(step)
         )
         return smooth(entry, alpha, F.col("_off"), window)
 
-    out = blocks.withColumns({"_gain": average(1, "_g0"), "_loss": average(-1, "_l0")})
+    out = blocks.withColumns({"_gain": average(1), "_loss": average(-1)}).filter("_own")
     strength = 100.0 - 100.0 / (1.0 + F.try_divide(F.col("_gain"), F.col("_loss")))
-    return (
-        out.withColumn(
-            "rsi",
-            F.when(
-                F.col(INDEX) >= period,
-                F.when(F.col("_loss") <= 0, F.lit(100.0)).otherwise(strength),
-            ),
-        )
-        .filter("_own")
-        .drop("_blk", "_own", "_off", "_chg", "_moves", "_g0", "_l0", "_gain", "_loss")
-    )
+    known = F.when(F.col("_loss") <= 0, F.lit(100.0)).otherwise(strength)
+    fresh = (F.col(INDEX) == period) | ((F.col(INDEX) > period) & (F.col("_chg") != 0))
+    gone = ["_blk", "_own", "_off", "_chg", "_seed1", "_seed-1", "_gain", "_loss"]
+    return running(out.withColumn("_rsi", F.when(fresh, known)).drop(*gone), layout,
+                   rsi=("last", F.col("_rsi"))).drop("_rsi")
