@@ -32,7 +32,7 @@ def html_to_text(html: Column, limit: int | None = None) -> Column:
     t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", " ")
     t = F.regexp_replace(t, "<[^>]+>", " ")
     t = F.regexp_replace(decode(t, quotes=True), r"[ \t\f\r]+", " ")
-    lines = F.transform(F.split(t, "\n"), F.trim)
+    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
     kept = F.filter(
         lines, lambda x: (F.length(x) > 10) & ~F.regexp(x, F.lit(r"^[\d\s\-\.\,\$\%]+$"))
     )

