@@ -245,7 +245,9 @@ d2 AS (SELECT * FROM d1 QUALIFY row_number() OVER (
          PARTITION BY CASE WHEN url <> '' THEN url ELSE doc_id END ORDER BY date, url, ticker) = 1)"""
 )
 
-ORDER = F.struct("date", "url", "ticker")
+def arrival():
+    """Order in which copies of a document compete; the first wins."""
+    return F.struct("date", "url", "ticker")
 
 
 @query(
@@ -265,7 +267,7 @@ def union_sources(spark, d):
 @query("doc_dedup", f"WITH {SQL_LANDED} SELECT doc_id, ticker, source, date, url FROM d2")
 def doc_dedup(spark, d):
     good, _ = documents.split_errors(landed(spark, d))
-    return documents.dedup(good, ORDER).select("doc_id", "ticker", "source", "date", "url")
+    return documents.dedup(good, arrival()).select("doc_id", "ticker", "source", "date", "url")
 
 
 @query(
@@ -274,7 +276,7 @@ def doc_dedup(spark, d):
 )
 def newest_docs(spark, d):
     good, _ = documents.split_errors(landed(spark, d))
-    return documents.newest(documents.dedup(good, ORDER), 50).select("doc_id", "ticker", "date")
+    return documents.newest(documents.dedup(good, arrival()), 50).select("doc_id", "ticker", "date")
 
 
 SQL_FIXED = """
@@ -298,7 +300,7 @@ FROM a LEFT JOIN b USING (ticker) LEFT JOIN c USING (ticker) LEFT JOIN e USING (
 def ingest_report(spark, d):
     docs = landed(spark, d)
     good, bad = documents.split_errors(docs)
-    kept = documents.dedup(good, ORDER)
+    kept = documents.dedup(good, arrival())
     chunks = chunking.fixed_chunks(kept).join(kept.select("doc_id", "ticker"), "doc_id")
     out = documents.ingest_report(docs, kept, chunks, bad)
     return out.withColumns(
