@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.registry import query
+from barloom.catalog.trend import sql_rsi, sql_walk
 from barloom.catalog.views import (
     SQL_DAILY, daily, daily_indexed, index_price, sql_backtest, sql_momentum, sql_report, with_sql,
 )
 from barloom.operators import ranges
+from barloom.operators.signals import DEFAULTS
+from barloom.operators.validation import bars_needed
 from barloom.operators.validation import valid_params as params_ok
 from barloom.plans import search, walkforward, whatif
 from barloom.sources.bars import table
@@ -78,18 +81,137 @@ def grid_search(spark, d):
     return search.grid_search(daily_indexed(spark, d))
 
 
-for _strategy in ("mean_reversion", "rsi", "macd"):
+def sql_params(strategy: str, combos: list[dict]) -> str:
+    rows = ", ".join(
+        f"({i}, '{search.params_text(p)}', {bars_needed(strategy, p)})" for i, p in enumerate(combos)
+    )
+    return f"runs(run, params, need) AS (VALUES {rows})"
+
+
+def sql_rsi_runs(combos: list[dict]) -> str:
+    """Signals ``gs`` of every RSI run: one walk per period."""
+    walks, parts = [], []
+    for n in sorted({p["period"] for p in combos}):
+        rules = ", ".join(
+            f"({i}, {p['oversold']}, {p['overbought']})"
+            for i, p in enumerate(combos)
+            if p["period"] == n
+        )
+        walks += [
+            sql_rsi(n, f"rsi{n}").strip(),
+            f"""prev{n} AS (SELECT symbol, idx, lag(rsi) OVER (PARTITION BY symbol ORDER BY idx) AS p
+                FROM rsi{n})""",
+        ]
+        parts.append(
+            f"""SELECT d.symbol, run, d.idx, open, close,
+  CASE WHEN p < lo THEN 1 WHEN p > hi THEN -1 ELSE 0 END AS signal
+FROM daily d JOIN prev{n} USING (symbol, idx) CROSS JOIN (VALUES {rules}) r(run, lo, hi)"""
+        )
+    return ",".join(walks) + ",gs AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def sql_macd_runs(combos: list[dict]) -> str:
+    """Signals ``gs`` of every MACD run: one walk holding all averages and signal lines."""
+    spans = sorted({p[k] for p in combos for k in ("fast", "slow")})
+    step = {s: f"(2.0::DOUBLE / {s + 1} * cs[i + 1] + {s - 1}.0::DOUBLE / {s + 1} * e{s})" for s in spans}
+    first = "1::BIGINT AS i, " + ", ".join(f"cs[1] AS e{s}" for s in spans)
+    first += ", " + ", ".join(f"0.0::DOUBLE AS g{i}" for i in range(len(combos)))
+    lines = [
+        f"2.0::DOUBLE / {p['signal_period'] + 1} * ({step[p['fast']]} - {step[p['slow']]}) "
+        f"+ {p['signal_period'] - 1}.0::DOUBLE / {p['signal_period'] + 1} * g{i}"
+        for i, p in enumerate(combos)
+    ]
+    walk = sql_walk("mw", first, "i + 1, " + ", ".join([*step.values(), *lines])).strip()
+    hists = " UNION ALL ".join(
+        f"SELECT symbol, i - 1 AS idx, {i} AS run, {p['slow'] + p['signal_period']} AS live, "
+        f"e{p['fast']} - e{p['slow']} - g{i} AS h FROM mw"
+        for i, p in enumerate(combos)
+    )
+    return f"""{walk},
+hs AS ({hists}),
+hl AS (SELECT *, lag(h, 1) OVER w AS h1, lag(h, 2) OVER w AS h2 FROM hs
+       WINDOW w AS (PARTITION BY symbol, run ORDER BY idx)),
+gs AS (
+  SELECT symbol, run, idx, open, close, CASE WHEN idx >= live AND h2 < 0 AND h1 >= 0 THEN 1
+    WHEN idx >= live AND h2 > 0 AND h1 <= 0 THEN -1 ELSE 0 END AS signal
+  FROM hl JOIN daily USING (symbol, idx))"""
+
+
+def sql_reversion_runs(combos: list[dict]) -> str:
+    """Signals ``gs`` of every reversion run: one walk whose state is the position per run."""
+    sizes = sorted({p["window"] for p in combos})
+    w = "(PARTITION BY symbol ORDER BY idx ROWS {} PRECEDING)"
+    z = ", ".join(
+        f"""CASE WHEN idx >= {n} AND stddev_samp(close) OVER {w.format(n - 1)} > 1e-10
+  THEN (close - avg(close) OVER {w.format(n - 1)}) / stddev_samp(close) OVER {w.format(n - 1)} END AS z{n}"""
+        for n in sizes
+    )
+    lists = ", ".join(f"list(z{n} ORDER BY idx) AS l{n}" for n in sizes)
+    names = ", ".join(f"l{n}" for n in sizes)
+
+    def move(i: int, p: dict, at: str) -> str:
+        v, t = f"l{p['window']}[{at}]", p["z_threshold"]
+        return f"""CASE WHEN {v} IS NULL THEN 0 WHEN p{i} = 0 AND {v} < -{t} THEN 1
+  WHEN p{i} = 0 AND {v} > {t} THEN -1 WHEN p{i} = 1 AND {v} >= 0 THEN -1
+  WHEN p{i} = -1 AND {v} <= 0 THEN 1 ELSE 0 END"""
+
+    steps = ", ".join(f"p{i} + {move(i, p, 'i + 1')}" for i, p in enumerate(combos))
+    rows = " UNION ALL ".join(
+        f"""SELECT symbol, i - 1 AS idx, {i} AS run, p{i}
+  - coalesce(lag(p{i}) OVER (PARTITION BY symbol ORDER BY i), 0) AS signal FROM rw"""
+        for i in range(len(combos))
+    )
+    zeros = ", ".join(f"0 AS p{i}" for i in range(len(combos)))
+    return f"""zr AS (SELECT symbol, idx, {z} FROM daily),
+zw AS (SELECT symbol, count(*) AS n, {lists} FROM zr GROUP BY symbol),
+rw AS (
+  SELECT symbol, n, {names}, 1::BIGINT AS i, {zeros} FROM zw
+  UNION ALL SELECT symbol, n, {names}, i + 1, {steps} FROM rw WHERE i < n),
+sg AS ({rows}),
+gs AS (SELECT symbol, run, idx, open, close, signal FROM sg JOIN daily USING (symbol, idx))"""
+
+
+def sql_grid(strategy: str, signals_sql: str) -> str:
+    combos = search.combinations(strategy)
+    defaults = {k: v for k, v in DEFAULTS[strategy].items() if k in combos[0]}
+    base = next(search.params_text(p) for p in combos if p == defaults)
+    return (
+        with_sql(
+            SQL_DAILY,
+            sql_params(strategy, combos),
+            signals_sql,
+            sql_backtest("gs", "symbol, run", "gsim"),
+            sql_report("gsim", "symbol, run", "grep_"),
+        )
+        + f""",
+sc AS (
+  SELECT g.*, params, round(sharpe_ratio, 4) AS score FROM grep_ g JOIN runs USING (run)
+  WHERE n_days + 1 >= need),
+df AS (SELECT symbol, max(score) AS best, coalesce(max(score) FILTER (WHERE params = '{base}'), 0) AS base
+       FROM sc GROUP BY symbol)
+SELECT symbol, params, round(sharpe_ratio, 3)::DOUBLE AS sharpe_ratio,
+  round(total_return, 4)::DOUBLE AS total_return, round(max_drawdown, 4)::DOUBLE AS max_drawdown,
+  round(calmar_ratio, 3)::DOUBLE AS calmar_ratio, round(win_rate, 3)::DOUBLE AS win_rate, n_trades,
+  score::DOUBLE AS score,
+  row_number() OVER (PARTITION BY symbol ORDER BY score DESC NULLS LAST, run)::INT AS rank,
+  base::DOUBLE AS default_score,
+  round(CASE WHEN base <> 0 THEN (best - base) / abs(base) * 100 ELSE 0 END, 1)::DOUBLE
+    AS improvement_pct
+FROM sc JOIN df USING (symbol)"""
+    )
+
+
+for _strategy, _sql in (
+    ("mean_reversion", sql_reversion_runs), ("rsi", sql_rsi_runs), ("macd", sql_macd_runs)
+):
 
     def _grid(spark, d, strategy=_strategy):
         return search.grid_search(daily_indexed(spark, d), strategy)
 
-    query(f"grid_search_{_strategy}")(_grid)
+    query(f"grid_search_{_strategy}", sql_grid(_strategy, _sql(search.combinations(_strategy))))(_grid)
 
 
-@query(
-    "grid_best",
-    None,
-)
+@query("grid_best")
 def grid_best(spark, d):
     """Ten best runs per symbol and strategy, all four strategies in one result."""
     parts = []

@@ -75,7 +75,7 @@ def macd(spark, d):
     return out.select("symbol", "ts", *lines)
 
 
-def sql_rsi(period: int = 14) -> str:
+def sql_rsi(period: int = 14, name: str = "rsi") -> str:
     p = f"{period}.0::DOUBLE"
     gain = "greatest(cs[i + 1] - cs[i], 0)"
     loss = "greatest(cs[i] - cs[i + 1], 0)"
@@ -87,16 +87,16 @@ def sql_rsi(period: int = 14) -> str:
 
     return (
         sql_walk(
-            "rsiw",
+            name + "w",
             "1::BIGINT AS i, 0.0::DOUBLE AS ag, 0.0::DOUBLE AS al",
             f"i + 1, {next_avg('ag', gain)}, {next_avg('al', loss)}",
         )
         + f""",
-rsi AS (
+{name} AS (
   SELECT symbol, i - 1 AS idx, tss[i] AS ts,
     CASE WHEN i - 1 >= {period} THEN CASE WHEN al = 0 THEN 100
          ELSE 100 - 100 / (1 + ag / al) END END AS rsi
-  FROM rsiw)"""
+  FROM {name}w)"""
     )
 
 
