@@ -432,6 +432,10 @@ for _strategy in ("mean_reversion", "rsi", "macd"):
 # --- ranges ----------------------------------------------------------------------------
 
 
+# Ranges below span at most 200 bars, less than 2^8.
+LOOKBACK_LEVELS = 8
+
+
 def lookbacks(bars):
     """One range per bar, ending there and reaching back by a length read from the data."""
     back = F.pmod(F.col("volume").cast("long"), F.lit(200))
@@ -453,7 +457,7 @@ FROM q JOIN daily d ON d.symbol = q.symbol AND d.idx BETWEEN l AND r GROUP BY q.
 )
 def range_minmax(spark, d):
     bars = daily_indexed(spark, d)
-    out = ranges.range_extremes(bars, lookbacks(bars))
+    out = ranges.range_extremes(bars, lookbacks(bars), levels=LOOKBACK_LEVELS)
     return out.withColumnsRenamed({"hi": "resistance", "lo": "support"})
 
 
@@ -466,7 +470,7 @@ FROM q JOIN daily d ON d.symbol = q.symbol AND d.idx BETWEEN l AND r GROUP BY q.
 )
 def range_agg(spark, d):
     bars = daily_indexed(spark, d)
-    out = ranges.range_extremes(bars, lookbacks(bars), "close", "close")
+    out = ranges.range_extremes(bars, lookbacks(bars), "close", "close", LOOKBACK_LEVELS)
     return ranges.range_sums(bars, out, "volume").select("symbol", "l", "r", "hi", "lo", "total")
 
 
@@ -500,7 +504,7 @@ def range_after_update(spark, d):
         )
     )
     fixed = ranges.overlay(bars, returned, "close", F.col("version"))
-    return ranges.range_extremes(fixed, lookbacks(bars), "close", "close")
+    return ranges.range_extremes(fixed, lookbacks(bars), "close", "close", LOOKBACK_LEVELS)
 
 
 # --- what-if ---------------------------------------------------------------------------

@@ -82,12 +82,9 @@ def chunk(
                 rows, columns=["parent_doc_id", "chunk_id", "chunk_index", "total_chunks", "content"]
             )
 
-    spark = docs.sparkSession
-    count = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    spread = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").repartition(count)
-    return spread.mapInPandas(run, CHUNK_SCHEMA)
+    count = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+    return rows.repartition(count).mapInPandas(run, CHUNK_SCHEMA)
 
 
 def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -54,15 +54,24 @@ def sentences(
     return docs.select(*keys, found)
 
 
-def score(sentence: Column, positive=POSITIVE, negative=NEGATIVE) -> tuple[Column, Column]:
-    """Score and confidence from distinct lexicon words in the sentence."""
-    seen = F.array_distinct(words(F.lower(sentence)))
-    p = F.size(F.array_intersect(seen, F.array(*[F.lit(w) for w in positive])))
-    n = F.size(F.array_intersect(seen, F.array(*[F.lit(w) for w in negative])))
+def lexicon(values: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in values])
+
+
+def rate(p: Column, n: Column) -> tuple[Column, Column]:
+    """Score and confidence from the numbers of positive and negative words."""
     hits = p + n
     value = F.when(hits == 0, 0.0).otherwise((p - n) / hits)
-    confidence = F.when(hits == 0, 0.3).otherwise(F.least(F.lit(0.7), hits * 0.15))
-    return value, confidence
+    return value, F.when(hits == 0, 0.3).otherwise(F.least(F.lit(0.7), hits * 0.15))
+
+
+def scored(sents: DataFrame, positive=POSITIVE, negative=NEGATIVE) -> DataFrame:
+    """Score each sentence by the distinct lexicon words in it."""
+    found = lambda values: F.size(F.array_intersect(F.col("_seen"), lexicon(values)))
+    d = sents.withColumn("_seen", F.array_distinct(words(F.lower("sentence"))))
+    d = d.withColumns({"_p": found(positive), "_n": found(negative)})
+    value, confidence = rate(F.col("_p"), F.col("_n"))
+    return d.withColumns({"score": value, "confidence": confidence}).drop("_seen", "_p", "_n")
 
 
 def evidence(
@@ -75,26 +84,41 @@ def evidence(
     and task. ``tone_words`` adds columns counting which words occur anywhere.
     """
 
-    def fold(acc: Column, s: Column) -> Column:
-        value, confidence = score(s, positive, negative)
+    # Stage by stage, so that a sentence is split into words only once.
+    seen = F.transform(
+        sentence_array(F.col(content), limit, chars),
+        lambda s: F.array_distinct(words(F.lower(s))),
+    )
+    hits = F.transform(
+        seen,
+        lambda w: F.struct(
+            F.size(F.array_intersect(w, lexicon(positive))).alias("p"),
+            F.size(F.array_intersect(w, lexicon(negative))).alias("n"),
+        ),
+    )
+    rates = F.transform(
+        hits, lambda h: F.struct(*[r.alias(a) for a, r in zip("vc", rate(h["p"], h["n"]))])
+    )
+
+    def fold(acc: Column, r: Column) -> Column:
         return F.struct(
-            (acc["w"] + value * confidence).alias("w"),
-            (acc["c"] + confidence).alias("c"),
+            (acc["w"] + r["v"] * r["c"]).alias("w"),
+            (acc["c"] + r["c"]).alias("c"),
             (acc["n"] + 1).alias("n"),
         )
 
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("n"))
-    folded = F.aggregate(sentence_array(F.col(content), limit, chars), zero, fold)
+    folded = F.aggregate(rates, zero, fold)
     text = F.lower(content)
-    words = {w: f"_t{i}" for i, w in enumerate(w for ws in (tone_words or {}).values() for w in ws)}
+    marks = {w: f"_t{i}" for i, w in enumerate(w for ws in (tone_words or {}).values() for w in ws)}
     rows = docs.select(
         key.alias("symbol"), folded.alias("_f"),
-        *[text.contains(w).cast("int").alias(c) for w, c in words.items()],
+        *[text.contains(w).cast("int").alias(c) for w, c in marks.items()],
     )
     total = rows.groupBy("symbol").agg(
         F.sum("_f.w").alias("_w"), F.sum("_f.c").alias("_c"), F.sum("_f.n").alias("sentences"),
         *[
-            sum(F.max(words[w]) for w in ws).alias(name) for name, ws in (tone_words or {}).items()
+            sum(F.max(marks[w]) for w in ws).alias(name) for name, ws in (tone_words or {}).items()
         ],
     )
     mean = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_w") / F.col("_c")))
@@ -107,11 +131,6 @@ def evidence(
     ).withColumn("sentiment_label", label(F.col("sentiment_score")))
 
 
-def scored(sents: DataFrame, positive=POSITIVE, negative=NEGATIVE) -> DataFrame:
-    value, confidence = score(F.col("sentence"), positive, negative)
-    return sents.withColumns({"score": value, "confidence": confidence})
-
-
 def label(value: Column) -> Column:
     return (
         F.when(value > BULLISH_AT, "BULLISH").when(value < BEARISH_AT, "BEARISH").otherwise("NEUTRAL")

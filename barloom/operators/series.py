@@ -54,11 +54,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     grid runs multiply a hundredfold, into one task. Windows on ``keys`` (or on more
     columns) reuse this placement, so it replaces their shuffle.
     """
-    spark = df.sparkSession
-    count = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    return df.repartition(count, *keys)
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def number_rows(df: DataFrame, layout: Layout) -> DataFrame:
