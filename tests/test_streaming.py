@@ -114,3 +114,18 @@ def test_ledger_halts_once():
     actions = [m and m["action"] for m in made]
     assert actions[0] == "buy" and actions.count("halt") == 1
     assert actions[actions.index("halt") + 1 :] == [None] * (4 - actions.index("halt"))
+
+
+def test_live_macd_equals_loop():
+    rng = random.Random(6)
+    closes = [100 + rng.gauss(0, 3) for _ in range(200)]
+    step, s = live.stepper("macd", {"fast": 3, "slow": 6, "signal_period": 4}), {}
+    got = [step(s, c) for c in closes]
+    fast, slow = sum(closes[3:6]) / 3, sum(closes[:6]) / 6
+    signal, hist, want = fast - slow, 0.0, [0] * 6
+    for c in closes[6:]:
+        fast, slow = 0.5 * c + 0.5 * fast, 2 / 7 * c + 5 / 7 * slow
+        signal = 0.4 * (fast - slow) + 0.6 * signal
+        was, hist = hist, fast - slow - signal
+        want.append(1 if was < 0 <= hist else -1 if was > 0 >= hist else 0)
+    assert got == want and {1, -1} <= set(got)
