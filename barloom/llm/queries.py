@@ -72,3 +72,34 @@ def op5_token_counts(spark, d):
     from barloom.llm.token_counts import token_counts
 
     return token_counts(documents(spark, d), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op6_byte_index_simhash")
+def op6_byte_index_simhash(spark, d):
+    from barloom.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, d), words=3)
+
+
+@query("op7_rank_order_language")
+def op7_rank_order_language(spark, d):
+    from barloom.llm.language import held_out, identify, learn
+
+    docs = documents(spark, d)
+    profiles = learn(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_boosted_quality")
+def op4_boosted_quality(spark, d):
+    from barloom.llm.quality import judge, learn
+
+    docs = documents(spark, d)
+    return judge(docs, learn(docs, table(spark, d, "labels")))
+
+
+@query("op8_bounded_space_packing")
+def op8_bounded_space_packing(spark, d):
+    from barloom.llm.packing import pack
+
+    return pack(documents(spark, d), tokenizer_file("word_bpe_49k.json"), end_id=1, size=2048)
