@@ -103,3 +103,19 @@ def op8_bounded_space_packing(spark, d):
     from barloom.llm.packing import pack
 
     return pack(documents(spark, d), tokenizer_file("word_bpe_49k.json"), end_id=1, size=2048)
+
+
+@query("op9_seed_extend_substrings")
+def op9_seed_extend_substrings(spark, d):
+    from barloom.llm.substrings import remove_repeats
+
+    return remove_repeats(documents(spark, d)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+@query("op10_seekable_warc")
+def op10_seekable_warc(spark, d):
+    from barloom.llm.warc import read_archive, write_archive
+
+    return read_archive(*write_archive(table(spark, d, "pages"))).drop("url")
