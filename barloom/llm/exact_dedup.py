@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.tables import Members, saved
+from barloom.llm.tables import Members, saved, text_key, without
 
 #: Different texts that a bucket of the index may hold before it splits.
 BUCKET_TEXTS = 4096
@@ -56,7 +56,7 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
 def build(docs: DataFrame, capacity: int = BUCKET_TEXTS, hashed=key_hash, digested=digest) -> tuple[DataFrame, DataFrame]:
     """(rows, index), both written to the shared folder.
 
-    rows: doc_id, code_points, h, digest of every document. index: one entry per different
+    rows: doc_id, code_points, h, digest and text key of every document. index: one entry per different
     text, in buckets owned by one task each: bucket, h, digest, n (rows), best (of the row that
     stays), chain (place among different texts with the same hash), read in key order.
 
@@ -73,6 +73,7 @@ def build(docs: DataFrame, capacity: int = BUCKET_TEXTS, hashed=key_hash, digest
             F.coalesce(F.length("text"), F.lit(0)).alias("code_points"),
             hashed(norm).alias("h"),
             digested(norm).alias("digest"),
+            text_key().alias("key"),
         ),
         "exact-rows",
     )
@@ -126,4 +127,13 @@ def keepers(docs: DataFrame, **options) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"),
         "bucket",
         F.col("chain").cast("long").alias("chain"),
+        "key",
     )
+
+
+def drop_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of every group of equal texts, all columns as they are. Of
+    repeated rows one stays; among copies that all lack a doc_id, one of each wording."""
+    verdict = saved(keepers(docs, **options).select("doc_id", "key", "kept"), "exact-verdict")
+    repeated = verdict.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return without(docs, verdict.where("not kept"), repeated)

@@ -64,7 +64,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 def op3_exact_dedup(spark, d):
     from barloom.llm.exact_dedup import keepers
 
-    return keepers(documents(spark, d)).drop("bucket", "chain")
+    return keepers(documents(spark, d)).drop("bucket", "chain", "key")
 
 
 @query("op5_token_counts")
@@ -78,7 +78,7 @@ def op5_token_counts(spark, d):
 def op6_byte_index_simhash(spark, d):
     from barloom.llm.simhash import near_duplicates
 
-    return near_duplicates(documents(spark, d), words=3)
+    return near_duplicates(documents(spark, d), words=3).drop("key")
 
 
 @query("op7_rank_order_language")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.tables import saved
+from barloom.llm.tables import saved, text_key, without
 from barloom.llm.texts import Words, slices
 
 BYTES = 8
@@ -64,18 +64,21 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash of every whole text over shingles of ``words`` words,
-    ASCII letters lowered. A null text counts as empty; texts without words have 0."""
+    """(doc_id, key, fp): 64-bit SimHash of every whole text over shingles of ``words`` words,
+    ASCII letters lowered. A null text counts as empty; texts without words have 0.
+    ``key`` is a hash of the text."""
 
     def run(batches):
         for whole in batches:
             for part in slices(whole):
                 hashes, bounds = shingle_hashes(Words(part.column("text"), lower=True), words)
                 fp = majority(hashes, bounds).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("key"), pa.array(fp)], ["doc_id", "key", "fp"]
+                )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.withColumn("key", text_key()).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _mask(positions) -> int:
@@ -157,7 +160,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+    """(doc_id, fingerprint, component_id, key) of every row.
 
     Rows with the same fingerprint are folded before any pair is made; the component of a
     row is the smallest doc_id that links reach, its own included. A null text counts as
@@ -178,5 +181,12 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
         "named",
     )
     return rows.join(named, rows["fp"] == named["own"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key"
     )
+
+
+def drop_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` with the smallest doc_id of every component, all columns as they are. Rows
+    that share that id stay; rows without an id stay if their whole component has none."""
+    found = near_duplicates(docs, words)
+    return without(docs, found.where("not doc_id <=> component_id"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,7 +192,7 @@ def with_repeats(docs: DataFrame, **options) -> DataFrame:
 def _kept(words: Words, spans: pa.Array) -> np.ndarray:
     """Which words no span covers."""
     cover = np.zeros(len(words) + 1, np.int64)
-    size = np.array([0 if s is None else len(s) for s in spans.to_pylist()]) if spans.null_count < len(spans) else np.zeros(len(spans), np.int64)
+    size = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
     if size.any():
         values = spans.flatten()
         at = values.field("at").to_numpy() + np.repeat(words.bounds[:-1], size)
@@ -248,28 +247,23 @@ def cleaned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     """``docs`` without repeated passages, all columns as they are but ``text`` and, if
     there, ``n_chars``. A text that lost words has its other words joined by one space; one
     that lost none is untouched; one that lost all is dropped."""
-    text = docs.columns.index("text")
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names, text = list(docs.columns), docs.columns.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for whole in batches:
-            names = whole.schema.names
-            row = whole.column(0)
-            flat = pa.RecordBatch.from_arrays([*row.flatten(), whole.column(1)], [*names_of(row), "spans"])
-            for part in slices(flat, column=flat.schema.names[text]) if names else ():
-                words = Words(part.column(text))
-                kept = _kept(words, part.column("spans"))
+            columns = [*whole.column("row").flatten(), whole.column("spans")]
+            for part in slices(pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))]), column=text):
+                old = part.column(text).cast(pa.string())
+                words = Words(old)
+                kept = _kept(words, part.column(len(names)))
                 lost = np.diff(np.concatenate([[0], np.cumsum(~kept)])[words.bounds])
-                old = part.column(text)
-                new = pa.array([w.decode() if n else None for w, n in zip(_left(words, kept), lost)], pa.string())
-                columns = part.columns[:-1]
-                columns[text] = pa.compute.if_else(pa.array(lost > 0), new, old.cast(pa.string()))
+                new = pc.if_else(pa.array(lost > 0), pa.array(_left(words, kept), pa.binary()).cast(pa.string()), old)
+                out = part.columns[:-1]
+                out[text] = new
                 if chars is not None:
-                    n = pa.compute.utf8_length(columns[text]).cast(columns[chars].type)
-                    columns[chars] = pa.compute.if_else(pa.array(lost > 0), n, columns[chars])
-                out = pa.RecordBatch.from_arrays(columns, docs_names)
-                yield out.filter(pa.array((lost == 0) | (lost < words.counts)))
+                    out[chars] = pc.if_else(pa.array(lost > 0), pc.utf8_length(new).cast(out[chars].type), out[chars])
+                stays = (lost == 0) | (lost < words.counts)
+                yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(stays))
 
-    docs_names = list(docs.columns)
-    names_of = lambda row: [row.type.field(i).name for i in range(row.type.num_fields)]
     return with_repeats(docs, window=window, anchor=anchor).mapInArrow(run, docs.schema)

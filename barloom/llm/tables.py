@@ -60,3 +60,28 @@ class Members:
             .withColumn(name, F.coalesce(bit, F.lit(False)))
             .drop("_page", "_bits")
         )
+
+
+def text_key(text: str = "text") -> Column:
+    """Tells rows with one doc_id apart; with the doc_id it names a row up to repeats."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """``docs`` less the rows named by ``gone`` (doc_id, key), all columns as they are.
+
+    Of rows named by ``repeated`` one stays. Only rows that a filter of fixed size points at
+    are shuffled, all others pass where they are read. Columns of ``docs`` may have any name.
+    """
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+    named = gone.select("doc_id", "key")
+    if repeated is not None:
+        named = named.union(repeated.select("doc_id", "key"))
+    marked = Members(named, F.xxhash64("doc_id", "key")).mark(rows, F.xxhash64("id", "key"), "maybe")
+    off = gone.select(F.col("doc_id").alias("their_id"), F.col("key").alias("their_key"))
+    stay = marked.where("maybe").join(
+        off, F.col("id").eqNullSafe(F.col("their_id")) & (F.col("key") == F.col("their_key")), "left_anti"
+    )
+    if repeated is not None:
+        stay = stay.groupBy("id", "key").agg(F.first("row").alias("row"))
+    return stay.select("row.*").union(marked.where("not maybe").select("row.*"))

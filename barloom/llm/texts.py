@@ -18,7 +18,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS)] = True
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``limit`` bytes of text each; a longer
     text is a part of its own, so no text is ever cut."""
     if not batch.num_rows:
