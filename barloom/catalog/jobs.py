@@ -14,6 +14,7 @@ from barloom.operators.signals import DEFAULTS
 from barloom.operators.validation import bars_needed
 from barloom.operators.validation import valid_params as params_ok
 from barloom.plans import search, walkforward, whatif
+from barloom.session import materialize
 from barloom.sources.bars import table
 
 
@@ -432,8 +433,9 @@ for _strategy in ("mean_reversion", "rsi", "macd"):
 # --- ranges ----------------------------------------------------------------------------
 
 
-# Ranges below span at most 200 bars, less than 2^8.
-LOOKBACK_LEVELS = 8
+def stored_bars(spark, d):
+    """Indexed bars, folded once and written: ranges read them for spans, ends and queries."""
+    return materialize(daily_indexed(spark, d), "bars")
 
 
 def lookbacks(bars):
@@ -456,8 +458,8 @@ SELECT q.symbol, l, r, max(high) AS resistance, min(low) AS support
 FROM q JOIN daily d ON d.symbol = q.symbol AND d.idx BETWEEN l AND r GROUP BY q.symbol, l, r""",
 )
 def range_minmax(spark, d):
-    bars = daily_indexed(spark, d)
-    out = ranges.range_extremes(bars, lookbacks(bars), levels=LOOKBACK_LEVELS)
+    bars = stored_bars(spark, d)
+    out = ranges.range_extremes(bars, lookbacks(bars))
     return out.withColumnsRenamed({"hi": "resistance", "lo": "support"})
 
 
@@ -469,8 +471,8 @@ SELECT q.symbol, l, r, max(close) AS hi, min(close) AS lo, sum(volume) AS total
 FROM q JOIN daily d ON d.symbol = q.symbol AND d.idx BETWEEN l AND r GROUP BY q.symbol, l, r""",
 )
 def range_agg(spark, d):
-    bars = daily_indexed(spark, d)
-    out = ranges.range_extremes(bars, lookbacks(bars), "close", "close", LOOKBACK_LEVELS)
+    bars = stored_bars(spark, d)
+    out = ranges.range_extremes(bars, lookbacks(bars), "close", "close")
     return ranges.range_sums(bars, out, "volume").select("symbol", "l", "r", "hi", "lo", "total")
 
 
@@ -488,7 +490,7 @@ SELECT q.symbol, l, r, max(v) AS hi, min(v) AS lo
 FROM q JOIN fixed f ON f.symbol = q.symbol AND f.idx BETWEEN l AND r GROUP BY q.symbol, l, r""",
 )
 def range_after_update(spark, d):
-    bars = daily_indexed(spark, d)
+    bars = stored_bars(spark, d)
     returned = (
         table(spark, d, "lineitem")
         .filter(F.col("l_returnflag") == "R")
@@ -504,7 +506,7 @@ def range_after_update(spark, d):
         )
     )
     fixed = ranges.overlay(bars, returned, "close", F.col("version"))
-    return ranges.range_extremes(fixed, lookbacks(bars), "close", "close", LOOKBACK_LEVELS)
+    return ranges.range_extremes(fixed, lookbacks(bars), "close", "close")
 
 
 # --- what-if ---------------------------------------------------------------------------

@@ -8,14 +8,17 @@ from barloom.catalog.registry import query
 from barloom.catalog.views import SQL_HOURLY, SQL_TICKS, ticks, with_sql
 from barloom.streaming import alerting, live, tables, windows
 
+#: Running tables take ticks in any order of files; a closed candle waits a day for late ones.
+LATE = "3650 days"
+
 # Windows held back by the watermark never appear in append mode: a candle is closed
-# once the newest tick lies at or after its end.
+# once the newest tick lies a day or more after its end.
 SQL_CLOSED = (
     SQL_HOURLY
     + """,
 closed AS (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM hourly
-  WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM ticks))"""
+  WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM ticks))"""
 )
 
 
@@ -23,6 +26,10 @@ def closed(spark, d):
     return windows.candles(tables.tick_stream(spark, d))
 
 
+def running(spark, d):
+    return windows.candles(tables.tick_stream(spark, d), delay=LATE)
+
+
 def candle_table(spark, d):
     """Closed candles, landed and read on as a stream."""
     return tables.restream(windows.plain(closed(spark, d)), "candle-feed")
@@ -33,7 +40,7 @@ def candle_table(spark, d):
     with_sql(SQL_HOURLY) + "SELECT symbol, ts, open, high, low, close, volume FROM hourly",
 )
 def stream_candles(spark, d):
-    changes = tables.drain_changes(windows.plain(closed(spark, d)), "candles")
+    changes = tables.drain_changes(windows.plain(running(spark, d)), "candles")
     return tables.current(changes, ["symbol", "ts"])
 
 
@@ -51,7 +58,7 @@ def stream_candles_closed(spark, d):
 )
 def stream_new_candles(spark, d):
     """First emission of each candle."""
-    changes = tables.drain_changes(windows.plain(closed(spark, d)), "new-candles")
+    changes = tables.drain_changes(windows.plain(running(spark, d)), "new-candles")
     first = tables.first_seen(changes, ["symbol", "ts"])
     return first.select("symbol", "ts", F.lit(True).alias("is_new_candle"))
 
@@ -160,7 +167,7 @@ s AS (SELECT *, sum(starts) OVER (PARTITION BY symbol ORDER BY ts, seq) AS sid F
 SELECT symbol, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n,
   min(price) AS low, max(price) AS high
 FROM s GROUP BY symbol, sid
-HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM ticks)""",
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM ticks)""",
 )
 def stream_sessions(spark, d):
     return tables.drain_append(windows.sessions(tables.tick_stream(spark, d)), "sessions")
@@ -182,7 +189,7 @@ SELECT symbol, ts, count(*) AS n, round(avg(price), 6) AS mean, round(stddev_sam
 FROM x GROUP BY symbol, ts""",
 )
 def stream_sliding(spark, d):
-    changes = tables.drain_changes(windows.sliding(tables.tick_stream(spark, d)), "sliding")
+    changes = tables.drain_changes(windows.sliding(tables.tick_stream(spark, d), delay=LATE), "sliding")
     return tables.current(changes, ["symbol", "ts"]).withColumns(
         {"mean": F.round("mean", 6), "std": F.round("std", 6)}
     )

@@ -55,14 +55,14 @@ raw AS (
       AS title, text AS content, 'https://example.com/' || sha256(text) AS url,
     strftime(DATE '2024-01-01' + doc_id::INT, '%Y-%m-%d') AS date FROM documents),
 art AS (
-  SELECT pos, upper(ticker) AS ticker, source, left(title, 200) AS title, url, date, content FROM (
+  SELECT pos, upper(ticker) AS ticker, source, title, url, date, content FROM (
     SELECT * REPLACE ({sql_clean("title || chr(10) || chr(10) || '' || chr(10) || chr(10) || content")}
       AS content) FROM raw WHERE title NOT IN ('[Removed]', ''))
   WHERE length(content) >= 50)"""
 
 
 def articles(spark, d):
-    return documents.articles(raw_articles(spark, d), limit=None)
+    return documents.articles(raw_articles(spark, d), limit=None, title_chars=None)
 
 
 @query(
@@ -154,7 +154,7 @@ c AS (
   SELECT *, trim(CASE WHEN summary <> '' AND summary <> title THEN title || ' ' || summary ELSE title END)
     AS content FROM p),
 k AS (
-  SELECT *, row_number() OVER (PARTITION BY ticker, CASE WHEN url <> '' THEN url ELSE left(content, 50) END
+  SELECT *, row_number() OVER (PARTITION BY ticker, CASE WHEN url <> '' THEN url ELSE content END
                                ORDER BY pos) AS rn FROM c WHERE length(content) >= 10)
 SELECT ticker, pos, title, url, content, 'news' AS doc_type FROM k WHERE rn = 1""",
 )
@@ -267,7 +267,7 @@ def union_sources(spark, d):
 @query("doc_dedup", f"WITH {SQL_LANDED} SELECT doc_id, ticker, source, date, url FROM d2")
 def doc_dedup(spark, d):
     good, _ = documents.split_errors(landed(spark, d))
-    return documents.dedup(good, arrival()).select("doc_id", "ticker", "source", "date", "url")
+    return documents.dedup(good.select("doc_id", "ticker", "source", "date", "url"), arrival())
 
 
 @query(
@@ -276,7 +276,8 @@ def doc_dedup(spark, d):
 )
 def newest_docs(spark, d):
     good, _ = documents.split_errors(landed(spark, d))
-    return documents.newest(documents.dedup(good, arrival()), 50).select("doc_id", "ticker", "date")
+    kept = documents.dedup(good.select("doc_id", "ticker", "date", "url"), arrival())
+    return documents.newest(kept, 50).select("doc_id", "ticker", "date")
 
 
 SQL_FIXED = """
@@ -436,7 +437,7 @@ FROM landed""",
 def metadata_flatten(spark, d):
     extra = F.create_map(F.lit("feed"), F.col("source"), F.lit("chars"), F.length("content").cast("string"))
     docs = landed(spark, d).withColumn("extra", extra)
-    flat = documents.flatten(docs).select("doc_id", F.col("ticker").alias("_t"), "flat", F.col("extra").alias("_x"))
+    flat = documents.flatten(docs, None, None).select("doc_id", F.col("ticker").alias("_t"), "flat", F.col("extra").alias("_x"))
     back = documents.unflatten(flat.withColumn("_f", F.col("flat")))
     same = (F.col("ticker") == F.col("_t")) & (F.to_json("extra") == F.to_json("_x"))
     pick = lambda k: F.col("_f")[k].alias(k)

@@ -1,13 +1,14 @@
 """Overlapping text chunks.
 
-Documents are independent, so chunking is one narrow ``mapInPandas`` step. Input is spread
-by document first: lengths differ by orders of magnitude and files hold runs of them.
+Documents are independent, so chunking is one narrow ``mapInPandas`` step, where the text
+is read; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,19 +43,25 @@ def pieces(text: str, size: int) -> list[str]:
     return [p[i : i + size] for p in parts for i in range(0, len(p), size)]
 
 
+def cuts(lengths: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of parts that make up the chunks, from running lengths alone.
+
+    A part weighs its length and a blank. A chunk takes as many parts as ``size`` holds, but
+    always the part that the chunk before had no room for; the next starts at the first part
+    from which no more than ``overlap`` is repeated. Both ends are found by bisection.
+    """
+    ends = [0, *accumulate(n + 1 for n in lengths)]
+    first, stop = 0, 0
+    while stop < len(lengths):
+        stop = max(bisect_right(ends, ends[first] + size + 1) - 1, stop + 1)
+        yield first, stop
+        first = bisect_left(ends, ends[stop] - overlap, first, stop)
+
+
 def join_pieces(parts: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Chunks of joined parts; trailing parts worth at most ``overlap`` start the next."""
-    held: deque[str] = deque()
-    used = 0
-    for part in parts:
-        if held and used + len(part) > size:
-            yield " ".join(held).strip()
-            while held and used > overlap:
-                used -= len(held.popleft()) + 1
-        held.append(part)
-        used += len(part) + 1
-    if held:
-        yield " ".join(held).strip()
+    """Chunks of joined parts."""
+    for first, stop in cuts([len(p) for p in parts], size, overlap):
+        yield " ".join(parts[first:stop]).strip()
 
 
 def split_text(text: str, size=SIZE, overlap=OVERLAP, minimum=MINIMUM) -> list[str]:
@@ -82,9 +89,8 @@ def chunk(
                 rows, columns=["parent_doc_id", "chunk_id", "chunk_index", "total_chunks", "content"]
             )
 
-    count = 4 * docs.sparkSession.sparkContext.defaultParallelism
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
-    return rows.repartition(count).mapInPandas(run, CHUNK_SCHEMA)
+    return rows.mapInPandas(run, CHUNK_SCHEMA)
 
 
 def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

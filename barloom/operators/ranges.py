@@ -12,17 +12,30 @@ from pyspark.sql import functions as F
 
 from barloom.operators.series import INDEX
 
-#: 2^16 rows hold a century of daily bars (36 525).
-LEVELS = 17
+def within(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """``queries``, failing the job on one that is empty or leaves its series."""
+    ends = df.groupBy("symbol").agg(F.max(INDEX).alias("_last"))
+    good = (F.col("l") >= 0) & (F.col("l") <= F.col("r")) & (F.col("r") <= F.col("_last"))
+    checked = lambda c: F.when(good, F.col(c)).otherwise(F.raise_error(F.lit("bad range")).cast("long"))
+    # on both ends: a join only evaluates the end that it meets on before it drops a row
+    return queries.join(ends, "symbol", "left").withColumns({"l": checked("l"), "r": checked("r")}).drop("_last")
 
 
-def span_table(df: DataFrame, high: str, low: str, levels: int = LEVELS) -> DataFrame:
-    """``(symbol, level, idx, hi, lo)`` over rows ``idx .. idx + 2^level - 1``.
+def levels_for(queries: DataFrame) -> int:
+    """Levels that spans need for the longest of ``queries``."""
+    longest = queries.agg(F.max(F.col("r") - F.col("l") + 1)).first()[0]
+    return int(longest or 1).bit_length()
+
+
+def span_table(df: DataFrame, high: str, low: str, levels: int) -> DataFrame:
+    """``(symbol, level, idx, hi, lo)`` over rows ``idx .. idx + 2^level - 1``, for spans that
+    end within the series.
 
     Each level joins two spans of the level below, so a level costs one pass.
     """
+    last = F.max(INDEX).over(Window.partitionBy("symbol"))
     w = Window.partitionBy("symbol").orderBy(INDEX)
-    d = df.select("symbol", INDEX, F.col(high).alias("_hi0"), F.col(low).alias("_lo0"))
+    d = df.select("symbol", INDEX, F.col(high).alias("_hi0"), F.col(low).alias("_lo0"), last.alias("_last"))
     for k in range(1, levels):
         half = 1 << (k - 1)
         d = d.withColumns(
@@ -37,24 +50,19 @@ def span_table(df: DataFrame, high: str, low: str, levels: int = LEVELS) -> Data
             for k in range(levels)
         ]
     )
-    return d.select("symbol", INDEX, F.inline(spans))
+    fits = lambda s: F.col(INDEX) + F.pow(F.lit(2.0), s["level"]) - 1 <= F.col("_last")
+    return d.select("symbol", INDEX, F.inline(F.filter(spans, fits)))
 
 
-def range_extremes(
-    df: DataFrame, queries: DataFrame, high="high", low="low", levels: int = LEVELS
-) -> DataFrame:
+def range_extremes(df: DataFrame, queries: DataFrame, high="high", low="low") -> DataFrame:
     """Highest ``high`` and lowest ``low`` per query ``(symbol, l, r)``, both ends included.
 
-    A query with ``l > r``, outside the series or longer than ``2^levels`` rows fails the job.
+    A query with ``l > r``, of an unknown series or outside its series fails the job. There
+    is no limit on its length: the longest query decides how many levels are made.
     """
-    spans = span_table(df, high, low, levels)
+    spans = span_table(df, high, low, levels_for(queries))
     size = F.col("r") - F.col("l") + 1
-    level = F.floor(F.log2(size.cast("double"))).cast("int")
-    q = queries.withColumn(
-        "_level",
-        F.when((size < 1) | (F.col("l") < 0) | (level >= levels), F.raise_error(F.lit("bad range")).cast("int"))
-        .otherwise(level),
-    )
+    q = within(df, queries).withColumn("_level", F.floor(F.log2(size.cast("double"))).cast("int"))
     left = spans.select(
         "symbol", F.col("level").alias("_level"), F.col(INDEX).alias("l"),
         F.col("hi").alias("_hi1"), F.col("lo").alias("_lo1"),
@@ -74,13 +82,13 @@ def range_extremes(
 
 
 def range_sums(df: DataFrame, queries: DataFrame, value: str) -> DataFrame:
-    """Sum of ``value`` per query ``(symbol, l, r)`` from prefix sums."""
+    """Sum of ``value`` per query ``(symbol, l, r)`` from prefix sums; bad queries fail the job."""
     w = Window.partitionBy("symbol").orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
     prefix = df.select("symbol", INDEX, F.sum(value).over(w).alias("_sum"))
     upper = prefix.select("symbol", F.col(INDEX).alias("r"), F.col("_sum").alias("_to"))
     lower = prefix.select("symbol", (F.col(INDEX) + 1).alias("l"), F.col("_sum").alias("_from"))
     return (
-        queries.join(upper, ["symbol", "r"])
+        within(df, queries).join(upper, ["symbol", "r"])
         .join(lower, ["symbol", "l"], "left")
         .withColumn("total", F.col("_to") - F.coalesce("_from", F.lit(0.0)))
         .drop("_to", "_from")
@@ -91,11 +99,14 @@ def overlay(df: DataFrame, updates: DataFrame, value: str, version) -> DataFrame
     """Apply point updates ``(symbol, ts, value)``; the latest version of a point wins.
 
     Updates are folded to one row per point before the join, so a point that was
-    corrected very often costs no more than others.
+    corrected very often costs no more than others. An update of a point that is not there
+    fails the job.
     """
     latest = updates.groupBy("symbol", "ts").agg(F.max_by("value", version).alias("_new"))
+    known = df.withColumn("_known", F.lit(True)).join(latest, ["symbol", "ts"], "full")
+    unknown = F.raise_error(F.lit("update of an unknown point")).cast("boolean")
     return (
-        df.join(latest, ["symbol", "ts"], "left")
+        known.withColumn("_known", F.coalesce("_known", unknown)).where("_known")
         .withColumn(value, F.coalesce("_new", value))
-        .drop("_new")
+        .drop("_new", "_known")
     )

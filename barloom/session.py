@@ -37,7 +37,9 @@ def local_session(cores: int = 8, app: str = "barloom", memory: str = "8g") -> S
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One process for driver and executors; ``local-cluster`` is a cluster."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession) -> str:

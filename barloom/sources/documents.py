@@ -34,7 +34,8 @@ DOCS_SCHEMA = T.StructType(
 DOC_TYPES = ["10-K", "10-Q", "8-K", "news", "rss", "pdf", "earnings", "unknown"]
 REMOVED = "[Removed]"
 MIN_ARTICLE, MAX_ARTICLE, MAX_TITLE = 50, 5000, 200
-FEED_ENTRIES, FEED_POSTS, POST_SUMMARY, MIN_POST, POST_KEY = 50, 15, 200, 10, 50
+FEED_ENTRIES, FEED_POSTS, POST_SUMMARY, MIN_POST = 50, 15, 200, 10
+FLAT_TITLE, FLAT_VALUE = 500, 200
 MAX_PAGES, MIN_PAGE = 50, 100
 
 
@@ -49,7 +50,9 @@ def first_per(df: DataFrame, key: Column, order: Column) -> DataFrame:
     return kept.select("_row.*")
 
 
-def articles(df: DataFrame, limit: int | None = MAX_ARTICLE) -> DataFrame:
+def articles(
+    df: DataFrame, limit: int | None = MAX_ARTICLE, title_chars: int | None = MAX_TITLE
+) -> DataFrame:
     """News rows: titled, at least 50 clean characters, day taken from the timestamp.
 
     Input: ``ticker, source, title, description, content, url, published_at``.
@@ -63,7 +66,7 @@ def articles(df: DataFrame, limit: int | None = MAX_ARTICLE) -> DataFrame:
         .withColumns(
             {
                 "content": cut(F.col("content"), limit),
-                "title": F.substring("title", 1, MAX_TITLE),
+                "title": cut(F.col("title"), title_chars),
                 "date": F.substring("published_at", 1, 10),
                 "ticker": F.upper("ticker"),
                 "doc_type": F.lit("news"),
@@ -98,9 +101,11 @@ def posts(
     df: DataFrame,
     per_ticker: int | None = FEED_POSTS,
     summary_chars: int | None = POST_SUMMARY,
+    key_chars: int | None = None,
 ) -> DataFrame:
     """Social posts: title plus summary when it differs, at least ten characters, one per
-    url (or per first 50 characters where there is no url).
+    url. Where there is no url the whole content tells posts apart, or its first
+    ``key_chars`` characters if given.
 
     Input: ``ticker, pos, title, summary, url``; ``pos`` is unique and orders the feed.
     """
@@ -113,7 +118,7 @@ def posts(
         F.concat("title", F.lit(" "), cut(summary, summary_chars)),
     ).otherwise(F.col("title"))
     d = df.withColumn("content", F.trim(content)).filter(F.length("content") >= MIN_POST)
-    key = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.substring("content", 1, POST_KEY))
+    key = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.sha2(cut(F.col("content"), key_chars), 256))
     kept = first_per(d, F.struct(F.col("ticker"), key), F.col("pos"))
     return kept.drop("summary").withColumn("doc_type", F.lit("news"))
 
@@ -188,18 +193,21 @@ def ingest_report(loaded: DataFrame, kept: DataFrame, chunks: DataFrame, errors:
     return out.fillna(0, ["documents_kept", "chunks"])
 
 
-def flatten(docs: DataFrame) -> DataFrame:
-    """Document metadata as one string map; extra keys get a prefix."""
+def flatten(
+    docs: DataFrame, title_chars: int | None = FLAT_TITLE, value_chars: int | None = FLAT_VALUE
+) -> DataFrame:
+    """Document metadata as one string map; extra keys get a prefix. Titles and extra values
+    are cut at the given lengths, or kept whole where a length is None."""
     plain = [c for c in ("ticker", "source", "doc_type", "date", "url") if c in docs.columns]
     base = [F.lit(x) if i % 2 == 0 else F.coalesce(F.col(x), F.lit("")) for c in plain for i, x in enumerate((c, c))]
-    base += [F.lit("title"), F.substring(F.coalesce("title", F.lit("")), 1, 500)]
+    base += [F.lit("title"), cut(F.coalesce("title", F.lit("")), title_chars)]
     base += [F.lit("filing_period"), F.coalesce("filing_period", F.lit(""))]
     base += [F.lit("page_number"), F.coalesce(F.col("page_number").cast("string"), F.lit("0"))]
     extra = F.transform_keys(
         F.coalesce("extra", F.create_map().cast("map<string,string>")),
         lambda k, v: F.concat(F.lit("extra_"), k),
     )
-    extra = F.transform_values(extra, lambda k, v: F.substring(v, 1, 200))
+    extra = F.transform_values(extra, lambda k, v: cut(v, value_chars))
     return docs.withColumn("flat", F.map_concat(F.create_map(*base), extra))
 
 
@@ -207,7 +215,7 @@ def unflatten(df: DataFrame) -> DataFrame:
     """Rebuild metadata columns from a ``flat`` map."""
     flat = F.col("flat")
     extra = F.transform_keys(
-        F.map_filter(flat, lambda k, v: k.startswith("extra_")), lambda k, v: F.substring(k, 7, 10_000)
+        F.map_filter(flat, lambda k, v: k.startswith("extra_")), lambda k, v: F.regexp_replace(k, "^extra_", "")
     )
     names = ("ticker", "source", "doc_type", "date", "url", "title", "filing_period")
     cols = {c: F.coalesce(flat[c], F.lit("unknown" if c == "doc_type" else "")) for c in names}
@@ -222,7 +230,7 @@ def metadata_filter(
     date_from: str | None = None,
     date_to: str | None = None,
 ) -> DataFrame:
-    """Conjunction of the given conditions; all of them reach the scan."""
+    """Conjunction of the given conditions. Those on stored columns reach the scan."""
     conditions = []
     if ticker:
         conditions.append(F.col("ticker") == ticker.upper())

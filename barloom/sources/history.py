@@ -25,11 +25,13 @@ def listed(analyses: DataFrame) -> DataFrame:
 
 
 def newest(analyses: DataFrame, ticker: str | None = None, limit: int = 20) -> DataFrame:
-    """One page, newest first, of at most 100 rows."""
+    """One page, newest first. A larger page than 100 rows is refused, not cut."""
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows, not {limit}")
     d = listed(analyses)
     if ticker is not None:
         d = d.filter(F.col("ticker") == ticker.upper())
-    return d.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(min(limit, MAX_PAGE))
+    return d.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
 
 
 def recent(analyses: DataFrame, keep: int = 10) -> DataFrame:

@@ -17,10 +17,20 @@ from barloom.session import shared_path
 BATCH = "batch"
 
 
-def tick_stream(spark: SparkSession, root: str, pattern: str = "events.parquet") -> DataFrame:
-    """Ticks as a stream. Event time must be a zoned timestamp to carry a watermark."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(root).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(root)
+#: Columns of the event table.
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def tick_stream(
+    spark: SparkSession, root: str, name: str = "events", files_per_batch: int | None = None
+) -> DataFrame:
+    """Ticks as a stream, from a table of one file or a folder of part files. Event time must
+    be a zoned timestamp to carry a watermark."""
+    stream = spark.readStream.schema(EVENTS)
+    if files_per_batch is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    # a pattern that only the table's own path meets, which may be a file or a folder
+    rows = stream.parquet(f"{root}/{name}.parque[t]")
     return rows.filter(F.col("value") > 0).select(
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),

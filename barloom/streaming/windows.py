@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: How far a tick may lag behind the newest one and still count.
+DELAY = "1 day"
 
-def candles(ticks: DataFrame, interval: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
+
+def candles(ticks: DataFrame, interval: str = "1 hour", delay: str = DELAY) -> DataFrame:
     """OHLCV per symbol and window. In append mode only closed candles come out."""
     order = F.struct("ts", "seq")
     rows = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", interval)).agg(
@@ -33,7 +36,7 @@ def plain(rows: DataFrame) -> DataFrame:
     )
 
 
-def sliding(ticks: DataFrame, length="6 hours", step="1 hour", delay="0 seconds") -> DataFrame:
+def sliding(ticks: DataFrame, length="6 hours", step="1 hour", delay=DELAY) -> DataFrame:
     """Moving mean and deviation by event time."""
     rows = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", length, step)).agg(
         F.count(F.lit(1)).alias("n"),
@@ -45,7 +48,7 @@ def sliding(ticks: DataFrame, length="6 hours", step="1 hour", delay="0 seconds"
     )
 
 
-def sessions(ticks: DataFrame, gap: str = "30 minutes", delay: str = "0 seconds") -> DataFrame:
+def sessions(ticks: DataFrame, gap: str = "30 minutes", delay: str = DELAY) -> DataFrame:
     """Trading sessions: a symbol's ticks with no longer pause than ``gap``."""
     rows = ticks.withWatermark("ts", delay).groupBy("symbol", F.session_window("ts", gap)).agg(
         F.count(F.lit(1)).alias("n"),

@@ -83,16 +83,27 @@ def test_ranges_equal_brute_force(spark):
     asks = {(a, b) for a, b in (sorted((rng.randrange(300), rng.randrange(300))) for _ in range(200))}
     asks |= {(0, 299), (0, 0), (299, 299)}
     q = spark.createDataFrame([("A", a, b) for a, b in asks], "symbol string, l long, r long")
-    out = ranges.range_sums(df, ranges.range_extremes(df, q, "v", "v", levels=10), "v").collect()
+    out = ranges.range_sums(df, ranges.range_extremes(df, q, "v", "v"), "v").collect()
     assert len(out) == len(asks)
     for r in out:
         part = vals[r["l"] : r["r"] + 1]
         assert (r["hi"], r["lo"]) == (max(part), min(part))
         assert r["total"] == pytest.approx(sum(part))
-    for bad in ((5, 4), (-1, 3)):
-        q = spark.createDataFrame([("A", *bad)], "symbol string, l long, r long")
-        with pytest.raises(Exception):
-            ranges.range_extremes(df, q, "v", "v", levels=10).collect()
+    for bad in (("A", 5, 4), ("A", -1, 3), ("A", 290, 300), ("A", 300, 330), ("B", 0, 1)):
+        q = spark.createDataFrame([bad], "symbol string, l long, r long")
+        for ask in (lambda: ranges.range_extremes(df, q, "v", "v"), lambda: ranges.range_sums(df, q, "v")):
+            with pytest.raises(Exception, match="bad range"):
+                ask().collect()
+
+
+def test_updates_of_known_points_only(spark):
+    df = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0)], "symbol string, ts long, v double")
+    new = spark.createDataFrame([("A", 2, 5.0, 1), ("A", 2, 7.0, 2)], "symbol string, ts long, value double, n int")
+    got = {r.ts: r.v for r in ranges.overlay(df, new, "v", F.col("n")).collect()}
+    assert got == {1: 1.0, 2: 7.0}
+    new = spark.createDataFrame([("A", 3, 5.0, 1)], "symbol string, ts long, value double, n int")
+    with pytest.raises(Exception, match="unknown point"):
+        ranges.overlay(df, new, "v", F.col("n")).collect()
 
 
 @pytest.mark.parametrize(

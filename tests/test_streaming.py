@@ -30,7 +30,7 @@ def test_restart_and_late_rows(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
     land(spark, src, [(1, 5, 10.0), (2, 50, 12.0), (3, 70, 11.0), (4, 200, 9.0)], "one")
     run = lambda: tables.finish(
-        tables.start_append(windows.plain(windows.candles(stream(spark, src))), out, state)
+        tables.start_append(windows.plain(windows.candles(stream(spark, src), delay="0 seconds")), out, state)
     )
     run()
     first = spark.read.parquet(out).orderBy("ts").collect()
@@ -42,6 +42,27 @@ def test_restart_and_late_rows(spark, tmp_path):
     assert [(r["high"], r["low"]) for r in rows] == [(12.0, 10.0), (11.0, 11.0), (9.0, 8.0)]
 
 
+def test_unordered_part_files_lose_no_tick(spark, tmp_path):
+    """A table of part files in no order, one per micro-batch, equals the batch fold."""
+    rng = random.Random(4)
+    ticks = [(i, rng.randrange(60 * 24 * 40), rng.uniform(50, 90)) for i in range(900)]
+    src = str(tmp_path / "table")
+    for n in range(3):
+        rows = [(i, START + dt.timedelta(minutes=m), 1, "AB"[i % 2], p, "{}") for i, m, p in ticks[n::3]]
+        df = spark.createDataFrame(rows, tables.EVENTS).coalesce(1)
+        df.write.mode("append").parquet(f"{src}/events.parquet")
+    feed = tables.tick_stream(spark, src, files_per_batch=1)
+    changes = tables.drain_changes(windows.plain(windows.candles(feed, delay="3650 days")), "parts")
+    assert changes.select(tables.BATCH).distinct().count() == 3
+    got = {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in tables.current(changes, ["symbol", "ts"]).collect()}
+    want = {}
+    for i, m, p in sorted(ticks, key=lambda t: (t[1], t[0])):
+        key = ("AB"[i % 2], START + dt.timedelta(hours=m // 60))
+        o, h, lo, _, v = want.get(key, (p, p, p, p, 0.0))
+        want[key] = (o, max(h, p), min(lo, p), p, v + 1)
+    assert got == want
+
+
 def candle_feed(spark, tmp_path, closes):
     path = str(tmp_path / "candles")
     rows = [("A", START + dt.timedelta(hours=i), float(c)) for i, c in enumerate(closes)]
