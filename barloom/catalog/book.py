@@ -411,6 +411,70 @@ def history_list(spark, d):
     return history.recent(history.delete(saved, gone), 10)
 
 
+def analyses(spark, d):
+    """Events as stored analyses."""
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("ticker"),
+        F.col("ts").alias("created_at"), F.col("value").alias("score"),
+    )
+
+
+@query(
+    "history_page",
+    """SELECT event_id AS id, event_type AS ticker, ts AS created_at, value AS score FROM events
+WHERE event_type = (SELECT min(event_type) FROM events) AND value > 0
+ORDER BY ts DESC, event_id DESC LIMIT 50""",
+)
+def history_page(spark, d):
+    """The newest page of the first ticker, after analyses were deleted by id."""
+    from barloom.sources import history
+
+    saved = analyses(spark, d)
+    gone = saved.where("score <= 0").select("id")
+    first = saved.agg(F.min("ticker").alias("ticker"))
+    own = history.delete(saved, gone).join(first, "ticker", "left_semi")
+    return history.newest(own.select("id", "ticker", "created_at", "score"), limit=50)
+
+
+@query(
+    "position_checks",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN trim(l_returnflag) = '' THEN 'ticker must not be empty'
+  WHEN NOT l_quantity - 10 > 0 THEN 'shares must be positive'
+  WHEN NOT l_extendedprice - 20000 > 0 THEN 'price must be positive' END AS reason FROM lineitem""",
+)
+def position_checks(spark, d):
+    """Lines as new positions, some with too few shares or too low a price."""
+    reason = validation.position_reason(
+        F.col("l_returnflag"), F.col("l_quantity") - 10, F.col("l_extendedprice") - 20000
+    )
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", reason.alias("reason"))
+
+
+@query(
+    "compare_checks",
+    """SELECT l_orderkey, CASE WHEN count(DISTINCT l_partkey) NOT BETWEEN 2 AND 10 THEN '2 to 10 tickers are compared' END
+  AS reason FROM lineitem GROUP BY l_orderkey""",
+)
+def compare_checks(spark, d):
+    """The parts of an order as tickers to compare."""
+    asked = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("tickers"))
+    return asked.select("l_orderkey", validation.compare_reason(F.col("tickers")).alias("reason"))
+
+
+@query(
+    "config_checks",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice - 5000 > 0 AND l_discount * 12 > 0
+  AND l_discount * 12 <= 1 AND l_tax * 14 >= 0 AND l_tax * 14 < 1 AND l_tax * 1.5 >= 0 AND l_tax * 1.5 < 0.1 AS ok
+FROM lineitem""",
+)
+def config_checks(spark, d):
+    """Lines as engine settings: capital, position size, stop loss, commission."""
+    ok = validation.valid_config(
+        F.col("l_extendedprice") - 5000, F.col("l_discount") * 12, F.col("l_tax") * 14, F.col("l_tax") * 1.5
+    )
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ok.alias("ok"))
+
+
 @query(
     "dim_key_pad",
     """SELECT upper(c_name) AS ticker, lpad(c_custkey::VARCHAR, 10, '0') AS filer_id, n_name AS home

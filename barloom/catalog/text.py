@@ -691,13 +691,18 @@ def vector_topk_lsh(spark, d):
     return retrieval.lsh_topk(v, retrieval.centroids(v, "label", "vector"), 10)
 
 
-@query("tfidf_vectors")
+@query(
+    "tfidf_vectors",
+    f"""
+WITH w AS (SELECT doc_id, unnest({SQL_WORDS.format('lower(text)')}) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+i AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM c GROUP BY term),
+r AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN i USING (term) WHERE idf <> 0)
+SELECT doc_id::VARCHAR AS doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""",
+)
 def tfidf_vectors(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
-    out = retrieval.tfidf(content_docs(spark, d), 1024)
-    norm = F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x * x)
-    return out.select("doc_id", F.round(norm, 6).alias("norm"))
+    out = retrieval.tfidf(content_docs(spark, d))
+    return out.select(F.col("doc_id").cast("string").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
 
 
 SQL_TEXT_HITS = (
@@ -736,9 +741,36 @@ def mmr_rerank(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("mmr_rerank_five")
+def sql_mmr(k: int) -> str:
+    """Greedy picks one after the other; the first is the best hit."""
+    steps = ["p1 AS (SELECT query_id, vec_id, score, 1 AS position FROM th WHERE rank = 1)"]
+    for n in range(2, k + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, n))
+        steps.append(f"""
+p{n} AS (
+  SELECT query_id, vec_id, score, {n} AS position FROM (
+    SELECT t.query_id, t.vec_id, t.score, t.rank, max(s.sim) AS m
+    FROM th t JOIN ({before}) p ON p.query_id = t.query_id
+    JOIN sims s ON s.query_id = t.query_id AND s.x = t.vec_id AND s.y = p.vec_id
+    WHERE NOT EXISTS (SELECT 1 FROM ({before}) q WHERE q.query_id = t.query_id AND q.vec_id = t.vec_id)
+    GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * score - 0.5 * m DESC, rank) = 1)""")
+    return ",".join(steps)
+
+
+@query(
+    "mmr_rerank_five",
+    f"""WITH {SQL_TEXT_HITS},
+sims AS (
+  SELECT a.query_id, a.vec_id AS x, b.vec_id AS y, CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0 ELSE
+    len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(a.ws || b.ws)) END AS sim
+  FROM th a JOIN th b ON a.query_id = b.query_id),
+{sql_mmr(5)}
+SELECT query_id, vec_id, round(score, 6) AS score, position FROM (
+{" UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, 6))})""",
+)
 def mmr_rerank_five(spark, d):
-    return retrieval.mmr(text_hits(spark, d))
+    return retrieval.mmr(text_hits(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INITIAL_CAPITAL = 100_000.0
+#: Parts that the positions of one ticker are dealt over.
+SALTS = 16
 
 
 def merge_lots(lots: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
@@ -21,12 +23,20 @@ def merge_lots(lots: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
     )
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, ways: int = SALTS) -> DataFrame:
+    """Left join of many rows per key to one row per key. A key may hold most rows: they are
+    dealt over ``ways`` copies of its one row."""
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(ways)).cast("int"))
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def performance(positions: DataFrame, quotes: DataFrame, digits: int | None = 2) -> DataFrame:
     """Positions valued at the latest quote; without one, at their entry price.
 
-    ``quotes``: ``ticker, price, change_pct, week_52_high, week_52_low``.
+    ``quotes``: ``ticker, price, change_pct, week_52_high, week_52_low``, one row per ticker.
     """
-    d = positions.join(quotes, "ticker", "left")
+    d = salted_join(positions, quotes, "ticker")
     price = F.coalesce("price", "entry_price")
     cost, value = F.col("shares") * F.col("entry_price"), F.col("shares") * price
     cut = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
@@ -83,8 +93,11 @@ def account_rollup(perf: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def without(positions: DataFrame, removals: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions left after removals."""
-    return positions.join(removals, keys, "left_anti")
+    """Positions left after removals; a removal of what is not held fails the job."""
+    named = removals.select(*keys).distinct().withColumn("_gone", F.lit(True))
+    both = positions.withColumn("_held", F.lit(True)).join(named, keys, "full")
+    absent = F.raise_error(F.lit("removal of a position that is not held")).cast("boolean")
+    return both.where(F.coalesce("_held", absent) & F.col("_gone").isNull()).drop("_held", "_gone")
 
 
 def cost_by(positions: DataFrame, key: str, digits: int = 2) -> DataFrame:

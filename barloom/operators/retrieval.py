@@ -137,7 +137,7 @@ def vector_topk(
 
 
 def lsh_topk(
-    corpus: DataFrame, queries: DataFrame, k: int, radius: float = 1.2, bucket: float = 1.0,
+    corpus: DataFrame, queries: DataFrame, k: int, radius: float = 2.0, bucket: float = 1.0,
     tables: int = 6, seed: int = 7,
 ) -> DataFrame:
     """Approximate top-k through random-projection hashing, for corpora too large to scan
@@ -164,19 +164,20 @@ def lsh_topk(
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def tfidf(docs: DataFrame, features: int = 4096) -> DataFrame:
-    """Unit-length hashed TF-IDF vectors of ``docs(doc_id, content)``.
+def tfidf(docs: DataFrame) -> DataFrame:
+    """Unit-length TF-IDF vectors of ``docs(doc_id, content)`` as ``(doc_id, term, weight)``.
 
-    The fitted state is one number per hashed term, whatever the corpus size.
+    Terms are words in lower case, every one of them kept apart. The weight is the count times
+    ``ln((n + 1) / (df + 1))`` over the length of the vector; terms of weight 0 are left out.
     """
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-
-    words = Tokenizer(inputCol="content", outputCol="_words").transform(docs)
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features).transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts).transform(counts)
-    return Normalizer(inputCol="_tfidf", outputCol="vector").transform(weighted).drop(
-        "_words", "_tf", "_tfidf"
-    )
+    words = F.filter(F.split(F.lower("content"), r"\s"), lambda w: w != "")
+    counts = docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    rows = docs.agg(F.count("*").alias("n"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(rows)
+    idf = df.select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")).where("idf <> 0")
+    raw = counts.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return raw.join(length, "doc_id").select("doc_id", "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
 def mmr(hits: DataFrame, k: int = N_RESULTS, weight: float = LAMBDA) -> DataFrame:
