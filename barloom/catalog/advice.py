@@ -16,6 +16,7 @@ from barloom.catalog.views import (
 )
 from barloom.operators import sentiment
 from barloom.plans import decision
+from barloom.sources.bars import table
 
 # Frequent words of the supplied prose join the tone lists.
 BULL = decision.BULLISH + ["these", "cheval"]
@@ -250,27 +251,34 @@ def analysis_row(spark, d):
 
 @query(
     "compare_rank",
-    with_sql(SQL_DAILY, sql_momentum("daily", 5, 20), sql_backtest("sigs"), sql_report("sim"))
-    + f""",
-rr AS (SELECT symbol, {SQL_REPORT_FIELDS} FROM rep),
+    with_sql(SQL_DAILY, SQL_REGIME, SQL_STATE, SQL_RUNS, SQL_RESOLVED, SQL_ADVICE)
+    + """,
+asked AS (
+  SELECT symbol, substring(symbol, 7)::INT AS position, CASE WHEN substring(symbol, 7)::INT = 0 THEN 0
+    ELSE (substring(symbol, 7)::INT - 1) // 5 END AS request
+  FROM (SELECT DISTINCT p_brand AS symbol FROM part UNION ALL SELECT 'Brand#0')),
 cp AS (
-  SELECT symbol, substring(symbol, 7)::INT AS position, (substring(symbol, 7)::INT - 1) // 5 AS request,
-    round(0.40 * CASE WHEN sharpe_ratio > 0 THEN least(sharpe_ratio / 3, 1) ELSE 0 END
+  SELECT symbol, position, request, coalesce(recommendation, 'HOLD') AS signal,
+    coalesce(strategy, 'unknown') AS strategy,
+    CASE WHEN recommendation IS NULL THEN 'Analysis failed: no data' ELSE 'CONFIDENCE: MEDIUM' END AS summary,
+    coalesce(round(0.40 * CASE WHEN sharpe_ratio > 0 THEN least(sharpe_ratio / 3, 1) ELSE 0 END
       + 0.30 * CASE WHEN total_return > 0 THEN least(total_return / 2, 1) ELSE 0 END
-      + 0.20 * (1 - least(max_drawdown, 1)) + 0.10 * win_rate, 4)::DOUBLE AS composite_score FROM rr)
-SELECT request::BIGINT AS request, symbol, composite_score, row_number() OVER w::INT AS rank,
+      + 0.20 * (1 - least(max_drawdown, 1)) + 0.10 * win_rate, 4), 0)::DOUBLE AS composite_score
+  FROM asked LEFT JOIN adv USING (symbol))
+SELECT request::BIGINT AS request, symbol, signal, strategy, summary, composite_score,
+  row_number() OVER w::INT AS rank,
   first_value(symbol) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best_ticker,
   last_value(symbol) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS worst_ticker
 FROM cp WINDOW w AS (PARTITION BY request ORDER BY composite_score DESC, position)""",
 )
 def compare_rank(spark, d):
-    """Brands compared in requests of five."""
-    from barloom.catalog.risk import momentum_run
-    from barloom.plans import backtest
-
-    rows = backtest.report(momentum_run(spark, d), ["symbol"])
+    """Brands compared in requests of five; the first request also asks for an unknown one."""
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    unknown = spark.range(1).select(F.lit("Brand#0").alias("symbol"))
     number = F.substring("symbol", 7, 10).cast("int")
-    rows = rows.withColumns({"position": number, "request": F.floor((number - 1) / 5)})
-    return decision.compare(rows, "request", "position").select(
-        "request", "symbol", "composite_score", "rank", "best_ticker", "worst_ticker"
+    asked = brands.union(unknown).select(
+        "symbol", number.alias("position"), F.greatest(F.floor((number - 1) / 5), F.lit(0)).cast("long").alias("request")
+    )
+    return decision.compare_analyses(asked, full_analysis(spark, d), "request", "position").select(
+        "request", "symbol", "signal", "strategy", "summary", "composite_score", "rank", "best_ticker", "worst_ticker"
     )

@@ -11,6 +11,9 @@ from barloom.operators.quotes import at, newest
 from barloom.operators.series import BY_SYMBOL, INDEX, Layout, index_rows
 from barloom.plans import backtest
 
+# Fixed value: longest summary line of a comparison.
+SUMMARY_CHARS = 100
+
 
 def regime_features(bars: DataFrame) -> DataFrame:
     """Volatility, slope of the 20-bar average and last change from one year of bars."""
@@ -245,6 +248,27 @@ def compare(rows: DataFrame, request: str, position: str) -> DataFrame:
     )
 
 
+def compare_analyses(asked: DataFrame, analyses: DataFrame, request: str, position: str) -> DataFrame:
+    """Whole analyses ranked within each request, with signal, strategy and a summary line.
+
+    ``asked`` names (request, position, symbol). A symbol without an analysis stays in its
+    request with score 0, a HOLD and the reason as its summary.
+    """
+    lines = F.filter(F.split("explanation", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("SIGNAL"))
+    made = F.col("recommendation").isNotNull()
+    rows = asked.join(analyses, "symbol", "left").select(
+        request,
+        position,
+        "symbol",
+        F.coalesce("recommendation", F.lit("HOLD")).alias("signal"),
+        F.coalesce("strategy", F.lit("unknown")).alias("strategy"),
+        F.when(made, F.substring(F.element_at(lines, 1), 1, SUMMARY_CHARS))
+        .otherwise("Analysis failed: no data").alias("summary"),
+        "sharpe_ratio", "total_return", "max_drawdown", "win_rate",
+    )
+    return compare(rows, request, position)
+
+
 def analyze(bars: DataFrame, evidence: DataFrame) -> DataFrame:
     """Whole analysis of every symbol: choice, back-tests, risk gate, retries, advice."""
     chosen = choose(state(regime_features(bars), evidence))
