@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.tables import saved
+from barloom.llm.tables import discard, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,8 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
     while (now := _mark(edges)) != before:
-        before = now
+        before, old = now, edges
         edges = saved(_star(_star(edges, large=True), large=False), "edges")
+        discard(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

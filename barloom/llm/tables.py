@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from barloom.session import shared_path
 
 PAGE_BITS = 15
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 #: A filter has at most this many bits (16 MB); a fuller one lets more rows through.
 MAX_BITS = 27
+#: Below that size, bits per key: one row in 32 or fewer passes that is no member.
+BITS_PER_KEY = 32
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -17,7 +21,25 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     work, whichever executors are lost, and both sides of a join are plain exchanges."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def in_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, after seeing to it that Python gets batches of at most ``BATCH_BYTES``: with
+    the usual 64 MB a task holds several times that beside its heap."""
+    spark = rows.sparkSession
+    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return rows
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table written by ``saved`` that nothing will read any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Members:
@@ -25,13 +47,14 @@ class Members:
 
     ``maybe`` never misses a member; a row that is none passes with a small chance, so
     what follows must still join on the keys. The bits are a table of 4 KB pages, never
-    more than 4096 of them whatever the number of keys, hence safe to broadcast.
+    more than 4096 of them whatever the number of keys, hence safe to broadcast. The leading
+    bits of ``hashed`` must be spread evenly.
     """
 
     def __init__(self, keys: DataFrame, hashed: Column):
         keys = keys.select(hashed.alias("_h"))
         n = keys.count()
-        self.bits = min(MAX_BITS, max(PAGE_BITS, (16 * n).bit_length()))
+        self.bits = min(MAX_BITS, max(PAGE_BITS, (BITS_PER_KEY * n).bit_length()))
         at = self._at(F.col("_h"))
         self.pages = keys.groupBy(self._page(at).alias("_page")).agg(
             F.bitmap_construct_agg(self._place(at).cast("long")).alias("_bits")

@@ -42,19 +42,29 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A to Z in lower case."""
+    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
 class Words:
-    """Words of a column of texts. ``bounds[i]`` to ``bounds[i + 1]`` are those of text i."""
+    """Words of a column of texts. ``bounds[i]`` to ``bounds[i + 1]`` are those of text i.
+    ``change`` may map the bytes, ``cut`` may mark further bytes that begin a word."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, change=None, cut=None):
         data, self.offsets = flat(texts)
-        if lower:
-            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        if change is not None:
+            data = change(data)
         self.data = data
         n = len(data)
         self.ink = ink = ~_BLANK[data]
         first, last = ink.copy(), ink.copy()
         first[1:] &= ~ink[:-1]
         last[:-1] &= ~ink[1:]
+        if cut is not None and n:
+            begins = cut(data)
+            first |= begins
+            last[:-1] |= begins[1:]
         heads, tails = self.offsets[:-1], self.offsets[1:] - 1
         heads, tails = heads[heads < n], tails[tails >= 0]
         first[heads] = ink[heads]
