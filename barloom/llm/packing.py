@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.tables import saved
+from barloom.llm.tables import in_batches, saved
 from barloom.llm.texts import Words, slices
 
 WINDOW = 2048
@@ -20,56 +21,108 @@ WINDOW = 2048
 OPEN = 64
 #: Partitions whose leftover windows are merged by one task.
 FAN = 64
-#: Words whose ids a task remembers before it starts anew.
+#: Parts whose ids a task remembers before it starts anew.
 MEMORY = 300_000
+#: Names that the tokenizer takes as special tokens.
+
+
+SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+
+#: Small letters of ASCII and Latin-1: never joined with what follows by normalisation.
+SMALL = "abcdefghijklmnopqrstuvwxyzß" + "".join(map(chr, [*range(0xE0, 0xF7), *range(0xF8, 0x100)]))
+
+_LETTER = np.zeros(256, bool)
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+#: Second bytes, after 0xC3, of the letters from U+00C0 to U+00FF.
+_SECOND = np.zeros(256, bool)
+_SECOND[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+
+
+def lowered_apart(data: np.ndarray) -> np.ndarray:
+    """A to Z in lower case, but for a letter that a mark may follow: y and Y do not
+    compose with the same marks, and the tokenizer composes before it lowers."""
+    alone = np.ones(len(data), bool)
+    alone[:-1] = data[1:] < 128
+    return np.where((data >= 65) & (data <= 90) & alone, data + 32, data).astype(np.uint8)
+
+
+def letter_edges(data: np.ndarray) -> np.ndarray:
+    """Bytes before which the tokenizer certainly cuts: a letter up to U+00FF meets another
+    ASCII character. After an apostrophe letters may belong to it, as in 's."""
+    out = np.zeros(len(data), bool)
+    letter = _LETTER[data]
+    pair = (data[:-1] == 0xC3) & _SECOND[data[1:]]
+    letter[:-1] |= pair
+    letter[1:] |= pair
+    plain = letter | (data > 32) & (data < 127)
+    out[1:] = plain[1:] & plain[:-1] & (letter[1:] != letter[:-1]) & ~((data[:-1] == 39) & letter[1:])
+    return out
 
 
 class Encoder:
-    """Ids of texts by the library, word by word.
+    """Ids of texts by the library, part by part.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those
-    of its words (cut at ASCII blanks alone, which are white space to it) in a row; each
-    different word is encoded once and remembered.
+    The tokenizer lowers letters, drops white space and never joins across it, nor across the
+    edges of runs of Latin letters. So the ids of a text are those of its parts in a row, and
+    each different part is encoded once and remembered. A run of SMALL letters goes straight
+    to the library's merges, any other part through all its steps. Where the names
+    of special tokens stand in a text, its parts are whole words as they are written.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
+        self.all = Tokenizer.from_file(path)
+        self.merges = self.all.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in SMALL})
+        self.small = re.compile(f"[{SMALL}]+").fullmatch
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
+        self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
-        words = Words(texts)
-        codes, different = words.coded
+        parts = Words(texts, lowered_apart, letter_edges)
+        raw = parts.data.tobytes()
+        if any(name in raw for name in SPECIAL):
+            parts = Words(texts)
+        codes, different = parts.coded
+        if not len(codes):
+            return np.zeros(0, np.uint32), np.zeros(len(parts.counts), np.int64)
         strings = different.to_pylist()
         if len(self.known) + len(strings) > MEMORY:
             self.clear()
-        new = [s for s in strings if s not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-            self.ids.extend(self._words([s.decode() for s in new]))
-        mine = [self.ids[self.known[s]] for s in strings]
-        size = np.fromiter(map(len, mine), np.int64, len(mine))
-        flat = np.fromiter((i for ids in mine for i in ids), np.uint32, int(size.sum()))
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        if not len(codes):
-            return np.zeros(0, np.uint32), np.zeros(len(words.counts), np.int64)
-        n = size[codes]
+        number = np.fromiter((self.known.get(s, -1) for s in strings), np.int64, len(strings))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+            fresh = [strings[i] for i in new.tolist()]
+            self.known.update(zip(fresh, number[new].tolist()))
+            ids = self._encoded([s.decode() for s in fresh])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        first = np.cumsum(self.sizes) - self.sizes
+        number = number[codes]
+        n = self.sizes[number]
         at = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(first[codes] - at[:-1], n) + np.arange(at[-1])
-        return flat[take], np.diff(at[words.bounds])
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in words]
-        for at in range(0, len(words), 4096):
-            got = self.model.encode(words[at : at + 4096], is_pretokenized=True, add_special_tokens=False)
+        take = np.repeat(first[number] - at[:-1], n) + np.arange(at[-1])
+        return self.ids[take], np.diff(at[parts.bounds])
+
+    def _encoded(self, parts: list[str]) -> list[list[int]]:
+        merge, small, as_bytes = self.merges.tokenize, self.small, self.bytes
+        out: list = [[t.id for t in merge(p.translate(as_bytes))] if small(p) else None for p in parts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for i in some:
+                out[i] = []
+            got = self.all.encode([parts[i] for i in some], is_pretokenized=True, add_special_tokens=False)
             for w, i in zip(got.word_ids, got.ids):
-                out[at + w].append(i)
+                out[some[w]].append(i)
         return out
 
 
@@ -169,7 +222,7 @@ def pack(
     by one, repeated or not, with null doc_ids too. Other columns are left aside.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    pieces = saved(rows.mapInArrow(_pieces(path, end_id, size, slots), PIECES), "pieces")
+    pieces = saved(in_batches(rows).mapInArrow(_pieces(path, end_id, size, slots), PIECES), "pieces")
     used = saved(pieces.groupBy("part", "win").agg(F.sum("length").alias("used")), "windows")
     # where each window of a partition ends up: (part, win) -> (level, grp, into, base)
     rest = used.where(F.col("used") < size)

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.tables import saved, text_key, without
-from barloom.llm.texts import Words, slices
+from barloom.llm.tables import in_batches, saved, text_key, without
+from barloom.llm.texts import Words, lowered, slices
 
 BYTES = 8
 #: Largest Hamming distance of linked fingerprints, and hence the least number of the eight
@@ -71,14 +71,14 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     def run(batches):
         for whole in batches:
             for part in slices(whole):
-                hashes, bounds = shingle_hashes(Words(part.column("text"), lower=True), words)
+                hashes, bounds = shingle_hashes(Words(part.column("text"), lowered), words)
                 fp = majority(hashes, bounds).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("key"), pa.array(fp)], ["doc_id", "key", "fp"]
                 )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.withColumn("key", text_key()).mapInArrow(run, "doc_id long, key long, fp long")
+    return in_batches(rows.withColumn("key", text_key())).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _mask(positions) -> int:
