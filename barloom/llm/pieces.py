@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from barloom.llm.tables import in_batches
 from barloom.llm.texts import Rolling, binary, flat, mix, slices
 
 SPACE = "▁"
@@ -319,7 +320,7 @@ def encode_dropout(docs, path: str, share: float = 0.1, seed: int = 1, check: bo
     columns are left aside. ``lossless`` tells that the ids decode to the text itself.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(
+    return in_batches(rows).mapInArrow(
         dropout_batches(path, share, seed, check),
         "doc_id long, ids array<int>, n_tokens long, lossless boolean",
     )
@@ -338,4 +339,4 @@ def decode_ids(rows, path: str):
             text = pc.if_else(pa.array(null), pa.scalar(None, pa.large_binary()), text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text.cast(pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return in_batches(rows.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.boosting import Forest, fit
+from barloom.llm.tables import in_batches
 from barloom.llm.texts import Words, binary, slices
 
 #: Fixed values of the base rules.
@@ -162,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Fore
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), f.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_y"), lists], ["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id")
+    got = in_batches(rows).mapInArrow(run, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id")
     if got["y"].nunique() < 2:
         return None
     return fit(np.array(got["x"].tolist()), got["y"].to_numpy() > 0, np.array(list(FEATURES.values())))
@@ -196,7 +197,7 @@ def judge(docs: DataFrame, forest: Forest | None, least: float = LEAST_SCORE) ->
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     counts = ", ".join(f"{k} long" for k in COUNTS)
-    return rows.mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, score double, kept boolean")
+    return in_batches(rows).mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, score double, kept boolean")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

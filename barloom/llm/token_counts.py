@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from barloom.llm.pieces import SPACE, Vocabulary, vocabulary
+from barloom.llm.tables import in_batches
 from barloom.llm.texts import binary, flat, slices
 
 #: Merged pre-tokens that a task remembers before it starts anew.
@@ -98,4 +99,4 @@ def token_counts(docs, path: str, limit: int = 4096):
                 )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(rows).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

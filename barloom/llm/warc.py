@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.tables import Members, saved
+from barloom.llm.tables import Members, in_batches, saved
 from barloom.session import shared_path
 
 #: Fixed values of the formats.
@@ -155,6 +155,13 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def _qualified(spark, folder: str) -> str:
+    """The folder with the scheme that Spark would read it by."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 INDEX = "page_id long, record_id string, bundle string, frame long, offset long, length long"
 
 
@@ -229,7 +236,7 @@ def write_archive(
     under the shared folder of the session if not given. No pages, no bundles.
     """
     spark = pages.sparkSession
-    folder = folder or shared_path(spark, "warc")
+    folder = _qualified(spark, folder or shared_path(spark, "warc"))
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     base = pages.select(
@@ -245,7 +252,7 @@ def write_archive(
         .select("page_id", "url", "html", "refers_to")
         .union(marked.where("not maybe").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
     )
-    return folder, saved(told.mapInArrow(_writes(folder, date, frame_bytes), INDEX), "warc-index")
+    return folder, saved(in_batches(told).mapInArrow(_writes(folder, date, frame_bytes), INDEX), "warc-index")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"

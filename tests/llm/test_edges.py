@@ -345,3 +345,59 @@ def test_without(docs):
     gone = docs.where("doc_id in (4, 5)").select("doc_id", F.xxhash64("text").alias("key"))
     left = without(docs, gone)
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 6, 7, 8, 9]
+
+
+@pytest.mark.parametrize("texts", [[""], ["", ""], [None], [" "], ["", None, " \n"], ["a"], ["\n"]])
+def test_slices_with_hardly_any_text(texts):
+    import numpy as np
+    import pyarrow as pa
+
+    from barloom.llm.texts import Words, lowered
+
+    raw, plain = pa.array(texts, pa.string()), pa.array([t or "" for t in texts])
+    vocab = pieces.vocabulary(PIECE)
+    ids, counts = pieces.encode(vocab, plain, np.arange(len(texts)), pieces.Dropout(0.1, 1))
+    assert pieces.decode(vocab, ids, counts).to_pylist() == [(t or "").encode() for t in texts]
+    assert token_counts.counter(PIECE).counts(plain).tolist() == [len(vocab.model.encode(t or "")) for t in texts]
+    stats = quality.statistics(raw)
+    assert stats["features"].shape == (len(texts), len(quality.FEATURES)) and not np.isnan(stats["features"]).any()
+    hashes, bounds = simhash.shingle_hashes(Words(raw, lowered), 3)
+    assert [f == 0 for f in simhash.majority(hashes, bounds)] == [not (t or "").split() for t in texts]
+    assert len(language.Profiles.of({"en": [97]}, 300).predict(plain)[0]) == len(texts)
+    assert len(packing.encoder(WORD).encode(raw)[1]) == len(texts)
+    assert len(substrings.Stretches(Words(raw), 35, 12).first) == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_by_parts_equal_the_library(seed):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(WORD), random.Random(seed)
+    alphabet = "abcXYZ 'sS\"tT.,!?-0123éÉßüçñØÿ÷×ǅİ́̊ﬁ漢字😀  \x85\x1c\n\t<|>"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += ["<|endoftext|> x", "A<|startoftext|>b", "don't I'LL we'Ve 'S", "<|ENDOFTEXT|>"]
+    for some in (texts, texts[:-4]):
+        want = tok.encode_batch(some, add_special_tokens=False)
+        ids, counts = packing.Encoder(WORD).encode(pa.array(some))
+        assert counts.tolist() == [len(w.ids) for w in want]
+        assert ids.tolist() == [i for w in want for i in w.ids]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_of_odd_texts_equal_the_library(seed):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, vocab = random.Random(seed), pieces.vocabulary(PIECE)
+    alphabet = "abc  the. \t\n\r'\";{}()0123éü漢😀▁ \x00<s>/"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(400)]
+    want = vocab.model.encode(texts)
+    assert token_counts.counter(PIECE).counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    plain = [t.replace("▁", "") for t in texts]
+    ids, _ = pieces.encode(vocab, pa.array(plain), np.arange(len(plain)), pieces.Dropout(0, 1))
+    assert ids.tolist() == [i for w in vocab.model.encode(plain) for i in w]
