@@ -743,7 +743,10 @@ def mmr_rerank(spark, d):
 
 def sql_mmr(k: int) -> str:
     """Greedy picks one after the other; the first is the best hit."""
-    steps = ["p1 AS (SELECT query_id, vec_id, score, 1 AS position FROM th WHERE rank = 1)"]
+    steps = [
+        "p1 AS (SELECT query_id, vec_id, score, 1 AS position FROM th QUALIFY row_number() OVER ("
+        "PARTITION BY query_id ORDER BY rank) = 1)"
+    ]
     for n in range(2, k + 1):
         before = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, n))
         steps.append(f"""
@@ -765,9 +768,12 @@ sims AS (
   SELECT a.query_id, a.vec_id AS x, b.vec_id AS y, CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0 ELSE
     len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(a.ws || b.ws)) END AS sim
   FROM th a JOIN th b ON a.query_id = b.query_id),
+few AS (SELECT query_id FROM th GROUP BY query_id HAVING count(*) <= 5),
 {sql_mmr(5)}
 SELECT query_id, vec_id, round(score, 6) AS score, position FROM (
-{" UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, 6))})""",
+{" UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, 6))}) WHERE query_id NOT IN (FROM few)
+UNION ALL SELECT query_id, vec_id, round(score, 6), row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT
+FROM th WHERE query_id IN (FROM few)""",
 )
 def mmr_rerank_five(spark, d):
     return retrieval.mmr(text_hits(spark, d)).withColumn("score", F.round("score", 6))

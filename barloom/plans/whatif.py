@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators import signals
 from barloom.operators.series import INDEX, Layout, index_rows
 from barloom.operators.validation import bars_needed
 from barloom.plans import backtest

@@ -1,4 +1,5 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Queries of every kind against their SQL twins on the smallest tables; all of them run
+with ``python -m tests.compare``."""
 
 import pytest
 
@@ -10,6 +11,9 @@ NAMES = [
     "bars_scan", "quote_snapshot", "rolling_mdd", "bollinger", "log_returns", "online_sharpe",
     "macd", "mr_signals", "perf_report", "grid_search", "wf_summary", "range_after_update",
     "portfolio_totals", "alert_registry", "doc_dedup", "build_context", "stream_sessions",
+    "range_minmax", "range_agg", "tfidf_vectors", "mmr_rerank_five", "post_normalize", "history_page",
+    "position_checks", "compare_checks", "config_checks", "compare_rank", "stream_candles_closed",
+    "positions_after_removal",
 ]
 
 
