@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.tables import PAGE_BITS, Members, saved
+from barloom.llm.tables import PAGE_BITS, Members, discard, in_batches, saved
 from barloom.llm.texts import Rolling, Words, mix, slices
 
 #: Words of a passage that must repeat.
@@ -54,7 +54,8 @@ class Stretches:
         head = np.concatenate([[True], chosen[1:] != chosen[:-1]])
         self.first = start[head]
         self.count = np.diff(np.flatnonzero(head), append=len(start))
-        self.anchor = grams[chosen[head]]
+        # least hashes crowd at one end; mixed again they are spread evenly
+        self.anchor = mix(grams[chosen[head]])
         self.text = words.text_of[self.first]
         self.at = self.first - words.bounds[self.text]
 
@@ -112,8 +113,8 @@ def _stretches(window: int, anchor: int, bits, shift: int):
                         pa.array(s.digests()[rows].view(np.int64)),
                         part.column("doc_id").take(pa.array(s.text[rows])),
                         part.column("key").take(pa.array(s.text[rows])),
-                        pa.array(s.at[rows]),
-                        pa.array(s.count[rows]),
+                        pa.array(s.at[rows].astype(np.int32)),
+                        pa.array(s.count[rows].astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64))),
                     ],
                     ["anchor", "digest", "doc_id", "key", "at", "n", "hashes"],
@@ -122,7 +123,7 @@ def _stretches(window: int, anchor: int, bits, shift: int):
     return run
 
 
-STRETCH = "anchor long, digest long, doc_id long, key long, at long, n long, hashes array<long>"
+STRETCH = "anchor long, digest long, doc_id long, key long, at int, n int, hashes array<long>"
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -139,12 +140,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     """
     spark = docs.sparkSession
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    seeds = base.select("text").mapInArrow(_seeds(window, anchor), "anchor long, n long")
+    seeds = in_batches(base.select("text")).mapInArrow(_seeds(window, anchor), "anchor long, n long")
     seeds = saved(seeds.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "seeds")
     seen = Members(seeds, F.col("anchor"))
     bits = spark.sparkContext.broadcast(_bits_of(seen))
     stretches = saved(
-        base.withColumn("key", F.xxhash64("text")).mapInArrow(_stretches(window, anchor, bits, 64 - seen.bits), STRETCH),
+        in_batches(base.withColumn("key", F.xxhash64("text"))).mapInArrow(
+            _stretches(window, anchor, bits, 64 - seen.bits), STRETCH
+        ),
         "stretches",
     )
     classes = saved(
@@ -160,14 +163,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     )
     edges = (
         windows.where("times = 1").join(twice, ["anchor", "hash"])
-        .select("doc_id", "key", (F.col("at") + F.col("pos")).alias("at"), F.lit(window).cast("long").alias("length"))
+        .select("doc_id", "key", (F.col("at") + F.col("pos")).alias("at"), F.lit(window).alias("length"))
     )
     whole = (
         stretches.select("anchor", "digest", "doc_id", "key", "at", "n")
         .join(classes.where("times > 1").select("anchor", "digest"), ["anchor", "digest"])
         .select("doc_id", "key", "at", (F.col("n") + (window - 1)).alias("length"))
     )
-    return saved(edges.union(whole).groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "length")).alias("spans")), "spans")
+    spans = edges.union(whole).groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "length")).alias("spans"))
+    spans = saved(spans, "spans")
+    for table in (seeds, stretches, classes, twice):
+        discard(table)
+    return spans
 
 
 def with_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -180,7 +187,7 @@ def with_repeats(docs: DataFrame, **options) -> DataFrame:
     hashed = F.xxhash64("id", "key")
     marked = Members(found, F.xxhash64("doc_id", "key")).mark(rows, hashed, "maybe")
     theirs = found.select(F.col("doc_id").alias("their_id"), F.col("key").alias("their_key"), "spans")
-    none = F.lit(None).cast("array<struct<at:bigint,length:bigint>>")
+    none = F.lit(None).cast("array<struct<at:int,length:int>>")
     return (
         marked.where("maybe")
         .join(theirs, F.col("id").eqNullSafe(F.col("their_id")) & (F.col("key") == F.col("their_key")), "left")
@@ -237,10 +244,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return (
-        with_repeats(rows, window=window, anchor=anchor).select("row.doc_id", "row.text", "spans")
-        .mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
-    )
+    found = with_repeats(rows, window=window, anchor=anchor).select("row.doc_id", "row.text", "spans")
+    return in_batches(found).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -266,4 +271,4 @@ def cleaned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
                 stays = (lost == 0) | (lost < words.counts)
                 yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(stays))
 
-    return with_repeats(docs, window=window, anchor=anchor).mapInArrow(run, docs.schema)
+    return in_batches(with_repeats(docs, window=window, anchor=anchor)).mapInArrow(run, docs.schema)
