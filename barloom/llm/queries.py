@@ -105,7 +105,27 @@ def op8_bounded_space_packing(spark, d):
     return pack(documents(spark, d), tokenizer_file("word_bpe_49k.json"), end_id=1, size=2048)
 
 
-@query("op9_seed_extend_substrings")
+@query(
+    "op9_seed_extend_substrings",
+    r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+runs AS (
+  SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS run
+  FROM w),
+twice AS (SELECT doc_id, i FROM runs WHERE len(run) = 35 QUALIFY count(*) OVER (PARTITION BY run) > 1),
+near AS (
+  SELECT w.doc_id, w.word, w.i, max(r.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS last
+  FROM w LEFT JOIN twice r ON r.doc_id = w.doc_id AND r.i = w.i),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words, count(*) AS n FROM near
+  WHERE last IS NULL OR i > last + 34 GROUP BY doc_id)
+SELECT t.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+""",
+)
 def op9_seed_extend_substrings(spark, d):
     from barloom.llm.substrings import remove_repeats
 
