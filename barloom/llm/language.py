@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.tables import in_batches
 from barloom.llm.texts import slices
 
 #: n-grams of 1 to 3 letters; the edge of a word counts as one letter in longer ones.
@@ -20,6 +21,8 @@ PROFILE = 300
 #: Parts of a language's n-grams that are ranked apart before the driver merges them.
 SHARES = 16
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held at a time, some 150 times as much.
+SLICE = 1 << 19
 _BITS = 21
 _EDGE = 0x20
 
@@ -99,7 +102,7 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> "Profiles":
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole):
+            for part in slices(whole, limit=SLICE):
                 lang = part.column("lang").dictionary_encode()
                 text, gram, _ = grams(part.column("text"))
                 of = lang.indices.to_numpy()[text]
@@ -110,7 +113,7 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> "Profiles":
 
     rows = docs.select(docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"))
     counts = (
-        rows.where("lang is not null and text is not null")
+        in_batches(rows.where("lang is not null and text is not null"))
         .mapInArrow(run, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
@@ -187,14 +190,14 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, limit=1 << 20):
+            for part in slices(whole, limit=SLICE):
                 lang, score = profiles.predict(pc.fill_null(part.column("text"), ""))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
                 )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_batches(rows).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
@@ -204,9 +207,9 @@ def accepted(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, limit=1 << 20):
+            for part in slices(whole, limit=SLICE):
                 lang, score = profiles.predict(pc.fill_null(part.column(text).cast(pa.string()), ""))
                 stays = (np.array(lang) != UNKNOWN) & (score >= least)
                 yield part.filter(pa.array(stays))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

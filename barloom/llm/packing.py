@@ -22,7 +22,7 @@ OPEN = 64
 #: Partitions whose leftover windows are merged by one task.
 FAN = 64
 #: Parts whose ids a task remembers before it starts anew.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Names that the tokenizer takes as special tokens.
 
 

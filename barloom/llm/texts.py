@@ -12,7 +12,7 @@ import xxhash
 
 #: The characters between words: space and U+0009 to U+000D.
 BLANKS = b"\t\n\x0b\x0c\r "
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS)] = True
@@ -20,7 +20,8 @@ _BLANK[list(BLANKS)] = True
 
 def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``limit`` bytes of text each; a longer
-    text is a part of its own, so no text is ever cut."""
+    text is a part of its own, so no text is ever cut. Memory that Arrow holds back is given up after each
+    batch, as workers live on for later stages."""
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -31,6 +32,7 @@ def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE
             first, total = i, 0
         total += n
     yield batch.slice(first)
+    pa.default_memory_pool().release_unused()
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
