@@ -36,6 +36,7 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
     n = entries.count()
     fine = min(MAX_DEPTH, max(4, (n // capacity).bit_length() + 6))
     slots = entries.groupBy(F.shiftrightunsigned("h", 64 - fine).cast("long").alias("fine")).agg(F.count("*").alias("n"))
+    slots = saved(slots, "exact-slots")
     levels = slots.select("fine", "n", F.explode(F.sequence(F.lit(0), F.lit(fine))).alias("depth")).select(
         "fine", "n", "depth", F.expr(f"shiftright(fine, {fine} - depth)").alias("prefix")
     )
@@ -48,6 +49,7 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
         levels.join(fits, ["depth", "prefix"]).groupBy("fine").agg(F.min("depth").alias("depth"))
         .withColumn("bucket", F.expr(f"shiftleft(shiftright(fine, {fine} - depth), {fine} - depth)"))
     )
+    leaf = saved(leaf, "exact-leaves")
     depth = leaf.agg(F.max("depth")).first()[0] or 0
     cut = F.expr(f"shiftright(fine, {fine - depth})")
     return depth, leaf.groupBy(cut.alias("slot")).agg(F.min("bucket").alias("bucket"), F.min("depth").alias("depth"))
