@@ -155,11 +155,14 @@ class Windows:
         return number, self.size - room
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, win long, offset long"
+#: Rows with ``used`` are no pieces: they name a window still open when its partition ended.
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, win long, offset long, used long"
+NAMES = [f.split()[0] for f in PIECES.split(", ")]
 
 
 def _pieces(path: str, end_id: int, size: int, slots: int):
-    """For ``mapInArrow``: documents to pieces in the windows of their partition."""
+    """For ``mapInArrow``: documents to pieces in the windows of their partition, then the
+    windows that are still open, at most ``slots``."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -169,7 +172,7 @@ def _pieces(path: str, end_id: int, size: int, slots: int):
         for whole in batches:
             for part in slices(whole):
                 ids, counts = enc.encode(part.column("text"))
-                rows: list[list] = [[] for _ in range(8)]
+                rows: list[list] = [[] for _ in NAMES]
                 at = 0
                 for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist()):
                     own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
@@ -177,29 +180,34 @@ def _pieces(path: str, end_id: int, size: int, slots: int):
                     for start in range(0, n + 1, size):
                         piece = own[start : start + size]
                         win, offset = windows.place(len(piece))
-                        values = (doc, start, len(piece), zlib.crc32(piece.tobytes()), n + 1, part_id, win, offset)
+                        values = (doc, start, len(piece), zlib.crc32(piece.tobytes()), n + 1, part_id, win, offset, None)
                         for column, v in zip(rows, values):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], [f.split()[0] for f in PIECES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], NAMES)
+        left = [(*[None] * 5, part_id, win, None, size - room) for room, win in windows.open]
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*left)], NAMES)
 
     return run
 
 
-def _merge(size: int):
-    """For ``applyInArrow``: windows of a group of partitions (part, win, used), the fullest
-    first, into windows of the group by best fit with no bound on open ones."""
+def _merge(size: int, slots: int):
+    """For ``applyInArrow``: the open windows of a group of partitions (part, win, used), the
+    fullest first, into windows of the group by best fit. Of these the ``slots`` with the most
+    room stay open (``more``), the others are final."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("used", "descending"), ("part", "ascending"), ("win", "ascending")])
-        windows = Windows(size, 1 << 62)
+        windows = Windows(size, max(1, table.num_rows))
         placed = [windows.place(n) for n in table.column("used").to_pylist()]
         group = table.column("grp")
+        open_ = {number for _, number in windows.open[-slots:]}
         return pa.table(
             {
                 "part": table.column("part"), "win": table.column("win"), "grp": group,
                 "into": pa.array([w for w, _ in placed], pa.int64()),
                 "base": pa.array([o for _, o in placed], pa.int64()),
-                "used": table.column("used"),
+                "used": table.column("used"), "more": pa.array([w in open_ for w, _ in placed], pa.bool_()),
             }
         )
 
@@ -212,29 +220,28 @@ def pack(
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece.
 
     A document is its ids and ``end_id``; only one longer than a window is cut, at every
-    ``size`` ids. Every partition packs its documents as they come, with a bounded number of
-    open windows. Windows not full at the end are then merged: first those of ``fan``
-    partitions by one task, then what is still not full of ``fan`` such groups, until one
-    group is left; each round leaves the sum of the rest, so the last is small. Texts never
-    move, pieces move once.
+    ``size`` ids. Every partition packs its documents as they come, with at most ``slots``
+    open windows; a window that it closed is final. Those still open at its end are merged:
+    the ones of ``fan`` partitions by one task, which again leaves at most ``slots`` open,
+    then those of ``fan`` such groups, until one group is left. So no task ever holds more
+    than ``fan * slots`` windows. Texts never move, pieces move once.
 
     A null text counts as empty and is one piece with ``end_id`` alone. Rows are packed one
     by one, repeated or not, with null doc_ids too. Other columns are left aside.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    pieces = saved(in_batches(rows).mapInArrow(_pieces(path, end_id, size, slots), PIECES), "pieces")
-    used = saved(pieces.groupBy("part", "win").agg(F.sum("length").alias("used")), "windows")
-    # where each window of a partition ends up: (part, win) -> (level, grp, into, base)
-    rest = used.where(F.col("used") < size)
-    groups = (used.agg(F.max("part")).first()[0] or 0) + 1
+    both = saved(in_batches(rows).mapInArrow(_pieces(path, end_id, size, slots), PIECES), "pieces")
+    pieces = both.where(F.col("used").isNull())
+    # where each open window of a partition ends up: (part, win) -> (level, grp, into, base)
+    current = both.where(F.col("used").isNotNull()).select("part", "win", "used")
+    groups = (current.agg(F.max("part")).first()[0] or 0) + 1
     moves, level = None, 0
-    current = rest.select("part", "win", "used")
     while True:
         level += 1
         groups = -(-groups // fan)
         placed = saved(
             current.withColumn("grp", F.floor(F.col("part") / fan))
-            .groupBy("grp").applyInArrow(_merge(size), "part long, win long, grp long, into long, base long, used long"),
+            .groupBy("grp").applyInArrow(_merge(size, slots), "part long, win long, grp long, into long, base long, used long, more boolean"),
             "merged",
         )
         here = placed.select("part", "win", F.col("grp").alias("to_part"), F.col("into").alias("to_win"), F.col("base").alias("add"))
@@ -257,8 +264,7 @@ def pack(
         if groups == 1:
             break
         current = (
-            placed.groupBy(F.col("grp").alias("part"), F.col("into").alias("win")).agg(F.sum("used").alias("used"))
-            .where(F.col("used") < size)
+            placed.where("more").groupBy(F.col("grp").alias("part"), F.col("into").alias("win")).agg(F.sum("used").alias("used"))
         )
     # a sequence id names the level, the group and the window there
     name = lambda level, part, win: (level * (1 << 58) + part * (1 << 32) + win).cast("long")
