@@ -139,3 +139,103 @@ def op10_seekable_warc(spark, d):
     from barloom.llm.warc import read_archive, write_archive
 
     return read_archive(*write_archive(table(spark, d, "pages"))).drop("url")
+
+
+@query(
+    "op11_segment_importance",
+    r"""
+WITH RECURSIVE rounds(byte, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL
+  SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM rounds WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS step FROM rounds WHERE k = 8),
+cleaned AS (
+  SELECT doc_id, 0 AS target, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+  UNION ALL
+  SELECT item_id, 1, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+runs AS (SELECT doc_id, target, unnest(regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM cleaned),
+words AS (SELECT doc_id, target, word, count(*) AS n FROM runs GROUP BY ALL),
+spelled AS (SELECT word, hex(word) AS h FROM (SELECT DISTINCT word FROM words)),
+hashed AS (
+  SELECT word, xor(list_reduce(
+    list_transform(range(0, length(h) // 2), lambda i: ('0x' || substring(h, (2 * i + 1)::BIGINT, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, step[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM spelled, crc),
+counts AS (
+  SELECT bucket, sum(n) FILTER (target = 0) AS s, sum(n) FILTER (target = 1) AS t FROM words JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(n) FILTER (target = 0), 0) AS s_all, coalesce(sum(n) FILTER (target = 1), 0) AS t_all FROM words),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM counts, sums),
+weighed AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE target = 0 GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS draws FROM scored)
+SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= draws THEN place END AS rank FROM placed
+""",
+)
+def op11_segment_importance(spark, d):
+    from barloom.llm.importance import resample
+
+    return resample(documents(spark, d), table(spark, d, "benchmark"), size=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+@query(
+    "op12_filter_interactions",
+    r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(ws) < 50,
+    100 * len(list_distinct(ws)) < 65 * len(ws),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails
+  FROM t LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, s.i AS step, o[s.i] AS own, o[1:s.i - 1] AS before FROM orders, letters s),
+cells AS (
+  SELECT g.*, o, step, own, fails[own] AS bad,
+    len(list_filter(before, lambda i: fails[i])) > 0 AS gone,
+    len(list_filter([1, 2, 3, 4, 5], lambda i: fails[i])) = 1 AS alone
+  FROM g, steps),
+sums AS (
+  SELECT part, o, step, own,
+    coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0) AS kept,
+    coalesce(sum(n) FILTER (bad AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (bad AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (bad AND alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (bad AND NOT gone), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (bad AND NOT gone), 0) AS toxic_lost
+  FROM cells GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, step,
+  kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM sums
+""",
+)
+def op12_filter_interactions(spark, d):
+    from barloom.llm.filter_audit import audit
+
+    return audit(documents(spark, d), table(spark, d, "labels"))
+
+
+@query("op13_contextual_pii")
+def op13_contextual_pii(spark, d):
+    from barloom.llm.contextual_pii import personal_data
+
+    return personal_data(documents(spark, d))

@@ -14,6 +14,8 @@ BATCH_BYTES = 8 << 20
 MAX_BITS = 27
 #: Below that size, bits per key: one row in 32 or fewer passes that is no member.
 BITS_PER_KEY = 32
+#: No more keys than this can hold one row in so many each.
+FREQUENT = 4096
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -30,7 +32,8 @@ def in_batches(rows: DataFrame) -> DataFrame:
     """``rows``, after seeing to it that Python gets batches of at most ``BATCH_BYTES``: with
     the usual 64 MB a task holds several times that beside its heap."""
     spark = rows.sparkSession
-    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+    in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return rows
 
@@ -42,6 +45,25 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, held: str) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row for each ``key`` and in ``held``
+    the number of rows with it. ``rows`` is a written table, as it is read twice.
+
+    Keys that hold one row in FREQUENT or more are at most FREQUENT, whatever the data, so they
+    are broadcast and their rows stay where they are. All other keys meet in a shuffle
+    in which none of them is large. Rows without a key meet nothing.
+    """
+    total = table.agg(F.sum(held)).first()[0] or 0
+    often = F.col(held) * FREQUENT >= total
+    values = [c for c in table.columns if c not in (key, held)]
+    hot = table.where(often).select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_{c}") for c in values))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    done = met.where(f"_hot is not null or {key} is null").select(*rows.columns, *(F.col(f"_{c}").alias(c) for c in values))
+    rest = met.where(f"_hot is null and {key} is not null").select(*rows.columns)
+    rare = table.where(~often).select(F.col(key).alias("_rare"), *values)
+    return done.union(rest.join(rare, F.col(key) == F.col("_rare"), "left").select(*rows.columns, *values))
+
+
 class Members:
     """Which rows may have a key of a given set: a bit for each hashed key.
 

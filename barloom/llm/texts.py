@@ -138,3 +138,20 @@ class Rolling:
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * self.down[start])
+
+
+def chunks(data: np.ndarray, solid: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive parts of ``data``, about ``limit`` bytes each, that end where a
+    byte is not ``solid`` (a table of 256), so no word is cut; a longer word makes a longer part."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + limit, n)
+        if end < n and solid[data[end]]:
+            gaps = np.flatnonzero(~solid[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            while end < n and solid[data[end - 1]] and solid[data[end]]:
+                gaps = np.flatnonzero(~solid[data[end : end + limit]])
+                end = end + int(gaps[0]) if len(gaps) else min(end + limit, n)
+        yield at, end
+        at = end

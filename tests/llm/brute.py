@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import math
 import re
 import zlib
+from itertools import permutations
 
 import numpy as np
 import xxhash
@@ -131,3 +133,100 @@ def archive(rows):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def ascii_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def grams(text, size):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    return len(w), [" ".join(w[i : i + n]) for n in range(1, size + 1) for i in range(len(w) - n + 1)]
+
+
+def importance(rows, target, size=1, buckets=10_000, percent=10, least=20, seed=2024):
+    """(doc_id, n_words, n_features, weight, score, rank) per row; ids are distinct."""
+    hashed = lambda g: zlib.crc32(g.encode()) % buckets
+    found = [(i, *grams(t, size)) for i, t in rows]
+    s, t = collections.Counter(), collections.Counter()
+    for _, _, gs in found:
+        s.update(map(hashed, gs))
+    for text in target:
+        t.update(map(hashed, grams(text, size)[1]))
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * float(all_s + buckets) / ((s[b] + 1) * float(all_t + buckets)))) for b in range(buckets)]
+    scored = []
+    for i, n, gs in found:
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[hashed(g)] for g in gs)
+        scored.append((i, n, len(gs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    enough = sorted((r for r in scored if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0]))
+    rank = {r[0]: k + 1 for k, r in enumerate(enough[: percent * len(enough) // 100])}
+    return [(*r, rank.get(r[0])) for r in scored]
+
+
+def fails(text):
+    """The filters A to D that a text fails."""
+    text = text or ""
+    w = words(text)
+    return (
+        len(w) < 50,
+        100 * len(set(w)) < 65 * len(w),
+        100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+        re.search(r"[#$%&*|]", text) is not None,
+    )
+
+
+def audit(rows, labels):
+    """Reports by applying every order of the filters; rows are (doc_id, text, source)."""
+    bad = []
+    for i, text, source in rows:
+        late = i is not None and any(j is not None and j < i and (u or "") == (text or "") for j, u, _ in rows)
+        good = any(k == i and q == 1 for k, q, _ in labels if i is not None)
+        toxic = any(k == i and x == 1 for k, _, x in labels if i is not None)
+        bad.append((source or "", (*fails(text), late), good, toxic))
+    out, total = {}, collections.Counter()
+    for part in {b[0] for b in bad}:
+        mine = [b[1:] for b in bad if b[0] == part]
+        for order in permutations(range(5)):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone = [b for b in left if b[0][f]]
+                left = [b for b in left if not b[0][f]]
+                total[part, f] += len(gone)
+                failing = sum(b[0][f] for b in mine)
+                out[part, "".join("ABCDE"[x] for x in order), step] = (
+                    len(left), len(gone), failing - len(gone), sum(b[0][f] and sum(b[0]) == 1 for b in mine),
+                    sum(b[1] for b in gone), sum(b[2] for b in gone),
+                )
+    return {(*k, *v, total[k[0], "ABCDE".index(k[1][k[2] - 1])]) for k, v in out.items()}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def strict_spans(text):
+    """(kind, start, stop) of the base patterns, as they are written down."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def listed(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)

@@ -27,7 +27,7 @@ def result(spark, start):
 
 def test_one_query_per_operator():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_op1_decodes_and_varies(spark, rows):
@@ -125,3 +125,28 @@ def test_op10(spark):
     got = result(spark, "op10_").collect()
     want = brute.archive(list(zip(t.page_id.tolist(), t.html.tolist())))
     assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+
+
+def test_op11(spark, rows):
+    target = pd.read_parquet(f"{ROOT}/benchmark.parquet").text.tolist()
+    got = result(spark, "op11_").collect()
+    assert sorted(map(tuple, got)) == sorted(brute.importance(rows, target))
+    assert sum(r.rank is not None for r in got) == sum(r.n_words >= 20 for r in got) // 10
+
+
+def test_op12(spark):
+    docs, labels = (pd.read_parquet(f"{ROOT}/{t}.parquet") for t in ("documents", "labels"))
+    got = result(spark, "op12_").collect()
+    want = brute.audit(list(zip(docs.doc_id, docs.text, docs.source)), list(zip(labels.doc_id, labels.quality, labels.toxic)))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_op13(spark, rows):
+    got = {r.doc_id: r for r in result(spark, "op13_").collect()}
+    assert len(got) == len(rows) and sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in got.values()) > 0
+    for i, text in rows:
+        spans = brute.strict_spans(text)
+        r = got[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(brute.listed(spans).encode()).hexdigest()
+        assert set(brute.listed(spans).split(",")) - {""} <= set(r.spans.split(","))
