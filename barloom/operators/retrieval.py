@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most query vectors sent to every task: 4096 vectors of 1536 doubles are 48 MB.
-QUERY_BLOCK = 4096
+from barloom.session import materialize
+
+#: Bytes of vectors in a block, and elements of a matrix product at a time.
+BLOCK_BYTES = 4 << 20
+TILE = 4 << 20
+#: Vectors that the cells of an index are fitted on, at most; those of the smallest id hash.
+SAMPLE_VECTORS = 20_000
+#: Cells at most; more vectors make more blocks in a cell.
+MAX_CELLS = 1024
+#: Recall that the number of probed cells must reach on the sample.
+RECALL = 0.97
 
 # Retrieval defaults and the context budget.
 N_RESULTS, FETCH_K, LAMBDA = 5, 20, 0.5
@@ -53,75 +63,69 @@ def best_of(cos: np.ndarray, vec_id: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((vec_id[near], -cos[near]))][:take]
 
 
-def local_hits(vectors: np.ndarray, vec_id: np.ndarray, queries, ids, k: int) -> dict:
-    """Best ``k`` per query among the given vectors, from one matrix product."""
-    cos = unit(vectors) @ unit(queries).T
-    picks = [best_of(cos[:, j], vec_id, k) for j in range(len(ids))]
-    return {
-        "query_id": np.repeat(ids, [len(p) for p in picks]).astype("int64"),
-        "vec_id": np.concatenate([vec_id[p] for p in picks]).astype("int64"),
-        "cos": np.concatenate([cos[p, j] for j, p in enumerate(picks)]),
-    }
-
-
 HITS = "query_id long, vec_id long, cos double"
+BLOCK = "cell int, ids binary, dim int, vectors binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, id, vector) as blocks of unit vectors: one row per run of equal cells, of
+    BLOCK_BYTES at most."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = batch.column(0).to_numpy(zero_copy_only=False)
+        ids = batch.column(1).to_numpy(zero_copy_only=False).astype("int64")
+        vectors = unit(matrix(batch.column(2)))
+        most = max(1, BLOCK_BYTES // (8 * max(1, vectors.shape[1])))
+        edges = np.flatnonzero(np.diff(cell)) + 1
+        cuts = sorted({0, *edges.tolist(), *range(0, len(ids), most)}) + [len(ids)]
+        spans = list(zip(cuts, cuts[1:]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(cell[i]) for i, _ in spans], pa.int32()),
+                pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()),
+                pa.array([vectors.shape[1]] * len(spans), pa.int32()),
+                pa.array([vectors[i:j].tobytes() for i, j in spans], pa.binary()),
+            ],
+            ["cell", "ids", "dim", "vectors"],
+        )
 
 
-def _resident_topk(corpus: DataFrame, block: list, k: int) -> DataFrame:
-    """Queries of checked number sent to every task; the corpus is not shuffled."""
-    ids = np.array([r["query_id"] for r in block], dtype="int64")
-    queries = np.array([r["query"] for r in block], dtype="float64").reshape(len(block), -1)
+def _best_pairs(k: int):
+    """Best ``k`` per query and pair of blocks, by matrix products of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and len(ids):
-                vec_id = batch.column("vec_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict(
-                    local_hits(matrix(batch.column("vector")), vec_id, queries, ids, k)
-                )
-
-    return corpus.mapInArrow(run, HITS)
-
-
-def _shuffled_topk(corpus: DataFrame, queries: DataFrame, k: int, shard_rows: int) -> DataFrame:
-    """Both sides cut into blocks; every pair of blocks is one task of bounded size."""
-    shards = max(1, -(-corpus.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = corpus.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    right = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    left, right = left.withColumn("_b", each(blocks)), right.withColumn("_s", each(shards))
-
-    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if c.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "cos": []})
-        vectors, known = np.stack(c["vector"].to_numpy()), np.stack(q["query"].to_numpy())
-        return pd.DataFrame(
-            local_hits(vectors, c["vec_id"].to_numpy(), known, q["query_id"].to_numpy(), k)
-        )
-
-    return (
-        left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(run, HITS)
-    )
-
-
-def vector_topk(
-    corpus: DataFrame, queries: DataFrame, k: int, max_resident: int = QUERY_BLOCK,
-    shard_rows: int = 50_000,
-) -> DataFrame:
-    """Exact cosine top-k: ``corpus(vec_id, vector)``, ``queries(query_id, query)``.
-
-    Up to ``max_resident`` queries are sent to the tasks and the corpus stays where it is;
-    more than that, and both sides are shuffled in blocks. Either way a task keeps ``k`` rows
-    per query before the final ranking. ``score = 1 - distance / 2``.
-    """
-    corpus = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
-    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
-    block = queries.limit(max_resident + 1).collect()
-    if len(block) <= max_resident:
-        hits = _resident_topk(corpus, block, k)
-    else:
-        hits = _shuffled_topk(corpus, queries, k, shard_rows)
+            for row in batch.to_pylist():
+                known, asks = np.frombuffer(row["ids"], "int64"), np.frombuffer(row["asks"], "int64")
+                vectors = np.frombuffer(row["vectors"], "float64").reshape(len(known), -1)
+                queries = np.frombuffer(row["queries"], "float64").reshape(len(asks), -1)
+                step = max(1, TILE // len(known))
+                for first in range(0, len(asks), step):
+                    cos = vectors @ queries[first : first + step].T
+                    picks = [best_of(cos[:, j], known, k) for j in range(cos.shape[1])]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "query_id": np.repeat(asks[first : first + step], [len(p) for p in picks]),
+                            "vec_id": np.concatenate([known[p] for p in picks]),
+                            "cos": np.concatenate([cos[p, j] for j, p in enumerate(picks)]),
+                        }
+                    )
+
+    return run
+
+
+def _met(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Hits of blocks of ``corpus(cell, vec_id, vector)`` and ``queries(cell, query_id, query)`` with the
+    same cell. The join moves packed blocks; the side that turns out small at run time is sent to
+    the other by adaptive execution, else both are shuffled by the cell."""
+    left = corpus.mapInArrow(_pack, BLOCK)
+    right = queries.mapInArrow(_pack, BLOCK).select("cell", F.col("ids").alias("asks"), F.col("vectors").alias("queries"))
+    return left.join(right, "cell").select("ids", "vectors", "asks", "queries").mapInArrow(_best_pairs(k), HITS)
+
+
+def ranked_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query; ranks merge, so partial ones are cut before the shuffle."""
     best = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), "vec_id")
     return (
         hits.withColumn("rank", F.row_number().over(best))
@@ -136,32 +140,98 @@ def vector_topk(
     )
 
 
-def lsh_topk(
-    corpus: DataFrame, queries: DataFrame, k: int, radius: float = 2.0, bucket: float = 1.0,
-    tables: int = 6, seed: int = 7,
-) -> DataFrame:
-    """Approximate top-k through random-projection hashing, for corpora too large to scan
-    per request. Vectors are scaled to unit length, where distance and cosine agree."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    dense = lambda d, key, v: d.select(
-        F.col(key).cast("long").alias(key),
-        array_to_vector(F.transform(v, lambda x: x.cast("double"))).alias("_raw"),
-    )
-    norm = Normalizer(inputCol="_raw", outputCol="unit", p=2.0)
-    a = norm.transform(dense(corpus, "vec_id", "vector"))
-    b = norm.transform(dense(queries, "query_id", "query"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(a)
-    near = model.approxSimilarityJoin(a, b, radius, distCol="_dist").select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.vec_id").alias("vec_id"),
-        (1 - F.col("_dist") * F.col("_dist") / 2).alias("cos"),
-    )
-    best = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def _sides(corpus: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with long ids; rows without a vector find nothing and are found by nobody."""
+    corpus = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where("vector is not null")
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "query").where("query is not null")
+    return corpus, queries
+
+
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, bands: int | None = None) -> DataFrame:
+    """Exact cosine top-k: ``corpus(vec_id, vector)``, ``queries(query_id, query)``.
+
+    The corpus is dealt over ``bands`` (shuffle partitions, by default), the packed queries go to every
+    band, and a task keeps ``k`` rows per query and pair of blocks before the final ranking, so it never
+    holds more than two blocks and one product. ``score = 1 - distance / 2``.
+    """
+    corpus, queries = _sides(corpus, queries)
+    bands = bands or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a band for each run of ids, so that a batch of neighbours makes few blocks
+    dealt = corpus.select(F.pmod(F.spark_partition_id() + F.floor(F.monotonically_increasing_id() / 4096), F.lit(bands)).cast("int").alias("cell"), "vec_id", "vector")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("cell"), "query_id", "query")
+    return ranked_hits(_met(dealt, asked.sortWithinPartitions("cell"), k), k)
+
+
+class CellIndex:
+    """Cells around centroids, for searches that look only at the cells nearest to a query.
+
+    The centroids are spherical means of a bounded sample. On that sample the index also measures how many
+    cells a search must probe for the wanted recall, so vectors without clusters cost more
+    probes and not their neighbours. Every vector is indexed; a large cell is many blocks.
+    """
+
+    def __init__(self, corpus: DataFrame, k: int = 10, recall: float = RECALL, sample: int = SAMPLE_VECTORS, seed: int = 7):
+        self.corpus = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where("vector is not null")
+        n = self.corpus.count()
+        rows = self.corpus.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+        known = unit(np.array([r["vector"] for r in rows], "float64")) if rows else np.zeros((0, 1))
+        self.centroids = self._fit(known, min(MAX_CELLS, max(1, math.isqrt(n))), seed)
+        self.probes = self._probes(known, k, recall)
+
+    @staticmethod
+    def _fit(known: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
+        cells = min(cells, len(known))
+        centers = known[np.random.default_rng(seed).choice(len(known), cells, replace=False)] if cells else known
+        for _ in range(rounds if cells else 0):
+            sums = np.zeros_like(centers)
+            np.add.at(sums, np.argmax(known @ centers.T, axis=1), known)
+            full = np.linalg.norm(sums, axis=1) > 0
+            centers = np.where(full[:, None], unit(sums), centers)
+        return centers
+
+    def _probes(self, known: np.ndarray, k: int, recall: float) -> int:
+        """Cells within which the true neighbours of sampled vectors lie, nearest cells first."""
+        if len(self.centroids) < 2:
+            return len(self.centroids)
+        asks = known[:: max(1, len(known) // 256)]
+        best = np.argsort(-(asks @ known.T), axis=1)[:, 1 : k + 1]
+        home = np.argmax(known @ self.centroids.T, axis=1)
+        place = np.argsort(np.argsort(-(asks @ self.centroids.T), axis=1), axis=1)
+        depth = np.sort(np.take_along_axis(place, home[best], axis=1).ravel())
+        return int(depth[min(len(depth) - 1, math.ceil(recall * len(depth)) - 1)]) + 1
+
+    def _cells(self, rows: DataFrame, name: str, vector: str, probes: int) -> DataFrame:
+        """(cell, name, vector): a row for each of the ``probes`` nearest cells."""
+        centroids = self.centroids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    near = np.argsort(-(unit(matrix(batch.column(1))) @ centroids.T), axis=1, kind="stable")[:, :probes]
+                    again = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(near.ravel(), pa.int32()), batch.column(0).take(again), batch.column(1).take(again)], ["cell", name, vector]
+                    )
+
+        kind = rows.schema[vector].dataType.simpleString()
+        return rows.select(name, vector).mapInArrow(run, f"cell int, {name} long, {vector} {kind}")
+
+    def met(self, queries: DataFrame, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Corpus and queries by cell, placed so that a cell's rows lie together; a partition that
+        one cell overfills is split, as blocks need not be whole cells."""
+        _, queries = _sides(self.corpus, queries)
+        homes = self._cells(self.corpus, "vec_id", "vector", 1).hint("rebalance", "cell").sortWithinPartitions("cell")
+        return homes, self._cells(queries, "query_id", "query", probes or self.probes).sortWithinPartitions("cell")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """Top ``k`` of the probed cells. Queries that find fewer there are answered by the
+        exact search."""
+        if not len(self.centroids):
+            return vector_topk(self.corpus, queries, k)
+        near = materialize(ranked_hits(_met(*self.met(queries), k), k), "cell-hits")
+        full = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        short = queries.withColumn("query_id", F.col("query_id").cast("long")).join(full, "query_id", "left_anti")
+        return near.join(full, "query_id", "left_semi").union(vector_topk(self.corpus, short, k))
 
 
 def tfidf(docs: DataFrame) -> DataFrame:

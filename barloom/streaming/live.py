@@ -1,234 +1,121 @@
-"""Live signals and the paper ledger: per-symbol state over closed candles.
+"""Live averages, signals and the paper ledger over a stream of closed candles.
 
-Candles come from the windowed aggregation, so the per-symbol processor sees at most one
-row per interval however many ticks a symbol has. Within a micro-batch rows are put in time
-order; a row not newer than the last one processed is ignored and counted.
-
-State is one small JSON text per symbol: indicator numbers and at most one window of values.
+Candles come from the windowed aggregation, so a processor sees at most one row per interval
+however many ticks a symbol has.
 """
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from barloom.operators.signals import BUY, DEFAULTS, HOLD, SELL
+from pyspark.sql import functions as F
 
-Step = Callable[[dict, float], int]
+from barloom.operators.signals import BUY, DEFAULTS, SELL
+from barloom.streaming.keyed import STRATEGIES, TINY, Average, Indicators, Momentum, follow
 
 # Sizing and risk limits of the paper ledger.
 TRADE_USD, POSITION_USD, START_CAPITAL = 10_000.0, 50_000.0, 100_000.0
 MAX_DRAWDOWN, MIN_SHARPE, SHARPE_WINDOW = 0.10, 0.0, 60
-TINY = 1e-10
-
-
-def deviation(values: list[float]) -> tuple[float, float]:
-    """Mean and sample deviation, from central moments."""
-    mean = math.fsum(values) / len(values)
-    if len(values) < 2:
-        return mean, 0.0
-    return mean, math.sqrt(math.fsum((v - mean) ** 2 for v in values) / (len(values) - 1))
-
-
-def smoothed(old: float | None, value: float, alpha: float) -> float:
-    return value if old is None else alpha * value + (1 - alpha) * old
-
-
-def keep(s: dict, name: str, value: float, size: int) -> list[float]:
-    s[name] = (s.get(name, []) + [value])[-size:]
-    return s[name]
-
-
-def momentum(short_window=20, long_window=50) -> Step:
-    def step(s: dict, price: float) -> int:
-        was = s.get("fast"), s.get("slow")
-        s["fast"] = smoothed(was[0], price, 2 / (short_window + 1))
-        s["slow"] = smoothed(was[1], price, 2 / (long_window + 1))
-        if was[0] is None:
-            return HOLD
-        if was[0] <= was[1] and s["fast"] > s["slow"]:
-            return BUY
-        return SELL if was[0] >= was[1] and s["fast"] < s["slow"] else HOLD
-
-    return step
-
-
-def mean_reversion(window=20, z_threshold=2.0, exit_threshold=0.0) -> Step:
-    def step(s: dict, price: float) -> int:
-        seen = keep(s, "seen", price, window)
-        if len(seen) < window:
-            return HOLD
-        mean, std = deviation(seen)
-        z = 0.0 if std < TINY else (price - mean) / std
-        held = s.get("held", 0)
-        if held == 0:
-            move = BUY if z < -z_threshold else SELL if z > z_threshold else HOLD
-        elif held == BUY:
-            move = SELL if z >= exit_threshold else HOLD
-        else:
-            move = BUY if z <= exit_threshold else HOLD
-        s["held"] = held + move
-        return move
-
-    return step
-
-
-def rsi(period=14, oversold=30.0, overbought=70.0) -> Step:
-    def step(s: dict, price: float) -> int:
-        last, s["last"] = s.get("last"), price
-        if last is None:
-            return HOLD
-        up, down = max(price - last, 0.0), max(last - price, 0.0)
-        n = s["n"] = s.get("n", 0) + 1
-        if n <= period:
-            s["up"], s["down"] = s.get("up", 0.0) + up / period, s.get("down", 0.0) + down / period
-            return HOLD
-        s["up"], s["down"] = smoothed(s["up"], up, 1 / period), smoothed(s["down"], down, 1 / period)
-        value = 100.0 if s["down"] == 0 else 100 - 100 / (1 + s["up"] / s["down"])
-        return BUY if value < oversold else SELL if value > overbought else HOLD
-
-    return step
-
-
-def macd(fast=12, slow=26, signal_period=9) -> Step:
-    def step(s: dict, price: float) -> int:
-        n = s["n"] = s.get("n", 0) + 1
-        if n <= slow:
-            seen = keep(s, "warm", price, slow)
-            if n == slow:
-                s["fast"], s["slow"] = deviation(seen[-fast:])[0], deviation(seen)[0]
-                s["signal"], s["hist"] = s["fast"] - s["slow"], 0.0
-                del s["warm"]
-            return HOLD
-        s["fast"] = smoothed(s["fast"], price, 2 / (fast + 1))
-        s["slow"] = smoothed(s["slow"], price, 2 / (slow + 1))
-        line = s["fast"] - s["slow"]
-        s["signal"] = smoothed(s["signal"], line, 2 / (signal_period + 1))
-        was, s["hist"] = s["hist"], line - s["signal"]
-        if was < 0 <= s["hist"]:
-            return BUY
-        return SELL if was > 0 >= s["hist"] else HOLD
-
-    return step
-
-
-LIVE = {"momentum": momentum, "mean_reversion": mean_reversion, "rsi": rsi, "macd": macd}
-
-
-def stepper(strategy: str, params: dict | None = None) -> Step:
-    return LIVE[strategy](**(DEFAULTS[strategy] | (params or {})))
-
-
-def per_symbol(
-    candles: DataFrame, schema: str, handle: Callable[[dict, object], dict | None]
-) -> DataFrame:
-    """Feed each symbol's candles in time order to ``handle(state, row)``; rows it returns
-    are emitted. ``candles`` is a stream of closed candles with ``symbol, ts, close``."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for row in rows.itertuples(index=False):
-            at = row.ts.value
-            if at <= s.get("at", -(2**63)):
-                s["late"] = s.get("late", 0) + 1
-                continue
-            s["at"] = at
-            made = handle(s, row)
-            if made is not None:
-                out.append({"symbol": key[0], "ts": row.ts} | made)
-        state.update((json.dumps(s),))
-        if out:
-            yield pd.DataFrame(out)
-
-    rows = candles.select("symbol", "ts", "close")
-    return rows.groupBy("symbol").applyInPandasWithState(
-        run, f"symbol string, ts timestamp_ntz, {schema}", "blob string", "append",
-        GroupStateTimeout.NoTimeout,
-    )
 
 
-def ema_stream(candles: DataFrame, span: int) -> DataFrame:
-    def handle(s: dict, row) -> dict:
-        s["ema"] = smoothed(s.get("ema"), row.close, 2 / (span + 1))
-        return {"close": row.close, "ema": s["ema"]}
+def strategy(name: str, params: dict | None = None):
+    return STRATEGIES[name](**(DEFAULTS[name] | (params or {})))
+
 
-    return per_symbol(candles, "close double, ema double", handle)
+def ema_stream(candles: DataFrame, span: int) -> DataFrame:
+    return follow(candles.select("symbol", "ts", "close"), {"ema": Average(span)})
 
 
 def signal_stream(candles: DataFrame, strategies: dict[str, dict] | None = None) -> DataFrame:
     """One signal column per strategy and candle."""
-    steps = {n: stepper(n, p) for n, p in (strategies or dict.fromkeys(LIVE)).items()}
+    chosen = strategies or dict.fromkeys(STRATEGIES)
+    return follow(candles.select("symbol", "ts", "close"), {n: strategy(n, p) for n, p in chosen.items()}).drop("close")
 
-    def handle(s: dict, row) -> dict:
-        return {n: step(s.setdefault(n, {}), row.close) for n, step in steps.items()}
 
-    return per_symbol(candles, ", ".join(f"{n} int" for n in steps), handle)
+def session_stream(candles: DataFrame, gap_seconds: float, span: int = 5, short_window: int = 3, long_window: int = 8) -> DataFrame:
+    """An average and crossing signals that start anew with every session of a symbol: with
+    the first candle that begins more than ``gap_seconds`` after the one before."""
+    rows = candles.select("symbol", F.col("window.start").cast("timestamp_ntz").alias("ts"), "close", F.window_time("window").alias("closed_at"))
+    return follow(rows, {"ema": Average(span), "signal": Momentum(short_window, long_window)}, gap_seconds)
 
 
 LEDGER = (
     "signal int, action string, qty double, price double, position double, equity double, "
     "drawdown double, sharpe double"
 )
-
-
-def ledger_step(step: Step, size: float = 1.0, max_drawdown=MAX_DRAWDOWN, min_sharpe=MIN_SHARPE):
-    """Trade whole shares on a signal; stop for good once the metrics of the bar before
-    break a limit. Equity is cash plus shares at the close."""
-
-    def handle(s: dict, row) -> dict | None:
-        if s.get("halted"):
-            return None
-        price = row.close
-        if not s.get("bars"):
-            s |= {"bars": 0, "cash": START_CAPITAL, "qty": 0.0, "equity": START_CAPITAL}
-            s |= {"peak": 0.0, "drawdown": 0.0, "sharpe": None, "step": {}, "rets": []}
-        s["bars"] += 1
-        signal = step(s["step"], price)
+ACCOUNT = "cash double, qty double, equity double, peak double, drawdown double, sharpe double, halted boolean"
+NEW_ACCOUNT = (START_CAPITAL, 0.0, START_CAPITAL, 0.0, 0.0, None, False)
+
+
+def trade(account: tuple, rets: list[float], closes, signals, size=1.0, max_drawdown=MAX_DRAWDOWN, min_sharpe=MIN_SHARPE):
+    """(account, returns, rows): whole shares are traded on signals; the account stops for good once
+    the metrics of the bar before break a limit. Equity is cash plus shares at the close."""
+    cash, held, equity, peak, drawdown, sharpe, halted = account
+    rows, rets = [], list(rets)
+    for price, signal in zip(map(float, closes), map(int, signals)):
+        if halted:
+            break
         action, qty = "hold", 0.0
-        if s["drawdown"] > max_drawdown or (s["sharpe"] is not None and s["sharpe"] < min_sharpe):
-            s["halted"] = True
+        halted = drawdown > max_drawdown or (sharpe is not None and sharpe < min_sharpe)
+        if halted:
             action = "halt"
-        elif signal == BUY and s["qty"] == 0:
-            qty = float(int(min(TRADE_USD, POSITION_USD, s["equity"] * size) / price))
-            if qty > 0:
-                action, s["qty"] = "buy", qty
-                s["cash"] -= qty * price
-        elif signal == SELL and s["qty"] > 0:
-            action, qty, s["qty"] = "sell", s["qty"], 0.0
-            s["cash"] += qty * price
-        if action != "halt":
-            before, s["equity"] = s["equity"], s["cash"] + s["qty"] * price
-            s["peak"] = max(s["peak"], s["equity"])
-            s["drawdown"] = (s["peak"] - s["equity"]) / s["peak"] if s["peak"] > 0 else 0.0
-            rets = keep(s, "rets", (s["equity"] - before) / before if before > 0 else 0.0, SHARPE_WINDOW)
-            mean, std = deviation(rets)
-            full = len(rets) == SHARPE_WINDOW and std >= TINY
-            s["sharpe"] = mean / std * math.sqrt(252) if full else None
-        return {
-            "signal": signal, "action": action, "qty": qty, "price": price, "position": s["qty"],
-            "equity": s["equity"], "drawdown": s["drawdown"], "sharpe": s["sharpe"],
-        }
-
-    return handle
-
-
-def ledger_stream(
-    candles: DataFrame, strategy: str = "momentum", params: dict | None = None, **limits
-) -> DataFrame:
-    return per_symbol(candles, LEDGER, ledger_step(stepper(strategy, params), **limits))
+        elif signal == BUY and held == 0:
+            qty = float(int(min(TRADE_USD, POSITION_USD, equity * size) / price))
+            action = "buy" if qty > 0 else "hold"
+            cash, held = cash - qty * price, qty
+        elif signal == SELL and held > 0:
+            action, qty, cash, held = "sell", held, cash + held * price, 0.0
+        if not halted:
+            was, equity = equity, cash + held * price
+            peak = max(peak, equity)
+            drawdown = (peak - equity) / peak if peak > 0 else 0.0
+            rets = (rets + [(equity - was) / was if was > 0 else 0.0])[-SHARPE_WINDOW:]
+            std = float(np.std(rets, ddof=1)) if len(rets) == SHARPE_WINDOW else 0.0
+            sharpe = float(np.mean(rets)) / std * math.sqrt(252) if std >= TINY else None
+        rows.append((signal, action, qty, price, held, equity, drawdown, sharpe))
+    return (cash, held, equity, peak, drawdown, sharpe, bool(halted)), rets, rows
+
+
+class Ledger(Indicators):
+    """Accounts that trade on the signals of one indicator."""
+
+    def __init__(self, indicator, limits: dict):
+        super().__init__({"signal": indicator})
+        self.limits = limits
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.account = handle.getValueState("account", ACCOUNT)
+        self.returns = handle.getListState("returns", "ret double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        account = self.account.get() or NEW_ACCOUNT
+        if account[-1]:
+            return
+        for candles in super().handleInputRows(key, rows, timerValues):
+            rets = [r[0] for r in self.returns.get()]
+            account, rets, made = trade(account, rets, candles["close"], candles["signal"], **self.limits)
+            self.account.update(account)
+            if rets:
+                self.returns.put([(r,) for r in rets])
+            names = [c.split()[0] for c in LEDGER.split(", ")]
+            table = pd.DataFrame(made, columns=names)
+            table.insert(0, "symbol", key[0])
+            table.insert(1, "ts", candles["ts"].to_numpy()[: len(made)])
+            yield table
+
+
+def ledger_stream(candles: DataFrame, name: str = "momentum", params: dict | None = None, **limits) -> DataFrame:
+    return candles.select("symbol", "ts", "close").groupBy("symbol").transformWithStateInPandas(
+        Ledger(strategy(name, params), limits), f"symbol string, ts timestamp_ntz, {LEDGER}", "Append", "None"
+    )
 
 
 def ledger_summary(ledger: DataFrame) -> DataFrame:
     """Performance of a live run per symbol, from its ledger table."""
-    from pyspark.sql import functions as F
-
     last = lambda c: F.max_by(c, "ts")
     return ledger.groupBy("symbol").agg(
         F.round(last("equity") / START_CAPITAL - 1, 6).alias("total_return"),

@@ -83,18 +83,6 @@ def drain_append(df: DataFrame, label: str) -> DataFrame:
     return read_table(spark, path, df.schema)
 
 
-def restream(df: DataFrame, label: str) -> DataFrame:
-    """Land an append stream in a table and read that table as a stream.
-
-    This joins two stateful stages. In service both queries run side by side; here the first
-    is drained before the second starts.
-    """
-    spark = df.sparkSession
-    path, checkpoint = shared_path(spark, label), shared_path(spark, f"{label}-state")
-    finish(start_append(df, path, checkpoint))
-    return spark.readStream.schema(df.schema).parquet(path)
-
-
 def drain_changes(df: DataFrame, label: str) -> DataFrame:
     """Run an update stream over everything there is and return its change log."""
     spark = df.sparkSession

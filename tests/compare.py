@@ -30,6 +30,8 @@ def connect(root: str) -> duckdb.DuckDBPyConnection:
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if str(df[c].dtype).startswith(("Int", "UInt")):  # whole numbers with NULLs, as Spark hands them over
+            df[c] = df[c].astype("float64" if df[c].isna().any() else "int64")
         if df[c].map(lambda v: type(v) is datetime.date).any():
             df[c] = pd.to_datetime(df[c])
         if df[c].dtype == object:

@@ -1,9 +1,12 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from barloom.streaming import live, tables, windows
+from barloom.streaming import alerting, live, tables, windows
+from barloom.streaming.keyed import Average, Indicators, Macd, MeanReversion, Rsi, keyed_state
 from tests import loops
 
 START = dt.datetime(2024, 1, 1)
@@ -75,14 +78,32 @@ def candle_feed(spark, tmp_path, closes):
     )
 
 
+def walk(seed, n, scale=0.02):
+    rng, out, x = random.Random(seed), [], 100.0
+    for _ in range(n):
+        x *= 1 + rng.gauss(0, scale)
+        out.append(x)
+    return out
+
+
+def keyed(df, label):
+    with keyed_state(df.sparkSession):
+        return tables.drain_append(df, label)
+
+
+def zs_of(closes, size):
+    zs = [None] * len(closes)
+    for i in range(size - 1, len(closes)):
+        part = closes[i - size + 1 : i + 1]
+        mean = sum(part) / size
+        std = (sum((v - mean) ** 2 for v in part) / (size - 1)) ** 0.5
+        zs[i] = (closes[i] - mean) / std if std >= 1e-10 else 0.0
+    return zs
+
+
 def test_live_state_over_batches(spark, tmp_path):
-    rng = random.Random(8)
-    closes, x = [], 100.0
-    for _ in range(160):
-        x *= 1 + rng.gauss(0, 0.02)
-        closes.append(x)
-    feed = candle_feed(spark, tmp_path, closes)
-    got = tables.drain_append(live.signal_stream(feed), "signals").orderBy("ts").collect()
+    closes = walk(8, 160)
+    got = keyed(live.signal_stream(candle_feed(spark, tmp_path, closes)), "signals").orderBy("ts").collect()
     assert len(got) == 160
 
     fast, slow = loops.ema(closes, 20), loops.ema(closes, 50)
@@ -96,11 +117,145 @@ def test_live_state_over_batches(spark, tmp_path):
     # Live RSI acts on the same bar, and stays silent on the bar that seeds its averages.
     want = [0 if v is None or i == 14 else 1 if v < 30 else -1 if v > 70 else 0 for i, v in enumerate(r)]
     assert [g["rsi"] for g in got] == want
-    zs = [None] * 160
-    for i in range(19, 160):
-        mean, std = live.deviation(closes[i - 19 : i + 1])
-        zs[i] = (closes[i] - mean) / std
-    assert [g["mean_reversion"] for g in got] == loops.reversion(zs, 19, 2.0)
+    assert [g["mean_reversion"] for g in got] == loops.reversion(zs_of(closes, 20), 19, 2.0)
+
+
+def in_parts(indicator, closes, cuts):
+    """What an indicator says when its closes come in parts."""
+    held, earlier, out = None, np.zeros(0), []
+    for a, b in zip([0, *cuts], [*cuts, len(closes)]):
+        held, earlier, made = indicator.run(held, earlier, np.array(closes[a:b]))
+        out += made.tolist()
+    return out
+
+
+def macd_loop(closes, short, long, size):
+    fast, slow = sum(closes[long - short : long]) / short, sum(closes[:long]) / long
+    signal, hist, want = fast - slow, 0.0, [0] * long
+    for c in closes[long:]:
+        fast, slow = fast + 2 / (short + 1) * (c - fast), slow + 2 / (long + 1) * (c - slow)
+        signal += 2 / (size + 1) * (fast - slow - signal)
+        was, hist = hist, fast - slow - signal
+        want.append(1 if was < 0 <= hist else -1 if was > 0 >= hist else 0)
+    return want
+
+
+def test_indicators_do_not_see_where_batches_end():
+    closes = walk(6, 200)
+    z = zs_of(closes, 6)
+    cases = [
+        (Macd(3, 6, 4), macd_loop(closes, 3, 6, 4)),
+        (MeanReversion(6, 1.0, 0.0), loops.reversion(z, 5, 1.0)),
+        (MeanReversion(6, 1.0, 1.5), loops.reversion(z, 5, 1.0, 1.5)),
+        (MeanReversion(6, 1.0, -1.8), loops.reversion(z, 5, 1.0, -1.8)),
+        (Rsi(5, 40, 60), [0 if v is None or i == 5 else 1 if v < 40 else -1 if v > 60 else 0 for i, v in enumerate(loops.rsi(closes, 5))]),
+    ]
+    for indicator, want in cases:
+        assert {1, -1} <= set(want)
+        for cuts in ([], [1], [2, 3, 5, 8], [4, 6, 7, 100], list(range(1, 200))):
+            assert in_parts(indicator, closes, cuts) == want, indicator
+    for cuts in ([], [1], [50, 51], list(range(1, 200))):
+        assert np.allclose(in_parts(Average(9), closes, cuts), loops.ema(closes, 9), rtol=1e-12)
+
+
+def session_feed(spark, path, files):
+    """Hourly candles with a watermark, one file per micro-batch; rows inside a file in no order."""
+    schema = "symbol string, ts timestamp, close double"
+    for n, rows in enumerate(files):
+        data = [(s, START + dt.timedelta(hours=h), c) for s, h, c in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{path}/f{n}")
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    return feed.withWatermark("ts", "0 seconds").select(
+        "symbol", F.window("ts", "1 hour").alias("window"), "close"
+    )
+
+
+def test_sessions_start_anew_and_leave_no_state(spark, tmp_path):
+    files = [
+        [("A", 2, 12.0), ("A", 0, 10.0), ("A", 1, 11.0), ("B", 0, 5.0)],
+        [("A", 3, 13.0), ("A", 9, 50.0), ("A", 8, 40.0), ("A", 8, 99.0)],
+        [("B", 20, 7.0), ("A", 20, 1.0), ("A", 2, 99.0), ("B", 21, 8.0)],
+    ]
+    feed = session_feed(spark, str(tmp_path / "src"), files)
+    got = {}
+    for r in keyed(live.session_stream(feed, 3600, span=3), "sessions").collect():
+        got[r.symbol, (r.ts - START).total_seconds() // 3600] = (r.close, round(r.ema, 6), (r.session_start - START).total_seconds() // 3600)
+    assert got == {
+        ("A", 0): (10.0, 10.0, 0), ("A", 1): (11.0, 10.5, 0), ("A", 2): (12.0, 11.25, 0), ("A", 3): (13.0, 12.125, 0),
+        ("A", 8): (40.0, 40.0, 8), ("A", 9): (50.0, 45.0, 8), ("A", 20): (1.0, 1.0, 20),
+        ("B", 0): (5.0, 5.0, 0), ("B", 20): (7.0, 7.0, 20), ("B", 21): (8.0, 7.5, 20),
+    }
+
+
+class Cell:
+    """A value, list or timer store in memory."""
+
+    def __init__(self):
+        self.held = None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+
+def test_a_timer_clears_the_session():
+    timers = []
+
+    class Handle:
+        def getValueState(self, name, schema, ttlDurationMs=None):
+            return Cell()
+
+        def listTimers(self):
+            return list(timers)
+
+        def deleteTimer(self, t):
+            timers.remove(t)
+
+        def registerTimer(self, t):
+            timers.append(t)
+
+    p = Indicators({"ema": Average(3)}, gap=1_000_000)
+    p.init(Handle())
+    frame = pd.DataFrame({"ts": np.array([5_000_000, 4_500_000], "datetime64[us]"), "close": [2.0, 1.0]})
+    out = pd.concat(p.handleInputRows(("A",), iter([frame]), None))
+    assert out["ema"].tolist() == [1.0, 1.5] and timers == [6001]
+    assert p.states["ema"].get() == (1.5,)
+    assert list(p.handleExpiredTimer(("A",), None, None)) == []
+    assert p.states["ema"].get() is None and p.session.get() is None and p.newest.get() == (5_000_000, 0)
+
+
+def test_alerts_fire_once_on_the_change_of_the_day(spark, tmp_path):
+    path, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    schema = "symbol string, ts timestamp_ntz, open double, close double"
+    days = lambda rows: [("A", START + dt.timedelta(hours=h), o, c) for h, o, c in rows]
+
+    def land_candles(name, rows):
+        spark.createDataFrame(days(rows), schema).coalesce(1).write.parquet(f"{path}/{name}")
+
+    alerts = spark.createDataFrame(
+        [("A", "price_above", 120.0, "n"), ("A", "change_pct_below", -5.0, ""), ("A", "change_pct_above", 50.0, ""), ("A", "bogus", 1.0, ""), ("B", "price_above", 0.0, "")],
+        "symbol string, condition string, threshold double, note string",
+    )
+    feed = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+    def run():
+        with keyed_state(spark):
+            tables.finish(tables.start_append(alerting.fired(feed(), alerts), out, state))
+        return {(r.condition): ((r.ts - START).total_seconds() // 3600, r.price, round(r.change_pct, 6)) for r in spark.read.parquet(out).collect()}
+
+    # within the hour the price falls by 4 % at most, since the day opened by 6 %
+    land_candles("a", [(2, 97.0, 94.0), (1, 98.0, 97.0), (0, 100.0, 98.0)])
+    assert run() == {"change_pct_below": (2, 94.0, -6.0)}
+    land_candles("b", [(3, 94.0, 121.0), (4, 121.0, 122.0)])
+    assert run() == {"change_pct_below": (2, 94.0, -6.0), "price_above": (3, 121.0, 21.0)}
+    land_candles("c", [(24, 90.0, 80.0), (25, 80.0, 136.0)])
+    assert run()["change_pct_above"] == (25, 136.0, round((136 - 90) / 0.9, 6)) and len(run()) == 3
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_ledger_equity_is_cash_plus_shares(spark, tmp_path):
@@ -108,9 +263,7 @@ def test_ledger_equity_is_cash_plus_shares(spark, tmp_path):
     closes = [100 + rng.gauss(0, 1) + i * 0.05 for i in range(120)]
     feed = candle_feed(spark, tmp_path, closes)
     params = {"short_window": 3, "long_window": 8}
-    rows = tables.drain_append(
-        live.ledger_stream(feed, "momentum", params, min_sharpe=-1e9), "ledger"
-    ).orderBy("ts").collect()
+    rows = keyed(live.ledger_stream(feed, "momentum", params, min_sharpe=-1e9), "ledger").orderBy("ts").collect()
     cash, qty = 100_000.0, 0.0
     for r in rows:
         if r["action"] == "buy":
@@ -123,30 +276,9 @@ def test_ledger_equity_is_cash_plus_shares(spark, tmp_path):
 
 
 def test_ledger_halts_once():
-    handle = live.ledger_step(lambda s, p: 1, max_drawdown=0.01)
-    s, made = {}, []
-
-    class Row:
-        def __init__(self, close):
-            self.close = close
-
-    for p in (100, 80, 60, 50, 40):
-        made.append(handle(s, Row(float(p))))
-    actions = [m and m["action"] for m in made]
-    assert actions[0] == "buy" and actions.count("halt") == 1
-    assert actions[actions.index("halt") + 1 :] == [None] * (4 - actions.index("halt"))
-
-
-def test_live_macd_equals_loop():
-    rng = random.Random(6)
-    closes = [100 + rng.gauss(0, 3) for _ in range(200)]
-    step, s = live.stepper("macd", {"fast": 3, "slow": 6, "signal_period": 4}), {}
-    got = [step(s, c) for c in closes]
-    fast, slow = sum(closes[3:6]) / 3, sum(closes[:6]) / 6
-    signal, hist, want = fast - slow, 0.0, [0] * 6
-    for c in closes[6:]:
-        fast, slow = 0.5 * c + 0.5 * fast, 2 / 7 * c + 5 / 7 * slow
-        signal = 0.4 * (fast - slow) + 0.6 * signal
-        was, hist = hist, fast - slow - signal
-        want.append(1 if was < 0 <= hist else -1 if was > 0 >= hist else 0)
-    assert got == want and {1, -1} <= set(got)
+    closes = [100.0, 80.0, 60.0, 50.0, 40.0]
+    account, rets, rows = live.trade(live.NEW_ACCOUNT, [], closes[:2], [1, 1], max_drawdown=0.01)
+    account, rets, more = live.trade(account, rets, closes[2:], [1, 1, 1], max_drawdown=0.01)
+    actions = [r[1] for r in rows + more]
+    assert actions[0] == "buy" and actions[-1] == "halt" and actions.count("halt") == 1
+    assert live.trade(account, rets, [30.0], [1])[2] == []

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -140,10 +141,55 @@ def test_topk_paths_agree_with_numpy(spark):
         for j in range(5)
         for r, i in enumerate(np.lexsort((np.arange(200), -cos[:, j].round(12)))[:10])
     }
-    for limit in (100, 2):
-        got = retrieval.vector_topk(c, q, 10, max_resident=limit, shard_rows=60).collect()
-        assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got} == want
-        assert all(abs(r["score"] - (1 - r["distance"] / 2)) < 1e-12 for r in got)
+    limits = retrieval.BLOCK_BYTES, retrieval.TILE
+    try:
+        for block, tile, bands in ((*limits, None), (8 * 8 * 7, 20, 3), (1, 1, 1)):
+            retrieval.BLOCK_BYTES, retrieval.TILE = block, tile
+            got = retrieval.vector_topk(c.repartition(3), q.repartition(2), 10, bands).collect()
+            assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got} == want
+            assert all(abs(r["score"] - (1 - r["distance"] / 2)) < 1e-12 for r in got)
+    finally:
+        retrieval.BLOCK_BYTES, retrieval.TILE = limits
+    assert retrieval.vector_topk(c, q.where("query_id < 0"), 10).count() == 0
+    assert retrieval.vector_topk(c.where("vec_id < 0"), q, 10).count() == 0
+    assert retrieval.vector_topk(c, q, 500).groupBy("query_id").count().first()["count"] == 200
+
+
+def recall_and_share(index, corpus, queries, k=10):
+    """Recall of the index against the exact search and the share of all pairs that it meets."""
+    pairs = lambda hits: {(r["query_id"], r["vec_id"]) for r in hits.collect()}
+    true, found = pairs(retrieval.vector_topk(corpus, queries, k)), pairs(index.search(queries, k))
+    cells, asked = (side.groupBy("cell").count().withColumnRenamed("count", n) for side, n in zip(index.met(queries), "ab"))
+    met = cells.join(asked, "cell").agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    return len(true & found) / len(true), met / corpus.count() / queries.count()
+
+
+def test_cell_index_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(60, 24))
+    points = [(i, (centers[i % 60] + 0.35 * rng.normal(size=24)).tolist()) for i in range(6000)]
+    corpus = spark.createDataFrame(points, "vec_id long, vector array<double>").repartition(4)
+    queries = corpus.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "vector as query")
+    recall, share = recall_and_share(retrieval.CellIndex(corpus), corpus, queries)
+    assert recall >= 0.9 and share < 0.2
+
+
+def test_cell_index_keeps_its_recall_without_clusters(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id", "embedding as vector", "label")
+    for queries in (retrieval.centroids(v, "label", "vector"), v.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "vector as query")):
+        recall, share = recall_and_share(retrieval.CellIndex(v), v, queries)
+        assert recall >= 0.9 and share < 1
+
+
+def test_cell_index_answers_short_queries_exactly(spark):
+    points = [(i, [math.cos(i / 50), math.sin(i / 50)]) for i in range(300)] + [(300, None), (301, [-1.0, 0.0])]
+    corpus = spark.createDataFrame(points, "vec_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [-1.0, -0.01]), (2, [1.0, 0.0]), (3, None)], "query_id int, query array<double>")
+    index = retrieval.CellIndex(corpus, k=3)
+    index.probes = 1
+    got = {tuple(r) for r in index.search(queries, 40).select("query_id", "vec_id", "rank").collect()}
+    assert got == {tuple(r) for r in retrieval.vector_topk(corpus, queries, 40).select("query_id", "vec_id", "rank").collect()}
+    assert retrieval.CellIndex(corpus.where("false")).search(queries, 5).count() == 0
 
 
 def test_mmr_prefers_new_words(spark):
