@@ -472,8 +472,8 @@ FROM q JOIN daily d ON d.symbol = q.symbol AND d.idx BETWEEN l AND r GROUP BY q.
 )
 def range_agg(spark, d):
     bars = stored_bars(spark, d)
-    out = ranges.range_extremes(bars, lookbacks(bars), "close", "close")
-    return ranges.range_sums(bars, out, "volume").select("symbol", "l", "r", "hi", "lo", "total")
+    stored = ranges.blocks(bars, "close", "close", "volume")
+    return ranges.answer(stored, lookbacks(bars)).select("symbol", "l", "r", "hi", "lo", "total")
 
 
 @query(
@@ -505,8 +505,8 @@ def range_after_update(spark, d):
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("version"),
         )
     )
-    fixed = ranges.overlay(bars, returned, "close", F.col("version"))
-    return ranges.range_extremes(fixed, lookbacks(bars), "close", "close")
+    stored = ranges.updated(ranges.blocks(bars, "close", "close"), bars, returned, F.col("version"))
+    return ranges.answer(stored, lookbacks(bars)).drop("total")
 
 
 # --- what-if ---------------------------------------------------------------------------

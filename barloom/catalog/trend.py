@@ -156,13 +156,13 @@ def signals_macd(spark, d):
     return signals.macd_cross(daily_indexed(spark, d)).select("symbol", "ts", "signal")
 
 
-def sql_reversion(z: float = 2.0, window: int = 20, name: str = "auto") -> str:
+def sql_reversion(z: float = 2.0, window: int = 20, name: str = "auto", leave: float = 0) -> str:
     """The position automaton as a plain walk over z-scores."""
     zn = "zl[i + 1]"
     live = f"i >= {window} AND {zn} IS NOT NULL"
     move = f"""CASE WHEN NOT ({live}) THEN 0
       WHEN pos = 0 AND {zn} < -{z} THEN 1 WHEN pos = 0 AND {zn} > {z} THEN -1
-      WHEN pos = 1 AND {zn} >= 0 THEN -1 WHEN pos = -1 AND {zn} <= 0 THEN 1 ELSE 0 END"""
+      WHEN pos = 1 AND {zn} >= {leave} THEN -1 WHEN pos = -1 AND {zn} <= {leave} THEN 1 ELSE 0 END"""
     return f"""
 {name}_l AS (
   SELECT symbol, list(ts ORDER BY idx) AS tss, list(z ORDER BY idx) AS zl, count(*) AS n

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.operators.series import BY_SYMBOL, INDEX, Layout, over_lookback
@@ -86,20 +86,38 @@ def rolling_sharpe(
 def rolling_max_drawdown(
     df, size: int, value="close", out="mdd", layout: Layout = BY_SYMBOL
 ) -> DataFrame:
-    """Largest fall from a peak formed inside the window itself: O(n * size)."""
+    """Largest fall from a peak formed inside the window itself, in one pass whatever ``size``.
+
+    Cut the series into blocks of ``size`` rows: a window is the end of one block and the
+    beginning of the next. Running values give (peak, fall) of the ends and (trough, fall) of the
+    beginnings; the fall of both together is the larger one, or that from the peak of the
+    end to the trough of the beginning. Values are prices or equity, of at least zero.
+    """
     check_window(size)
+    share = lambda peak, v: F.when(peak > 0, (peak - v) / peak).otherwise(F.lit(0.0))
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        values = F.collect_list(F.col(value).cast("double")).over(frame(w, size))
-        start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("mdd"))
-
-        def step(state: Column, v: Column) -> Column:
-            peak = F.greatest(state["peak"], v)
-            fall = F.when(peak > 0, (peak - v) / peak).otherwise(F.lit(0.0))
-            return F.struct(peak.alias("peak"), F.greatest(state["mdd"], fall).alias("mdd"))
-
-        mdd = F.aggregate(values, start, step, lambda s: s["mdd"])
-        return d.withColumn(out, F.when(full(size), mdd))
+        d = d.withColumns({"_v": F.col(value).cast("double"), "_cut": F.floor(F.col(INDEX) / size)})
+        # in the order of the block, then of the row: sorted alike for blocks and for the series
+        keys = [*layout.keys, *(["_blk"] if layout.rows is not None else [])]
+        block = Window.partitionBy(*keys, "_cut").orderBy(INDEX)
+        upto = block.rowsBetween(Window.unboundedPreceding, 0)
+        onward = Window.partitionBy(*keys, "_cut").orderBy(F.desc(INDEX)).rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumns({"_peak": F.max("_v").over(onward), "_low": F.min("_v").over(onward)})
+        d = d.withColumn("_end", F.max(share(F.col("_v"), F.col("_low"))).over(onward))
+        d = d.withColumns({"_top": F.max("_v").over(upto), "_trough": F.min("_v").over(upto)})
+        d = d.withColumn("_begin", F.max(share(F.col("_top"), F.col("_v"))).over(upto))
+        whole = Window.partitionBy(*keys).orderBy("_cut", INDEX)
+        d = d.withColumns({f"_was{c}": F.lag(c, size - 1).over(whole) for c in ("_peak", "_end")})
+        # a window that is a block has no end of an earlier one
+        across = F.when(
+            (F.col(INDEX) + 1) % size != 0,
+            F.greatest(F.col("_was_end"), share(F.col("_was_peak"), F.col("_trough"))),
+        )
+        mdd = F.greatest(F.col("_begin"), across, F.lit(0.0))
+        return d.withColumn(out, F.when(full(size), mdd)).drop(
+            "_v", "_cut", "_peak", "_low", "_end", "_top", "_trough", "_begin", "_was_peak", "_was_end"
+        )
 
     return over_lookback(df, layout, size - 1, build)
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from barloom.operators import recurrence, rolling
 from barloom.operators.series import BY_SYMBOL, INDEX, Layout, over_lookback
 
 BUY, HOLD, SELL = 1, 0, -1
+#: Bars that are composed in one go.
+EXIT_BLOCK_ROWS = 65_536
 
 # Default parameters of each strategy.
 DEFAULTS = {
@@ -61,11 +67,33 @@ def mean_reversion(
     return reversion_signals(out, int(window), z_threshold, exit_threshold, layout)
 
 
+def composed(maps: np.ndarray) -> np.ndarray:
+    """Prefix compositions of transition maps: row i tells where rows 0 to i lead from each
+    state. Doubling, as composition is associative."""
+    out, reach = maps.copy(), 1
+    while reach < len(out):
+        earlier = out[:-reach].copy()
+        out[reach:] = np.take_along_axis(out[reach:], earlier, axis=1)
+        reach *= 2
+    return out
+
+
+def reversion_maps(z: np.ndarray, enter, leave: float) -> np.ndarray:
+    """For each z, the state (0 short, 1 flat, 2 long) that follows each state; NaN changes none."""
+    maps = np.tile(np.arange(3), (len(z), 1))
+    maps[z <= leave, 0] = 1
+    maps[z < -enter, 1] = 2
+    maps[z > enter, 1] = 0
+    maps[z >= leave, 2] = 1
+    return maps
+
+
 def reversion_signals(
     df: DataFrame, window, z_threshold, exit_threshold: float, layout: Layout
 ) -> DataFrame:
     """Position automaton over a ``z`` column, as window functions.
 
+    This holds for an exit level inside the entry levels; any other goes to ``_any_exit``.
     Cut the bars into runs on one side of the exit level. A position opened in a run
     stays open to its end and closes on the first bar of the next run, which that close
     uses up. So a run ends in a position if a bar after its first crosses the threshold,
@@ -73,12 +101,12 @@ def reversion_signals(
     toggle the state; all others settle it, and the state follows from the last settled
     run and the number of toggles since.
     """
-    if not isinstance(z_threshold, Column) and abs(exit_threshold) > z_threshold:
-        raise ValueError("exit_threshold must lie inside the entry thresholds")
+    limit = z_threshold if isinstance(z_threshold, Column) else F.lit(float(z_threshold))
+    if exit_threshold and (isinstance(z_threshold, Column) or abs(exit_threshold) > z_threshold):
+        return _any_exit(df, window, limit, float(exit_threshold), layout)
     w = Window.partitionBy(*layout.keys).orderBy(INDEX)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    limit = z_threshold if isinstance(z_threshold, Column) else F.lit(z_threshold)
     z = F.when(F.col(INDEX) >= window, F.col("z"))
     d = df.withColumns(
         {
@@ -133,6 +161,47 @@ def reversion_signals(
     )
 
 
+def _any_exit(df: DataFrame, window: int, limit: Column, leave: float, layout: Layout) -> DataFrame:
+    """The automaton for any exit level. A bar maps the three positions to three positions, and
+    the positions after each bar are the prefix compositions of these maps. Composition is associative, so
+    bars are composed in blocks, blocks are composed in their order, and every block then
+    starts where the one before has ended."""
+    rows = layout.rows or EXIT_BLOCK_ROWS
+    keys = [*layout.keys, "_cut"]
+
+    def frames(batch: pa.Table):
+        z = batch.column("_z").to_numpy(zero_copy_only=False).astype(float)
+        order = np.argsort(batch.column(INDEX).to_numpy(zero_copy_only=False), kind="stable")
+        enter = batch.column("_limit").to_numpy(zero_copy_only=False)[order]
+        return order, composed(reversion_maps(z[order], enter, leave))
+
+    def summary(batch: pa.Table) -> pa.Table:
+        _, maps = frames(batch)
+        own = {k: [batch.column(k)[0].as_py()] for k in keys}
+        return pa.table(own | {"_to": [maps[-1].tolist()]}, schema=ends)
+
+    def steps(batch: pa.Table, from_: pa.Table) -> pa.Table:
+        if not batch.num_rows:
+            return batch.drop_columns(["_z", "_limit"]).append_column("signal", pa.array([], pa.int32()))
+        order, maps = frames(batch)
+        start = from_.column("_from")[0].as_py() if from_.num_rows else 1
+        after = maps[:, start] - 1
+        moves = np.empty(len(order), np.int32)
+        moves[order] = after - np.concatenate(([start - 1], after[:-1]))
+        return batch.drop_columns(["_z", "_limit"]).append_column("signal", pa.array(moves, pa.int32()))
+
+    d = df.withColumns({"_cut": F.floor(F.col(INDEX) / rows), "_z": F.when(F.col(INDEX) >= window, F.col("z")).cast("double"), "_limit": limit})
+    fields = [df.schema[k] for k in layout.keys]
+    ends = to_arrow_schema(StructType([*fields, StructField("_cut", LongType()), StructField("_to", ArrayType(IntegerType()))]))
+    of_keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    ending = d.select(*keys, INDEX, "_z", "_limit").groupBy(*keys).applyInArrow(summary, f"{of_keys}, _cut long, _to array<int>")
+    before = Window.partitionBy(*layout.keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    chained = F.aggregate(F.collect_list("_to").over(before), F.lit(1), lambda at, to: F.get(to, at))
+    starts = ending.select(*keys, chained.alias("_from"))
+    out = StructType([*d.drop("_z", "_limit").schema.fields, StructField("signal", IntegerType())])
+    return d.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInArrow(steps, out).drop("_cut")
+
+
 def rsi_levels(
     df: DataFrame, period=14, oversold=30.0, overbought=70.0, layout: Layout = BY_SYMBOL
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators import ranges
 from barloom.operators.series import INDEX, Layout, index_rows
 from barloom.operators.validation import bars_needed
 from barloom.plans import backtest
@@ -48,25 +49,25 @@ def detect(question: Column) -> dict[str, Column]:
 def shock_recovery(bars: DataFrame, shocks: DataFrame) -> DataFrame:
     """Bars that moved beyond each threshold, and mean bars until the price was back.
 
-    ``shocks(symbol, threshold)`` holds fractions. The look-ahead is a bounded row frame,
-    so no bar meets more than the next 88; the closes ahead are kept only on shock bars.
+    ``shocks(symbol, threshold)`` holds fractions. Bars are packed into blocks once; only those
+    beyond a threshold look ahead, at the blocks of the next 88 bars whose highest or lowest
+    close reaches the old price.
     """
-    w = Window.partitionBy("symbol").orderBy(INDEX)
-    ahead = F.collect_list("close").over(w.rowsBetween(0, RECOVERY_BARS - 2))
-    prev = F.lag("close").over(w)
-    d = bars.select(
-        "symbol", prev.alias("_pre"), (F.col("close") / prev - 1).alias("_move"), ahead.alias("_ahead")
+    prev = F.lag("close").over(Window.partitionBy("symbol").orderBy(INDEX))
+    stored = ranges.blocks(bars.withColumn("_pre", prev), "close", "close", "_pre")
+    rows = stored.select("symbol", "blk", F.posexplode(F.arrays_zip(F.col("hi").alias("close"), F.col("values").alias("pre"))).alias("i", "bar"))
+    moves = rows.select(
+        "symbol",
+        (F.col("blk") * ranges.BLOCK_ROWS + F.col("i")).alias(INDEX),
+        F.col("bar.pre").alias("level"),
+        (F.col("bar.close") / F.col("bar.pre") - 1).alias("_move"),
     )
     hit = F.when(F.col("threshold") < 0, F.col("_move") < F.col("threshold")).otherwise(
         F.col("_move") > F.col("threshold")
     )
-    back = F.transform(
-        "_ahead",
-        lambda x: F.when(F.col("threshold") < 0, x >= F.col("_pre")).otherwise(x <= F.col("_pre")),
-    )
-    found = F.array_position(back, True)
-    hits = shocks.distinct().join(d, "symbol").filter(hit)
-    per = hits.select("symbol", "threshold", F.when(found > 0, found).alias("_days"))
+    hits = shocks.distinct().join(moves, "symbol").filter(hit).withColumn("up", F.col("threshold") < 0)
+    hits = ranges.first_reach(stored, hits, RECOVERY_BARS - 2)
+    per = hits.select("symbol", "threshold", (F.col("after") + 1).alias("_days"))
     counts = per.groupBy("symbol", "threshold").agg(
         F.count(F.lit(1)).alias("occurrences"), F.avg("_days").alias("avg_recovery")
     )

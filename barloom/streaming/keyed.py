@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
-from barloom.operators.signals import BUY, HOLD, SELL
+from barloom.operators.signals import BUY, HOLD, SELL, composed, reversion_maps
 from barloom.session import ROCKSDB_PROVIDER
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -73,27 +73,6 @@ def zscores(earlier: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def composed(maps: np.ndarray) -> np.ndarray:
-    """Prefix compositions of transition maps: row i tells where rows 0 to i lead from each
-    state. Doubling, as composition is associative."""
-    out, reach = maps.copy(), 1
-    while reach < len(out):
-        earlier = out[:-reach].copy()
-        out[reach:] = np.take_along_axis(out[reach:], earlier, axis=1)
-        reach *= 2
-    return out
-
-
-def reversion_maps(z: np.ndarray, enter: float, leave: float) -> np.ndarray:
-    """For each z, the state (0 short, 1 flat, 2 long) that follows each state."""
-    maps = np.tile(np.arange(3), (len(z), 1))
-    maps[z <= leave, 0] = 1
-    maps[z < -enter, 1] = 2
-    maps[z > enter, 1] = 0
-    maps[z >= leave, 2] = 1
-    return maps
-
-
 @dataclass(frozen=True)
 class Average:
     """Exponential average, seeded by the first close."""

@@ -74,8 +74,10 @@ def test_walk_forward_picks_the_best_training_run(spark):
     assert walkforward.windows(bars(spark, 100, ["A"]), spec).count() == 0
 
 
-def test_ranges_equal_brute_force(spark):
+@pytest.mark.parametrize("rows", [7, 128])
+def test_ranges_equal_brute_force(spark, monkeypatch, rows):
     rng = random.Random(2)
+    monkeypatch.setattr(ranges, "BLOCK_ROWS", rows)
     vals = [rng.uniform(50, 200) for _ in range(300)]
     df = spark.createDataFrame(
         [("A", i, v) for i, v in enumerate(vals)], "symbol string, idx long, v double"
@@ -83,7 +85,7 @@ def test_ranges_equal_brute_force(spark):
     asks = {(a, b) for a, b in (sorted((rng.randrange(300), rng.randrange(300))) for _ in range(200))}
     asks |= {(0, 299), (0, 0), (299, 299)}
     q = spark.createDataFrame([("A", a, b) for a, b in asks], "symbol string, l long, r long")
-    out = ranges.range_sums(df, ranges.range_extremes(df, q, "v", "v"), "v").collect()
+    out = ranges.answer(ranges.blocks(df, "v", "v"), q).collect()
     assert len(out) == len(asks)
     for r in out:
         part = vals[r["l"] : r["r"] + 1]
@@ -96,14 +98,36 @@ def test_ranges_equal_brute_force(spark):
                 ask().collect()
 
 
-def test_updates_of_known_points_only(spark):
-    df = spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0)], "symbol string, ts long, v double")
-    new = spark.createDataFrame([("A", 2, 5.0, 1), ("A", 2, 7.0, 2)], "symbol string, ts long, value double, n int")
-    got = {r.ts: r.v for r in ranges.overlay(df, new, "v", F.col("n")).collect()}
-    assert got == {1: 1.0, 2: 7.0}
-    new = spark.createDataFrame([("A", 3, 5.0, 1)], "symbol string, ts long, value double, n int")
+def test_updates_touch_known_points_only(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "BLOCK_ROWS", 4)
+    rows = [("A", 100 + i, i, float(i)) for i in range(11)] + [("B", 100, 0, 5.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, idx long, v double")
+    stored = ranges.blocks(df, "v", "v")
+    schema = "symbol string, ts long, value double, n int"
+    new = spark.createDataFrame([("A", 102, 50.0, 1), ("A", 102, 70.0, 2), ("A", 109, -1.0, 1)], schema)
+    fixed = ranges.updated(stored, df, new, F.col("n"))
+    asks = spark.createDataFrame([("A", 0, 10), ("A", 3, 10), ("A", 2, 2), ("B", 0, 0)], "symbol string, l long, r long")
+    got = {(r.symbol, r.l): (r.hi, r.lo, r.total) for r in ranges.answer(fixed, asks).collect()}
+    assert got == {("A", 0): (70.0, -1.0, 55 - 2 + 70 - 9 - 1), ("A", 3): (10.0, -1.0, 52 - 9 - 1), ("A", 2): (70.0, 70.0, 70.0), ("B", 0): (5.0, 5.0, 5.0)}
+    new = spark.createDataFrame([("A", 300, 5.0, 1)], schema)
     with pytest.raises(Exception, match="unknown point"):
-        ranges.overlay(df, new, "v", F.col("n")).collect()
+        ranges.updated(stored, df, new, F.col("n")).collect()
+
+
+def test_first_reach_equals_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "BLOCK_ROWS", 8)
+    rng = random.Random(5)
+    vals = [rng.uniform(0, 100) for _ in range(90)]
+    df = spark.createDataFrame([("A", i, v) for i, v in enumerate(vals)], "symbol string, idx long, v double")
+    asks = [("A", rng.randrange(90), rng.uniform(-5, 105), rng.random() < 0.5) for _ in range(150)]
+    starts = spark.createDataFrame(asks, "symbol string, idx long, level double, up boolean")
+    for reach in (0, 5, 30):
+        got = sorted(map(str, ranges.first_reach(ranges.blocks(df, "v", "v"), starts, reach).collect()))
+        want = []
+        for s, i, level, up in asks:
+            near = [k for k, v in enumerate(vals[i : i + reach + 1]) if (v >= level if up else v <= level)]
+            want.append((s, i, level, up, near[0] if near else None))
+        assert got == sorted(map(str, spark.createDataFrame(want, "symbol string, idx long, level double, up boolean, after long").collect()))
 
 
 @pytest.mark.parametrize(

@@ -124,15 +124,58 @@ def test_reversion_automaton_equals_loop(spark):
         ]
     rows = [(s, i, z) for s, zs in series.items() for i, z in enumerate(zs)]
     df = spark.createDataFrame(rows, "symbol string, idx long, z double")
-    for leave in (0.0, 0.4, -0.4):
+    for leave in (0.0, 0.4, -0.4, 1.0, -1.0, 1.3, -2.5):
         out = signals.reversion_signals(df, 3, 1.0, leave, BY_SYMBOL)
         got = {}
         for r in out.orderBy("symbol", "idx").collect():
             got.setdefault(r["symbol"], []).append(r["signal"])
         for s, zs in series.items():
             assert got[s] == loops.reversion(zs, 3, 1.0, leave), (s, zs)
-    with pytest.raises(ValueError):
-        signals.reversion_signals(df, 3, 1.0, 2.0, BY_SYMBOL)
+    # composed in blocks of seven bars, and with a threshold per row
+    lay = blocked(rows=7)
+    for limit in (1.0, F.when(F.col("symbol") < "S4", 1.0).otherwise(0.5)):
+        out = signals.reversion_signals(df, 3, limit, 1.3, lay)
+        got = columns(out, "signal")
+        for s, zs in series.items():
+            enter = 1.0 if isinstance(limit, float) or s < "S4" else 0.5
+            assert got[s] == loops.reversion(zs, 3, enter, 1.3), (s, zs)
+
+
+def test_mixed_spans_copy_no_row(spark, walk):
+    xs = walk["A"] * 25
+    df = frame(spark, {"A": xs, "B": walk["B"]})
+    spans = {"a": 2, "b": 26, "c": 200, "d": 1}
+    assert len(recurrence.block_classes([recurrence.alpha_of(s) for s in spans.values()])) == 2
+    for lay in (BY_SYMBOL, blocked(rows=64, span_seconds=400)):
+        out = recurrence.ema(index_rows(df, lay), spans, layout=lay)
+        assert out.count() == len(xs) + 5
+        for name, span in spans.items():
+            assert all(loops.close_to(x, y) for x, y in zip(column(out, name), loops.ema(xs, span)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def drawdown(xs, size):
+    out = []
+    for i in range(len(xs)):
+        peak, worst = 0.0, 0.0
+        for x in xs[max(0, i - size + 1) : i + 1]:
+            peak = max(peak, x)
+            worst = max(worst, (peak - x) / peak if peak > 0 else 0.0)
+        out.append(worst if i >= size - 1 else None)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 20, 150, 151])
+def test_rolling_drawdown_equals_loop(spark, walk, size):
+    xs = walk["A"] + [0.0, 0.0, 3.0, 0.0] + walk["A"][::-1]
+    df = frame(spark, {"A": xs, "B": walk["B"]})
+    for lay in (BY_SYMBOL, SMALL):
+        out = rolling.rolling_max_drawdown(index_rows(df, lay), size, layout=lay)
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = columns(out, "mdd")
+        for s, v in (("A", xs), ("B", walk["B"])):
+            assert all(loops.close_to(x, y) for x, y in zip(got[s], drawdown(v, size))), (s, size)
 
 
 @pytest.mark.parametrize("long_only", [True, False])
