@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom import plugins
 from barloom.catalog.registry import query
 from barloom.catalog.views import (
     SQL_DAILY, SQL_EQUITY, SQL_REPORT_FIELDS, closes_equity, daily_indexed, sql_backtest,
@@ -118,6 +119,26 @@ def profit_factor(spark, d):
     )
 
 
+@query(
+    "user_metrics",
+    STATS
+    + """SELECT symbol, round(coalesce(sum(ret) / -sum(ret) FILTER (WHERE ret < 0), 0), 6) AS gain_to_pain,
+  round(greatest(max(ret), 0) / (max(abs(ret)) + 1e-12), 6)::DOUBLE AS upside FROM stats GROUP BY symbol""",
+)
+def user_metrics(spark, d):
+    """Metrics that a user has written over the returns of a series."""
+
+    def gain_to_pain(rets):
+        pain = -rets[rets < 0].sum()
+        return rets.sum() / pain if pain > 0 else 0.0
+
+    gain = plugins.pandas_metric(gain_to_pain)
+    upside = plugins.pandas_metric(lambda rets: max(rets.max(), 0.0) / (rets.abs().max() + 1e-12))
+    return closes_equity(spark, d).groupBy("symbol").agg(
+        F.round(gain("ret"), 6).alias("gain_to_pain"), F.round(upside("ret"), 6).alias("upside")
+    )
+
+
 @query(
     "perf_report",
     with_sql(SQL_SIM, sql_report("sim")) + f"SELECT symbol, {SQL_REPORT_FIELDS} FROM rep",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.registry import query
 from barloom.functions import text as tx
+from barloom import plugins
 from barloom.operators import chunking, retrieval, sentiment
 from barloom.sources import chunk_store, documents, filings
 from barloom.catalog.views import prose
@@ -264,6 +265,58 @@ def union_sources(spark, d):
     )
 
 
+def turn_shares(options: dict) -> list[int]:
+    """Row groups of the conversations file."""
+    import pyarrow.parquet as pq
+
+    return list(range(pq.ParquetFile(options["path"]).num_row_groups))
+
+
+def turn_documents(share: int, options: dict):
+    """The turns of one row group as documents, batch by batch."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    rows = pq.ParquetFile(options["path"]).iter_batches(row_groups=[share], columns=["conv_id", "turn", "role", "text"])
+    for batch in rows:
+        role, text = batch.column("role"), batch.column("text")
+        url = pc.binary_join_element_wise(
+            "https://example.com/c", batch.column("conv_id").cast("string"), batch.column("turn").cast("string"), "/"
+        )
+        day = pa.array(["2024-02-01"] * batch.num_rows)
+        yield pa.RecordBatch.from_arrays([text, pc.utf8_upper(role), pa.array(["turns"] * batch.num_rows), day, url], ["content", "ticker", "source", "date", "url"])
+
+
+def benchmark_documents(spark, options: dict):
+    """A loader made of column expressions."""
+    return spark.read.parquet(options["path"]).select(
+        F.col("text").alias("content"), F.lit("BENCH").alias("ticker"), F.lit("benchmark").alias("source"),
+        F.lit("2024-02-02").alias("date"), F.concat(F.lit("https://example.com/b/"), "item_id").alias("url"),
+    )
+
+
+plugins.register_source(
+    "conversation_turns", "content string, ticker string, source string, date string, url string", turn_shares, turn_documents
+)
+plugins.register_loader("benchmark_items", benchmark_documents)
+
+
+@query(
+    "plugin_sources",
+    """
+SELECT left(sha256(text), 16) AS doc_id, upper(role) AS ticker, 'turns' AS source, '2024-02-01' AS date,
+  'https://example.com/c/' || conv_id || '/' || turn AS url, length(text)::INT AS chars FROM conversations
+UNION ALL
+SELECT left(sha256(text), 16), 'BENCH', 'benchmark', '2024-02-02', 'https://example.com/b/' || item_id, length(text)::INT FROM benchmark""",
+)
+def plugin_sources(spark, d):
+    """Documents of two loaders that users have registered, one of them a Python data source."""
+    options = {"conversation_turns": {"path": f"{d}/conversations.parquet"}, "benchmark_items": {"path": f"{d}/benchmark.parquet"}}
+    docs = plugins.load_all(spark, options)
+    return docs.select("doc_id", "ticker", "source", "date", "url", F.length("content").alias("chars"))
+
+
 @query("doc_dedup", f"WITH {SQL_LANDED} SELECT doc_id, ticker, source, date, url FROM d2")
 def doc_dedup(spark, d):
     good, _ = documents.split_errors(landed(spark, d))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from barloom.catalog.registry import query
 from barloom.catalog.rolling import SQL_ZSCORE, r
 from barloom.catalog.views import SQL_DAILY, daily_indexed, sql_momentum, with_sql
-from barloom.operators import recurrence, signals
+from barloom.operators import recurrence, rolling, signals
+from barloom.operators.series import BY_SYMBOL
 
 
 def sql_walk(name: str, first: str, step: str) -> str:
@@ -183,6 +184,23 @@ def mr_signals(spark, d):
     return signals.mean_reversion(daily_indexed(spark, d)).select("symbol", "ts", "signal")
 
 
+SQL_FAR_EXIT = SQL_ZSCORE + "," + sql_reversion(1.0, leave=1.5) + "," + sql_reversion(1.0, name="under", leave=-2.2)
+
+
+@query(
+    "mr_signals_far_exit",
+    with_sql(SQL_FAR_EXIT)
+    + """SELECT symbol, ts, o.signal AS over, u.signal AS under
+FROM (SELECT symbol, tss[i] AS ts, signal FROM auto) o JOIN (SELECT symbol, tss[i] AS ts, signal FROM under) u USING (symbol, ts)""",
+)
+def mr_signals_far_exit(spark, d):
+    """Exit levels outside the entry levels, above and below them."""
+    z = rolling.zscore(daily_indexed(spark, d), 20)
+    over = signals.reversion_signals(z, 20, 1.0, 1.5, BY_SYMBOL).withColumnRenamed("signal", "over")
+    both = signals.reversion_signals(over, 20, 1.0, -2.2, BY_SYMBOL)
+    return both.select("symbol", "ts", "over", F.col("signal").alias("under"))
+
+
 @query(
     "ls_positions",
     with_sql(SQL_REVERSION)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,27 +14,73 @@ HIDDEN_TYPES = ["OPTION", "FUTURE", "CURRENCY", "CRYPTOCURRENCY"]
 TYPE_NAMES = {"EQUITY": "Equity", "ETF": "ETF", "MUTUALFUND": "Fund", "INDEX": "Index"}
 
 
+def grams_in_order(text: Column, size: int) -> Column:
+    """The substring of one length at every place, found in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+
+
 def grams(text: Column, size: int) -> Column:
-    """Distinct substrings of one length, found in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    return F.array_distinct(grams_in_order(text, size))
+
+
+def _at(text: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - bits)
+
 
+class Marks:
+    """A set of texts as one bit per hash: never misses a member, and lets few others through.
+    32 bits per text, 16 MB at most."""
 
-def contains_join(
-    texts: DataFrame, keys: list[str], text: str, needles: DataFrame, needle: str
-) -> DataFrame:
-    """Pairs where ``texts.text`` contains ``needles.needle``, by the unique text ``keys``.
+    def __init__(self, texts: DataFrame, column: str, name: str):
+        self.name = name
+        self.bits = min(27, max(12, (32 * texts.count()).bit_length()))
+        at = _at(F.col(column), self.bits)
+        places = texts.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+        words = places.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))
+        held = np.zeros(1 << (self.bits - 6), "int64")
+        for w, v in words.collect():
+            held[w] = v
+        self.table = texts.sparkSession.createDataFrame(pa.table({name: pa.array([held])}))
 
-    Keys and needles meet on the first three characters of the needle (all of it, if
-    shorter); only the pairs that met are joined to the text and checked in full. So the
-    join is an exact equi-join, and no text is copied per substring. Needles must not be empty.
+    def has(self, text: Column) -> Column:
+        at = _at(text, self.bits)
+        return F.getbit(F.get(F.col(self.name), F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Pairs where ``texts.text`` contains ``needles.needle``, each once for every row of either side.
+
+    Every row is looked at once: substrings that begin as some needle does and have the length of one
+    are kept if the set of needles may have them, and only those are exploded. They meet the
+    needles by equality, which is the check itself; the text is not needed again. The sets and the
+    lengths of the needles are bounded. Needles must not be empty.
     """
-    lengths = [grams(F.col(text), n) for n in range(1, GRAM + 1)]
-    left = texts.select(*keys, F.explode(F.flatten(F.array(*lengths))).alias("_gram"))
-    right = needles.filter(F.length(needle) > 0).withColumn(
-        "_gram", F.substring(F.col(needle), 1, GRAM)
+    known = needles.select(needle).filter(F.length(needle) > 0).distinct()
+    lengths = sorted(r[0] for r in known.select(F.length(needle)).distinct().collect())
+    whole = Marks(known, needle, "_whole")
+    heads = known.filter(F.length(needle) >= GRAM).select(F.substring(needle, 1, GRAM).alias("_head")).distinct()
+    head = Marks(heads, "_head", "_heads")
+    short = [grams(F.col(text), n) for n in lengths if n < GRAM]
+    long = F.array(*map(F.lit, (n for n in lengths if n >= GRAM))).cast("array<int>")
+    chars = F.split(text, "")
+    spots = F.filter(
+        F.transform(grams_in_order(F.col(text), GRAM), lambda g, i: F.when(head.has(g), i + 1)), lambda i: i.isNotNull()
+    )
+    place = F.transform(
+        F.array(F.struct(chars.alias("c"), spots.alias("s"))),
+        lambda t: F.flatten(
+            F.transform(
+                t["s"],
+                lambda i: F.transform(
+                    F.filter(long, lambda n: i + n - 1 <= F.size(t["c"])), lambda n: F.array_join(F.slice(t["c"], i, n), "")
+                ),
+            )
+        ),
     )
-    met = left.join(right, "_gram").drop("_gram")
-    return met.join(texts, keys).filter(F.col(text).contains(F.col(needle)))
+    subs = F.array_distinct(F.concat(*short, F.flatten(place)))
+    row = texts.crossJoin(F.broadcast(whole.table)).crossJoin(F.broadcast(head.table))
+    found = row.select(*texts.columns, F.explode(F.filter(subs, lambda s: whole.has(s))).alias("_sub"))
+    return found.join(needles, F.col("_sub") == F.col(needle)).drop("_sub")
 
 
 def listed(instruments: DataFrame) -> DataFrame:
@@ -51,7 +99,7 @@ def search(instruments: DataFrame, queries: DataFrame, limit: int = 8) -> DataFr
     """
     hay = instruments.withColumn("_hay", F.lower(F.concat_ws(" ", "symbol", "name")))
     asks = queries.select("q", F.lower(F.trim("q")).alias("_q")).distinct()
-    hits = contains_join(hay, ["pos"], "_hay", asks, "_q").drop("_hay")
+    hits = contains_join(hay, "_hay", asks, "_q").drop("_hay")
     prefix = F.lower("symbol").startswith(F.col("_q"))
     best = Window.partitionBy("q").orderBy(F.col("_late"), F.col("pos"))
     return (

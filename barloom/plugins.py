@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from barloom.operators import signals
 from barloom.operators.series import BY_SYMBOL, INDEX, Layout
@@ -59,6 +61,49 @@ def register_loader(name: str, load: Loader) -> None:
     LOADERS[name] = load
 
 
+@dataclass(frozen=True)
+class Share(InputPartition):
+    """What one task of a loader reads: anything that can be pickled."""
+
+    value: object
+
+
+def register_source(name: str, schema: str, split: Callable[[dict], Iterable], read: Callable[[object, dict], Iterator]) -> None:
+    """Add a document source written in Python, as a data source of Spark.
+
+    ``split(options)`` names the shares that tasks read in parallel, and ``read(share, options)`` yields
+    Arrow batches or tuples of ``schema``. Both run outside the session: they get plain options and
+    must not use Spark. A lost task reads its share again.
+    """
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict):
+            self.options = dict(options)
+
+        def partitions(self):
+            return [Share(v) for v in split(self.options)] or [Share(None)]
+
+        def read(self, partition):
+            return iter(()) if partition.value is None else read(partition.value, self.options)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(self.options)
+
+    def load(spark: SparkSession, options: dict) -> DataFrame:
+        spark.dataSource.register(Source)
+        return spark.read.format(name).options(**options).load()
+
+    register_loader(name, load)
+
+
 def load_all(spark: SparkSession, options: dict[str, dict]) -> DataFrame:
     """Union of the named sources, each with its own options."""
     from barloom.sources.documents import union_sources

@@ -79,22 +79,20 @@ def articles(
 def mentions(
     entries: DataFrame, companies: DataFrame, per_feed: int | None = FEED_ENTRIES
 ) -> DataFrame:
-    """Feed entries that name a ticker or its company, one row per entry and ticker.
+    """``(feed, pos, ticker)`` of feed entries that name a ticker or its company, each once.
 
-    ``entries(feed, pos, link, title, summary)``, ``companies(ticker, company)``.
+    ``entries(feed, pos, title, summary)``, ``companies(ticker, company)``.
     """
     if per_feed is not None:
         w = Window.partitionBy("feed").orderBy("pos")
         entries = entries.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_feed)
-        entries = entries.drop("_n")
     hay = entries.select(
         "feed", "pos", F.lower(F.concat_ws(" ", "title", "summary")).alias("_hay")
     )
     names = companies.select(
         "ticker", F.explode(F.array(F.lower("ticker"), F.lower("company"))).alias("_needle")
     ).distinct()
-    found = contains_join(hay, ["feed", "pos"], "_hay", names, "_needle")
-    return found.select("feed", "pos", "ticker").distinct().join(entries, ["feed", "pos"])
+    return contains_join(hay, "_hay", names, "_needle").select("feed", "pos", "ticker").distinct()
 
 
 def posts(

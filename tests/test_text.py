@@ -117,15 +117,15 @@ def test_metadata_round_trip(spark):
 
 def test_substring_join_equals_brute_force(spark):
     rng = random.Random(4)
-    word = lambda n: "".join(rng.choice("abé\n ") for _ in range(n))
-    texts = [(i, word(rng.randint(0, 40))) for i in range(60)]
-    needles = list({word(rng.randint(1, 6)) for _ in range(30)})
+    word = lambda n: "".join(rng.choice("abé😀\n ") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 40))) for i in range(60)] + [(60, None)]
+    needles = list({word(rng.randint(0, 6)) for _ in range(30)} | {word(50)})
     got = matching.contains_join(
-        spark.createDataFrame(texts, "id int, t string"), ["id"], "t",
+        spark.createDataFrame(texts, "id int, t string"), "t",
         spark.createDataFrame([(n,) for n in needles], "n string"), "n",
     )
     assert {(r["id"], r["n"]) for r in got.collect()} == {
-        (i, n) for i, t in texts for n in needles if n in t
+        (i, n) for i, t in texts for n in needles if t and n and n in t
     }
 
 
