@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.tables import Members, saved, text_key, without
+from barloom.llm.tables import Members, discard, saved, text_key, without
 
 #: Different texts that a bucket of the index may hold before it splits.
 BUCKET_TEXTS = 4096
-#: The directory never doubles further than this.
-MAX_DEPTH = 24
+#: Leading bits of the hash that a directory can tell apart.
+MOST_BITS = 60
 
 
 def squeezed(text: Column) -> Column:
@@ -27,16 +27,21 @@ def digest(norm: Column) -> Column:
 
 
 def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
-    """Global depth and the table (slot, bucket, depth) of an index over ``entries.h``.
+    """Global depth and the table (slot, bucket, depth) of an index over ``entries.h``, written.
 
     The directory has 2**depth slots, the leading bits of the hash. It doubles until no
-    bucket holds more than ``capacity`` entries; slots of a bucket that never split share it.
-    A histogram of fine slots stands for the entries, so every doubling is a sum over it.
+    bucket holds more than ``capacity`` entries, unless they all have one hash; slots of a bucket that
+    never split share it. A histogram of fine slots stands for the entries, so every doubling is
+    a sum over it; where a fine slot is still overfull, the histogram is made finer.
     """
-    n = entries.count()
-    fine = min(MAX_DEPTH, max(4, (n // capacity).bit_length() + 6))
-    slots = entries.groupBy(F.shiftrightunsigned("h", 64 - fine).cast("long").alias("fine")).agg(F.count("*").alias("n"))
-    slots = saved(slots, "exact-slots")
+    fine = max(4, (entries.count() // capacity).bit_length() + 6)
+    while True:
+        at = F.shiftrightunsigned("h", 64 - fine).cast("long").alias("fine")
+        slots = saved(entries.groupBy(at).agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")), "exact-slots")
+        if fine >= MOST_BITS or slots.where((F.col("n") > capacity) & (F.col("lo") < F.col("hi"))).isEmpty():
+            break
+        discard(slots)
+        fine = min(MOST_BITS, fine + 8)
     levels = slots.select("fine", "n", F.explode(F.sequence(F.lit(0), F.lit(fine))).alias("depth")).select(
         "fine", "n", "depth", F.expr(f"shiftright(fine, {fine} - depth)").alias("prefix")
     )
@@ -52,20 +57,24 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
     leaf = saved(leaf, "exact-leaves")
     depth = leaf.agg(F.max("depth")).first()[0] or 0
     cut = F.expr(f"shiftright(fine, {fine - depth})")
-    return depth, leaf.groupBy(cut.alias("slot")).agg(F.min("bucket").alias("bucket"), F.min("depth").alias("depth"))
+    table = saved(leaf.groupBy(cut.alias("slot")).agg(F.min("bucket").alias("bucket"), F.min("depth").alias("depth")), "exact-directory")
+    discard(slots)
+    discard(leaf)
+    return depth, table
 
 
 def build(docs: DataFrame, capacity: int = BUCKET_TEXTS, hashed=key_hash, digested=digest) -> tuple[DataFrame, DataFrame]:
     """(rows, index), both written to the shared folder.
 
     rows: doc_id, code_points, h, digest and text key of every document. index: one entry per different
-    text, in buckets owned by one task each: bucket, h, digest, n (rows), best (of the row that
-    stays), chain (place among different texts with the same hash), read in key order.
-
-    Whole texts are compared byte by byte wherever a hash occurs more than once: they are
-    grouped by the bytes themselves, copies folding before the shuffle. Hashes that
-    occur once need no comparison; a filter of fixed size keeps their texts out of the shuffle.
-    Two texts that agree in hash and digest but not in bytes would fail the job, not merge.
+    text, made by the task that owns its bucket: bucket, h, digest, n (rows), best (of the row that
+    stays), chain (place among different texts with the same hash), in key order.
+
+    Copies fold before anything moves, by the bytes themselves wherever a hash occurs more than once; hashes
+    that occur once need no comparison, and a filter of fixed size keeps their texts where they are. What is left
+    probes the directory: its slot names the bucket, probes are dealt by the bucket alone, and the
+    owner chains equal hashes and compares the bytes along each chain. Two texts that agree in hash and
+    digest but not in bytes would fail the job, not merge.
     """
     norm = squeezed(F.col("text"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -85,29 +94,32 @@ def build(docs: DataFrame, capacity: int = BUCKET_TEXTS, hashed=key_hash, digest
         rows.groupBy("h", "digest").agg(F.count("*").alias("n"), F.max(best).alias("best")), "exact-entries"
     )
     often = entries.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    compared = _compared(base.select(hashed(norm).alias("h"), digested(norm).alias("digest"), norm.alias("norm")), often)
-    depth, slots = directory(entries, capacity)
-    slot = F.shiftrightunsigned("h", 64 - depth).cast("long") if depth else F.lit(0).cast("long")
-    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("digest")) - 1
-    index = (
-        entries.join(compared, ["h", "digest"], "left")
-        .withColumn("slot", slot)
-        .join(slots.select("slot", "bucket"), "slot")
-        .withColumn("chain", chain)
-        .select("bucket", "h", "digest", "n", "best", "chain", F.coalesce("texts", F.lit(1)).alias("texts"))
-        .sortWithinPartitions("bucket", "h", "chain")
+    members = Members(often, F.xxhash64("h"))
+    texts = base.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("code_points"), hashed(norm).alias("h"), digested(norm).alias("digest"), norm.alias("norm"))
+    compared = (
+        members.mark(texts, F.xxhash64("h"), "_maybe").where("_maybe")
+        .groupBy("h", "digest", "norm").agg(F.count("*").alias("n"), F.max(best).alias("best"))
     )
-    return rows, saved(index, "exact-index")
+    once = members.mark(entries, F.xxhash64("h"), "_maybe").where("not _maybe")
+    probes = compared.select("h", "digest", "n", "best", "norm").union(once.select("h", "digest", "n", "best", F.lit(None).cast("string")))
+    depth, slots = directory(entries, capacity)
+    index = saved(_chained(probes, depth, slots), "exact-index")
+    for spent in (entries, slots):
+        discard(spent)
+    return rows, index
 
 
-def _compared(texts: DataFrame, often: DataFrame) -> DataFrame:
-    """(h, digest, texts): byte-different texts under a key, 1 or else a failure."""
-    maybe = Members(often, F.xxhash64("h")).mark(texts, F.xxhash64("h"), "_maybe").where("_maybe")
-    different = maybe.groupBy("h", "digest", "norm").agg(F.lit(1).alias("one"))
-    one = F.when(F.count("*") == 1, F.lit(1)).otherwise(
-        F.raise_error(F.lit("different texts share hash and digest")).cast("int")
-    )
-    return different.groupBy("h", "digest").agg(one.alias("texts"))
+def _chained(probes: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
+    """The entries of all buckets, each made by one task from the probes that its slots name."""
+    slot = F.shiftrightunsigned("h", 64 - depth).cast("long") if depth else F.lit(0).cast("long")
+    owned = probes.withColumn("slot", slot).join(slots.select("slot", "bucket"), "slot").repartition("bucket")
+    chain = Window.partitionBy("bucket", "h").orderBy("digest", "norm")
+    before = F.lag(F.struct("digest", "norm")).over(chain)
+    owned = owned.withColumns({"chain": F.row_number().over(chain) - 1, "_before": before})
+    clash = (F.col("_before.digest") == F.col("digest")) & ~F.col("_before.norm").eqNullSafe(F.col("norm"))
+    fail = F.raise_error(F.lit("different texts share hash and digest")).cast("int")
+    checked = F.when(F.coalesce(clash, F.lit(False)), fail).otherwise(F.col("chain"))
+    return owned.select("bucket", "h", "digest", "n", "best", checked.alias("chain"))
 
 
 def keepers(docs: DataFrame, **options) -> DataFrame:
@@ -116,10 +128,14 @@ def keepers(docs: DataFrame, **options) -> DataFrame:
     Of equal texts the row with the most code points, then the smallest doc_id, stays; if the
     same row occurs repeatedly, all its repeats count as staying here (``drop_copies``
     leaves one). A null text counts as empty, a null doc_id loses to any other. No rows, no
-    result. The row side of the last join may be skewed; both sides are plain exchanges over
-    written tables, so adaptive execution splits it.
+    result. Every row takes the entry that its bucket's owner has made for its text; a text with very
+    many rows is one entry, and as both sides of that join are written tables, adaptive execution
+    splits the rows of it.
     """
-    rows, index = build(docs, **options)
+    return _kept(*build(docs, **options))
+
+
+def _kept(rows: DataFrame, index: DataFrame) -> DataFrame:
     keep = index.select("h", "digest", "n", "bucket", "chain", F.bitwise_not("best.minus").alias("keep_id"), F.col("best.code_points").alias("_cp"))
     return rows.join(keep, ["h", "digest"]).select(
         "doc_id",
@@ -136,6 +152,9 @@ def keepers(docs: DataFrame, **options) -> DataFrame:
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of every group of equal texts, all columns as they are. Of
     repeated rows one stays; among copies that all lack a doc_id, one of each wording."""
-    verdict = saved(keepers(docs, **options).select("doc_id", "key", "kept"), "exact-verdict")
+    rows, index = build(docs, **options)
+    verdict = saved(_kept(rows, index).select("doc_id", "key", "kept"), "exact-verdict")
+    for spent in (rows, index):
+        discard(spent)
     repeated = verdict.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
     return without(docs, verdict.where("not kept"), repeated)

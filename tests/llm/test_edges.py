@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import boosting, exact_dedup, language, packing, pieces, quality, sharding, simhash, substrings, token_counts, warc
+from barloom.llm import boosting, exact_dedup, language, packing, pieces, quality, sharding, simhash, substrings, tables, token_counts, warc
 from barloom.llm.components import components
 from barloom.llm.queries import tokenizer_file
 from barloom.llm.tables import Members, without
@@ -139,6 +139,30 @@ def test_exact_chains_and_buckets(spark):
         exact_dedup.build(df, hashed=weak, digested=lambda n: F.length(n).cast("string").cast("binary"))
 
 
+def test_exact_goes_through_its_directory(spark, docs, monkeypatch):
+    """Owners decide: rows whose slot is missing are lost, chains end where a bucket does."""
+    whole = exact_dedup.directory
+
+    def broken(entries, capacity):
+        depth, slots = whole(entries, capacity)
+        return depth, tables.saved(slots.where(F.col("bucket") > slots.agg(F.min("bucket")).first()[0]), "broken")
+
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 100).cast("string")).alias("text"))
+    right = exact_dedup.keepers(df, capacity=8).collect()
+    assert len(right) == 300 and len({r.bucket for r in right}) > 10
+    monkeypatch.setattr(exact_dedup, "directory", broken)
+    got = exact_dedup.keepers(df, capacity=8).collect()
+    lost = min(r.bucket for r in right)
+    assert sorted(map(str, got)) == sorted(str(r) for r in right if r.bucket != lost) and len(got) < 300
+
+
+def test_exact_directory_deepens_where_hashes_crowd(spark):
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    crowded = lambda n: F.shiftrightunsigned(F.xxhash64(n), 40)
+    _, index = exact_dedup.build(df, capacity=8, hashed=crowded)
+    assert index.count() == 600 and index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 8
+
+
 def test_quality(docs, none):
     got = quality.judge(docs, None).collect()
     assert len(got) == len(ROWS)
