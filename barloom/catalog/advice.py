@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from barloom.catalog.book import exact
 from barloom.catalog.registry import query
 from barloom.catalog.rolling import SQL_REGIME, SQL_ZS
-from barloom.catalog.text import BAD, GOOD, SQL_SCORED, sql_list, sql_sentiment
+from barloom.catalog.text import BAD, GOOD, SQL_SCORED, SQL_WORDS, citation_of, sql_list, sql_mmr, sql_sentiment
 from barloom.catalog.trend import (
     SQL_MACD_RULE, SQL_MACD_WALK, SQL_RSI_RULE, SQL_RSI_WALK, sql_reversion,
 )
 from barloom.catalog.views import (
     SQL_DAILY, SQL_REPORT_FIELDS, daily, prose, sql_backtest, sql_momentum, sql_report, with_sql,
 )
-from barloom.operators import sentiment
+from barloom.operators import retrieval, sentiment
 from barloom.plans import decision
 from barloom.sources.bars import table
 
@@ -181,9 +181,67 @@ adv AS (
   FROM resolved r JOIN chosen c ON c.symbol = r.symbol)"""
 
 
+def symbol_sources(spark, d):
+    """What each brand's documents say: its question is the mean vector of a label."""
+    docs = prose(spark, d)
+    v = table(spark, d, "embeddings")
+    means = retrieval.centroids(v, "label", "embedding").withColumnRenamed("query_id", "label")
+    number = F.substring("source", 4, 10).cast("long")
+    asked = docs.select(symbol_of(F.col("source")).alias("symbol"), number.alias("query_id")).distinct()
+    questions = asked.withColumn("label", F.col("query_id") % 10).join(means, "label").select("symbol", "query_id", "query")
+    chunks = docs.join(v, F.col("doc_id") == F.col("vec_id")).select(
+        "vec_id", F.col("embedding").alias("vector"), symbol_of(F.col("source")).alias("symbol"),
+        F.col("text").alias("content"), citation_of(F.col("doc_id")).alias("citation"),
+    )
+    return decision.sources_of(questions, chunks)
+
+
+def full_analysis(spark, d):
+    return decision.analyze(daily(spark, d), symbol_evidence(spark, d), symbol_sources(spark, d))
+
+
+SQL_PICKS = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, 6))
+SQL_SOURCES = f"""
+ex AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+mean AS (SELECT label, i, avg(v) AS m FROM ex GROUP BY label, i),
+qv AS (SELECT label, list(m ORDER BY i) AS q FROM mean GROUP BY label),
+sq AS (SELECT DISTINCT source, substring(source, 4)::BIGINT AS query_id FROM documents),
+scs AS (
+  SELECT sq.query_id, vec_id, text AS content, source, doc_id, list_distinct({SQL_WORDS.format('lower(text)')}) AS ws,
+    1 - (1 - list_cosine_similarity(embedding::DOUBLE[], q)) / 2 AS score
+  FROM sq JOIN qv ON label = query_id % 10 JOIN documents USING (source) JOIN embeddings ON vec_id = doc_id),
+th AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scs QUALIFY rank <= 20),
+sims AS (
+  SELECT a.query_id, a.vec_id AS x, b.vec_id AS y, CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0 ELSE
+    len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(a.ws || b.ws)) END AS sim
+  FROM th a JOIN th b ON a.query_id = b.query_id),
+few AS (SELECT query_id FROM th GROUP BY query_id HAVING count(*) <= 5),
+{sql_mmr(5)},
+picks AS (
+  SELECT query_id, vec_id, position FROM ({SQL_PICKS}) WHERE query_id NOT IN (FROM few)
+  UNION ALL SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT FROM th WHERE query_id IN (FROM few)),
+cited AS (
+  SELECT 'Brand#' || p.query_id AS symbol, position, '[' || source || ']'
+    || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' Note ' || doc_id END
+    || ' (' || strftime(DATE '2024-01-01' + doc_id::INT, '%Y-%m-%d') || ')'
+    || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' — https://example.com/' || doc_id END AS citation
+  FROM picks p JOIN th USING (query_id, vec_id)),
+listed AS (
+  SELECT symbol, string_agg('[' || position || '] ' || citation, chr(10) ORDER BY position) FILTER (WHERE position <= 3) AS lines,
+    count(*) AS n_sources FROM cited GROUP BY symbol)"""
+
+
+@query("analysis_sources", with_sql(SQL_SOURCES) + "SELECT symbol, position, citation FROM cited")
+def analysis_sources(spark, d):
+    """The citations of each symbol, in their order."""
+    found = symbol_sources(spark, d)
+    return found.select("symbol", F.posexplode("citations").alias("position", "citation")).withColumn("position", F.col("position") + 1)
+
+
 @query(
     "recommend",
-    with_sql(SQL_DAILY, SQL_REGIME, SQL_STATE, SQL_RUNS, SQL_RESOLVED, SQL_ADVICE)
+    with_sql(SQL_DAILY, SQL_REGIME, SQL_STATE, SQL_RUNS, SQL_RESOLVED, SQL_ADVICE, SQL_SOURCES)
     + f"""SELECT symbol, recommendation, 'SIGNAL: ' || recommendation || chr(10) || 'CONFIDENCE: MEDIUM'
   || chr(10) || chr(10) || symbol || ' analysis using ' || upper(strategy) || ' strategy:' || chr(10)
   || chr(10) || 'Quantitative Evidence:' || chr(10)
@@ -196,32 +254,29 @@ adv AS (
     WHEN 'BUY' THEN 'Strong risk-adjusted returns support a BUY recommendation.'
     WHEN 'HOLD' THEN 'Risk metrics suggest caution — consider HOLD or reduced position.'
     ELSE 'Negative performance metrics suggest avoiding this position.' END
-  || chr(10) || chr(10) || 'SOURCES:' || chr(10) || 'No sources available.' AS explanation
-FROM adv""",
+  || chr(10) || chr(10) || 'SOURCES:' || chr(10) || coalesce(lines, 'No sources available.') AS explanation
+FROM adv LEFT JOIN listed USING (symbol)""",
 )
 def recommend(spark, d):
     return full_analysis(spark, d).select("symbol", "recommendation", "explanation")
 
 
-def full_analysis(spark, d):
-    return decision.analyze(daily(spark, d), symbol_evidence(spark, d))
-
-
 @query(
     "analyze",
-    with_sql(SQL_DAILY, SQL_REGIME, SQL_STATE, SQL_RUNS, SQL_RESOLVED, SQL_ADVICE)
+    with_sql(SQL_DAILY, SQL_REGIME, SQL_STATE, SQL_RUNS, SQL_RESOLVED, SQL_ADVICE, SQL_SOURCES)
     + """SELECT symbol, strategy, attempt::INT AS retries, total_return, annualized_return,
   annualized_volatility, sharpe_ratio, sortino_ratio, max_drawdown, calmar_ratio, var_95, cvar_95, win_rate,
   profit_factor, n_trades, n_days, risk_score, risk_level, true AS risk_approved,
   reasons AS rejection_reason, round(sentiment_score, 6)::DOUBLE AS sentiment_score, sentiment_label,
-  change_pct, recommendation FROM adv""",
+  change_pct, recommendation, coalesce(n_sources, 0)::INT AS n_sources FROM adv LEFT JOIN listed USING (symbol)""",
 )
 def analyze(spark, d):
     out = full_analysis(spark, d)
     gone = [
         "explanation", "volatility", "run", "z_threshold", "slope", "n_bars", "confidence",
-        "sentences", "bullish_words", "bearish_words",
+        "sentences", "bullish_words", "bearish_words", "citations", "context",
     ]
+    out = out.withColumn("n_sources", F.size("citations"))
     return out.drop(*gone).withColumn("sentiment_score", F.round("sentiment_score", 6))
 
 

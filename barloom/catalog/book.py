@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.registry import query
 from barloom.catalog.views import SQL_DAILY0, SQL_LOTS, daily, index_price, lots, with_sql
 from barloom.operators import alerts, calendar, matching, portfolio, quotes, validation
+from barloom.session import materialize
 from barloom.sources.bars import table
 
 
@@ -245,6 +246,69 @@ def alert_eval(spark, d):
     return alerts.evaluate(alert_registry(spark, d), days)
 
 
+def command_log(spark, d):
+    """Events as clients' JSON commands; their properties set threshold and kind, every 97th is cut short."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    action = F.when(k < 60, "add").when(k < 85, "remove").when(k < 90, "list").when(k < 95, "ping").otherwise("unknown")
+    condition = F.element_at(F.array(*map(F.lit, alerts.CONDITIONS)), (k % 4 + 1).cast("int"))
+    fields = [
+        F.concat(F.lit('"action": '), text(action)),
+        F.when(F.col("event_id") % 53 != 0, F.concat(F.lit('"ticker": '), text(F.lower("event_type")))),
+        F.when(k % 5 != 0, F.concat(F.lit('"condition": '), text(condition))),
+        F.when(k % 3 != 0, F.concat(F.lit('"threshold": '), F.col("value").cast("string"))),
+    ]
+    whole = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ", "), F.lit("}"))
+    data = F.when(F.col("event_id") % 97 == 0, F.expr("substring(w, 1, length(w) - 3)")).otherwise(F.col("w"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_id", whole.alias("w"))
+    return rows.select("seq", data.alias("data"))
+
+
+SQL_COMMANDS = """
+cmd0 AS (SELECT *, event_id AS seq, json_extract(props, '$.k')::INT AS k FROM events),
+cmd AS (
+  SELECT seq, CASE WHEN seq % 97 = 0 THEN 'Invalid JSON' WHEN k < 60 AND seq % 53 = 0
+      THEN 'Missing field: ' || chr(39) || 'ticker' || chr(39) END AS error,
+    CASE WHEN k < 60 THEN 'add' WHEN k < 85 THEN 'remove' WHEN k < 90 THEN 'list' WHEN k < 95 THEN 'ping' END AS act,
+    CASE WHEN seq % 53 = 0 THEN '' ELSE upper(event_type) END AS symbol,
+    CASE WHEN k % 5 <> 0 THEN ['price_below', 'price_above', 'change_pct_below', 'change_pct_above'][k % 4 + 1]
+      WHEN k < 60 THEN 'price_below' END AS condition,
+    CASE WHEN k % 3 <> 0 THEN value ELSE 0 END AS threshold
+  FROM cmd0 WHERE k < 95 OR seq % 97 = 0)"""
+
+
+@query(
+    "alert_commands",
+    with_sql(SQL_COMMANDS)
+    + """,
+ok AS (SELECT * FROM cmd WHERE error IS NULL),
+steps AS (
+  SELECT seq, symbol, condition, act FROM ok WHERE act = 'add' OR (act = 'remove' AND condition IS NOT NULL)
+  UNION ALL
+  SELECT seq, symbol, h.condition, act FROM ok JOIN (SELECT DISTINCT symbol, condition FROM ok WHERE act = 'add') h USING (symbol)
+  WHERE act = 'remove' AND ok.condition IS NULL),
+was AS (SELECT *, lag(act) OVER (PARTITION BY symbol, condition ORDER BY seq) AS before FROM steps),
+gone AS (SELECT seq, count(*) FILTER (before = 'add') AS n FROM was WHERE act = 'remove' GROUP BY seq)
+SELECT seq, CASE WHEN error IS NOT NULL THEN 'error' WHEN act = 'add' THEN 'alert_added' WHEN act = 'remove' THEN 'alert_removed'
+    WHEN act = 'list' THEN 'alert_list' ELSE 'pong' END AS type,
+  CASE WHEN error IS NULL AND act IN ('add', 'remove') THEN symbol ELSE '-' END AS symbol,
+  CASE WHEN error IS NULL AND act = 'remove' THEN coalesce(n, 0) ELSE -1 END AS count,
+  CASE WHEN error IS NOT NULL THEN error WHEN act = 'add' THEN 'Alert set: ' || symbol || ' ' || condition ELSE '-' END AS message,
+  CASE WHEN error IS NULL AND act = 'add' THEN threshold ELSE -1 END AS threshold
+FROM cmd LEFT JOIN gone USING (seq)""",
+)
+def alert_commands(spark, d):
+    """The answers to all commands, and the thresholds that were read."""
+    told = materialize(alerts.commands(command_log(spark, d)), "commands")
+    read = told.where("action = 'add'").select("seq", "threshold")
+    out = alerts.replies(told).join(read, "seq", "left")
+    said = F.when(F.col("type") == "alert_added", F.substring_index("message", " ", 4)).otherwise(F.coalesce("message", F.lit("-")))
+    return out.select(
+        "seq", "type", F.coalesce("symbol", F.lit("-")).alias("symbol"), F.coalesce("count", F.lit(-1)).alias("count"),
+        said.alias("message"), F.coalesce("threshold", F.lit(-1.0)).alias("threshold"),
+    )
+
+
 # --- calendar --------------------------------------------------------------------------
 
 

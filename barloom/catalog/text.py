@@ -865,16 +865,19 @@ cited AS (
 )
 
 
-def cited_hits(spark, d):
-    doc = F.col("vec_id")
+def citation_of(doc):
+    """Citation of a document by its number; some have no title or address."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), doc.cast("int"))
-    cite = retrieval.citation(
+    return retrieval.citation(
         F.col("source"),
         F.when(doc % 3 == 0, "").otherwise(F.concat(F.lit("Note "), doc)),
         F.date_format(day, "yyyy-MM-dd"),
         F.when(doc % 2 == 0, "").otherwise(F.concat(F.lit("https://example.com/"), doc)),
     )
-    return text_hits(spark, d, 10).withColumn("citation", cite)
+
+
+def cited_hits(spark, d):
+    return text_hits(spark, d, 10).withColumn("citation", citation_of(F.col("vec_id")))
 
 
 @query("citations", f"WITH {SQL_CITED} SELECT query_id, rank, citation FROM cited")

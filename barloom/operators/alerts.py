@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The alert conditions.
@@ -34,6 +34,69 @@ def message(symbol, condition, threshold, note, price, change) -> Column:
     )
 
 
+#: Fields of a command; what is not JSON ends up in ``broken``.
+COMMAND = "action string, ticker string, condition string, threshold string, message string, broken string"
+ACTIONS = ["add", "remove", "list", "ping"]
+
+
+def commands(log: DataFrame) -> DataFrame:
+    """``log(seq, data)`` of JSON texts as ``(seq, action, symbol, condition, threshold, note, error)``.
+
+    A removal without a condition becomes ``remove_all``. What cannot be read has an error and no action;
+    actions that nobody knows are left out, as clients get no answer to them.
+    """
+    c = F.from_json("data", COMMAND, {"columnNameOfCorruptRecord": "broken"})
+    rows = log.select("seq", c.alias("c")).select("seq", "c.*")
+    bare = F.col("ticker").isNull()
+    rows = rows.withColumn(
+        "error",
+        F.when(F.col("broken").isNotNull(), "Invalid JSON").when((F.col("action") == "add") & bare, "Missing field: 'ticker'"),
+    )
+    rows = rows.where(F.col("error").isNotNull() | F.col("action").isin(ACTIONS))
+    alone = (F.col("action") == "remove") & F.col("condition").isNull()
+    return rows.select(
+        "seq",
+        F.when(F.col("error").isNull(), F.when(alone, "remove_all").otherwise(F.col("action"))).alias("action"),
+        F.upper(F.coalesce("ticker", F.lit(""))).alias("symbol"),
+        F.when(F.col("action") == "add", F.coalesce("condition", F.lit("price_below"))).otherwise(F.col("condition")).alias("condition"),
+        F.coalesce(F.col("threshold").try_cast("double"), F.lit(0.0)).alias("threshold"),
+        F.coalesce("message", F.lit("")).alias("note"),
+        "error",
+    )
+
+
+def replies(told: DataFrame) -> DataFrame:
+    """``(seq, type, symbol, count, message)``: the answer to each command.
+
+    A removal is told how many alerts were in force just before it. Removals of a whole symbol meet
+    the conditions that it has ever had, by an equi-join.
+    """
+    changes = told.where(F.col("action").isin("add", "remove", "remove_all"))
+    held = changes.where(F.col("action") == "add").select("symbol", F.col("condition").alias("_c")).distinct()
+    each = changes.where(F.col("action") != "remove_all").select("seq", "symbol", "condition", "action")
+    wide = changes.where(F.col("action") == "remove_all").join(held, "symbol").select("seq", "symbol", F.col("_c").alias("condition"), "action")
+    line = Window.partitionBy("symbol", "condition").orderBy("seq")
+    steps = each.union(wide).withColumn("_was", F.lag("action").over(line))
+    gone = steps.where(F.col("action") != "add").groupBy("seq").agg(F.count_if(F.col("_was") == "add").alias("_gone"))
+    kind = (
+        F.when(F.col("error").isNotNull(), "error")
+        .when(F.col("action") == "add", "alert_added")
+        .when(F.col("action").startswith("remove"), "alert_removed")
+        .when(F.col("action") == "list", "alert_list")
+        .otherwise("pong")
+    )
+    said = F.when(F.col("error").isNotNull(), F.col("error")).when(
+        F.col("action") == "add", F.concat(F.lit("Alert set: "), F.concat_ws(" ", "symbol", "condition", F.col("threshold").cast("string")))
+    )
+    return told.join(gone, "seq", "left").select(
+        "seq",
+        kind.alias("type"),
+        F.when(F.col("action").isin("add", "remove", "remove_all"), F.col("symbol")).alias("symbol"),
+        F.when(F.col("action").startswith("remove"), F.coalesce("_gone", F.lit(0))).alias("count"),
+        said.alias("message"),
+    )
+
+
 def registry(actions: DataFrame) -> DataFrame:
     """Alerts in force after a log of actions.
 

@@ -64,7 +64,7 @@ def best_of(cos: np.ndarray, vec_id: np.ndarray, k: int) -> np.ndarray:
 
 
 HITS = "query_id long, vec_id long, cos double"
-BLOCK = "cell int, ids binary, dim int, vectors binary"
+BLOCK = "cell string, ids binary, dim int, vectors binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,16 +73,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cell = batch.column(0).to_numpy(zero_copy_only=False)
+        cell = batch.column(0).cast(pa.string())
+        codes = cell.dictionary_encode().indices.to_numpy(zero_copy_only=False)
         ids = batch.column(1).to_numpy(zero_copy_only=False).astype("int64")
         vectors = unit(matrix(batch.column(2)))
         most = max(1, BLOCK_BYTES // (8 * max(1, vectors.shape[1])))
-        edges = np.flatnonzero(np.diff(cell)) + 1
+        edges = np.flatnonzero(np.diff(codes)) + 1
         cuts = sorted({0, *edges.tolist(), *range(0, len(ids), most)}) + [len(ids)]
         spans = list(zip(cuts, cuts[1:]))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([int(cell[i]) for i, _ in spans], pa.int32()),
+                cell.take(pa.array([i for i, _ in spans])),
                 pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()),
                 pa.array([vectors.shape[1]] * len(spans), pa.int32()),
                 pa.array([vectors[i:j].tobytes() for i, j in spans], pa.binary()),
@@ -162,6 +163,17 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, bands: int | None
     return ranked_hits(_met(dealt, asked.sortWithinPartitions("cell"), k), k)
 
 
+def filtered_topk(corpus: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
+    """Exact top-k among the rows of ``corpus(vec_id, vector, key)`` that have the key of the query
+    ``(query_id, query, key)``. Rows meet by the key before any product is taken; a key that
+    holds much of the corpus is many blocks. Rows without a key are not found."""
+    left = corpus.select(F.col(key).cast("string").alias("cell"), F.col("vec_id").cast("long").alias("vec_id"), "vector")
+    right = queries.select(F.col(key).cast("string").alias("cell"), F.col("query_id").cast("long").alias("query_id"), "query")
+    dealt = left.where("vector is not null and cell is not null").hint("rebalance", "cell").sortWithinPartitions("cell")
+    asked = right.where("query is not null and cell is not null").sortWithinPartitions("cell")
+    return ranked_hits(_met(dealt, asked, k), k)
+
+
 class CellIndex:
     """Cells around centroids, for searches that look only at the cells nearest to a query.
 

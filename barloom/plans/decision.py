@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators import rolling
+from barloom.operators import retrieval, rolling
 from barloom.operators import signals as sig
 from barloom.operators.quotes import at, newest
 from barloom.operators.series import BY_SYMBOL, INDEX, Layout, index_rows
@@ -13,6 +13,8 @@ from barloom.plans import backtest
 
 # Fixed value: longest summary line of a comparison.
 SUMMARY_CHARS = 100
+# Fixed value: longest context of retrieved passages.
+SOURCE_CHARS = 6000
 
 
 def regime_features(bars: DataFrame) -> DataFrame:
@@ -220,6 +222,22 @@ def recommend(rows: DataFrame) -> DataFrame:
     return d.withColumn("explanation", text)
 
 
+def sources_of(questions: DataFrame, chunks: DataFrame, n: int = retrieval.N_RESULTS, chars: int = SOURCE_CHARS) -> DataFrame:
+    """``(symbol, citations, context)``: what is known about each symbol, for its advice.
+
+    ``questions(symbol, query_id, query)`` search the chunks of their own symbol
+    ``(vec_id, symbol, vector, content, citation)``; of the nearest the ``n`` picks that repeat each other
+    least are cited in their order. A symbol without chunks has no row.
+    """
+    near = retrieval.filtered_topk(chunks, questions, "symbol", retrieval.fetch_size(n))
+    texts = chunks.select("vec_id", "content", "citation")
+    picks = retrieval.mmr(near.join(texts, "vec_id"), n).join(texts, "vec_id")
+    listed = F.sort_array(F.collect_list(F.struct("position", "citation")))["citation"]
+    cited = picks.groupBy("query_id").agg(listed.alias("citations"))
+    told = retrieval.build_context(picks, chars).select("query_id", "context")
+    return questions.select("symbol", "query_id").join(cited, "query_id").join(told, "query_id").drop("query_id")
+
+
 def composite(rows: DataFrame) -> DataFrame:
     """Weighted score of a report; a missing report scores 0."""
     unit = lambda c, top: F.when(F.col(c) > 0, F.least(F.col(c) / top, F.lit(1.0))).otherwise(0.0)
@@ -248,28 +266,36 @@ def compare(rows: DataFrame, request: str, position: str) -> DataFrame:
     )
 
 
-def compare_analyses(asked: DataFrame, analyses: DataFrame, request: str, position: str) -> DataFrame:
+def compare_analyses(
+    asked: DataFrame, analyses: DataFrame, request: str, position: str, summary_chars: int | None = SUMMARY_CHARS
+) -> DataFrame:
     """Whole analyses ranked within each request, with signal, strategy and a summary line.
 
     ``asked`` names (request, position, symbol). A symbol without an analysis stays in its
     request with score 0, a HOLD and the reason as its summary.
     """
     lines = F.filter(F.split("explanation", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("SIGNAL"))
-    made = F.col("recommendation").isNotNull()
+    made, line = F.col("recommendation").isNotNull(), F.element_at(lines, 1)
     rows = asked.join(analyses, "symbol", "left").select(
         request,
         position,
         "symbol",
         F.coalesce("recommendation", F.lit("HOLD")).alias("signal"),
         F.coalesce("strategy", F.lit("unknown")).alias("strategy"),
-        F.when(made, F.substring(F.element_at(lines, 1), 1, SUMMARY_CHARS))
+        F.when(made, line if summary_chars is None else F.substring(line, 1, summary_chars))
         .otherwise("Analysis failed: no data").alias("summary"),
         "sharpe_ratio", "total_return", "max_drawdown", "win_rate",
     )
     return compare(rows, request, position)
 
 
-def analyze(bars: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Whole analysis of every symbol: choice, back-tests, risk gate, retries, advice."""
+def analyze(bars: DataFrame, evidence: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Whole analysis of every symbol: choice, back-tests, risk gate, retries, retrieved sources, advice."""
     chosen = choose(state(regime_features(bars), evidence))
-    return recommend(resolve(chosen, risk_gate(strategy_reports(bars))))
+    rows = resolve(chosen, risk_gate(strategy_reports(bars)))
+    if sources is not None:
+        none = F.concat(F.lit("No financial documents found for "), "symbol", F.lit("."))
+        rows = rows.join(sources, "symbol", "left").withColumns(
+            {"citations": F.coalesce("citations", F.array().cast("array<string>")), "context": F.coalesce("context", none)}
+        )
+    return recommend(rows)
