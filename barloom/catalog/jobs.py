@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from barloom.catalog.registry import query
+from barloom.catalog.registry import ORACLES, query
 from barloom.catalog.trend import sql_rsi, sql_walk
 from barloom.catalog.views import (
     SQL_DAILY, daily, daily_indexed, index_price, sql_backtest, sql_momentum, sql_report, with_sql,
@@ -212,17 +214,26 @@ for _strategy, _sql in (
     query(f"grid_search_{_strategy}", sql_grid(_strategy, _sql(search.combinations(_strategy))))(_grid)
 
 
-@query("grid_best")
+def stored_bars(spark, d):
+    """Indexed bars, folded once and written, for what reads them several times."""
+    return materialize(daily_indexed(spark, d), "bars")
+
+
+GRID_QUERIES = {n: "grid_search" if n == "momentum" else f"grid_search_{n}" for n in search.SEARCH_GRIDS}
+
+
+@query(
+    "grid_best",
+    " UNION ALL ".join(f"SELECT *, '{n}' AS strategy FROM ({ORACLES[q]}) WHERE rank <= 10" for n, q in GRID_QUERIES.items()),
+)
 def grid_best(spark, d):
-    """Ten best runs per symbol and strategy, all four strategies in one result."""
-    parts = []
-    for name in search.SEARCH_GRIDS:
-        ranked = search.grid_search(daily_indexed(spark, d), name)
-        parts.append(ranked.filter(F.col("rank") <= 10).withColumn("strategy", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Ten best runs per symbol and strategy, all four strategies from one table of bars."""
+    bars = stored_bars(spark, d)
+    parts = [
+        search.grid_search(bars, name).filter(F.col("rank") <= 10).withColumn("strategy", F.lit(name))
+        for name in search.SEARCH_GRIDS
+    ]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query(
@@ -422,22 +433,56 @@ def wf_summary(spark, d):
     return walkforward.summary(daily(spark, d), SPEC)
 
 
-for _strategy in ("mean_reversion", "rsi", "macd"):
+def sql_walk_forward(strategy: str, runs_sql) -> str:
+    """Every slice of a window is a series of its own; all runs are simulated on all slices, and the
+    best one of the training slice is read off the test slice."""
+    combos = walkforward.Spec(strategy=strategy).combos
+    return (
+        with_sql(SQL_DAILY, SQL_ASSIGN, sql_params(strategy, combos))
+        + f""",
+good AS (
+  SELECT symbol, win FROM asg GROUP BY symbol, win
+  HAVING count(*) FILTER (WHERE phase = 'train') >= 30 AND count(*) FILTER (WHERE phase = 'test') >= 5),
+slices AS (
+  SELECT symbol || '|' || win || '|' || phase AS symbol, ts, open, close, symbol AS brand, win, phase,
+    row_number() OVER (PARTITION BY symbol, win, phase ORDER BY ts) - 1 AS idx,
+    count(*) OVER (PARTITION BY symbol, win, phase) AS n
+  FROM asg JOIN good USING (symbol, win)),
+every AS (
+  WITH RECURSIVE daily AS (SELECT symbol, ts, open, close, idx FROM slices), {runs_sql(combos)}
+  SELECT symbol, run, idx, open, close, signal FROM gs),
+sized AS (
+  SELECT e.symbol, e.run, e.idx, e.open, e.close, CASE WHEN n >= greatest(need, 10) THEN signal ELSE 0 END AS signal
+  FROM every e JOIN runs USING (run) JOIN (SELECT symbol, max(n) AS n FROM slices GROUP BY symbol) USING (symbol)),
+{sql_backtest("sized", "symbol, run", "wsim").strip()},
+{sql_report("wsim", "symbol, run", "wrep").strip()},
+told AS (
+  SELECT w.*, brand, win, phase, params, n >= greatest(need, 10) AS ok,
+    CASE WHEN n >= greatest(need, 10) THEN round(sharpe_ratio, 10) END AS score
+  FROM wrep w JOIN runs USING (run) JOIN (SELECT DISTINCT symbol, brand, win, phase, n FROM slices) USING (symbol)),
+best AS (
+  SELECT brand, win, run, score AS train_score FROM told WHERE phase = 'train'
+  QUALIFY row_number() OVER (PARTITION BY brand, win ORDER BY score DESC NULLS LAST, run) = 1)
+SELECT t.brand AS symbol, t.win::INT AS win, train_start, train_end, test_start, test_end, params AS best_params,
+  round(train_score, 3)::DOUBLE AS train_sharpe, round(sharpe_ratio, 3)::DOUBLE AS test_sharpe,
+  round(total_return, 4)::DOUBLE AS test_return, round(max_drawdown, 4)::DOUBLE AS test_max_drawdown,
+  n_trades AS test_n_trades, CASE WHEN ok THEN 'ok' ELSE 'short test slice' END AS status
+FROM told t JOIN best USING (brand, win, run) JOIN wins w ON w.symbol = t.brand AND w.win = t.win
+WHERE phase = 'test'"""
+    )
+
+
+for _strategy, _sql in (("mean_reversion", sql_reversion_runs), ("rsi", sql_rsi_runs), ("macd", sql_macd_runs)):
 
     def _wf(spark, d, strategy=_strategy):
         return walkforward.results(daily(spark, d), walkforward.Spec(strategy=strategy))
 
-    query(f"walk_forward_{_strategy}")(_wf)
+    query(f"walk_forward_{_strategy}", sql_walk_forward(_strategy, _sql))(_wf)
 
 
 # --- ranges ----------------------------------------------------------------------------
 
 
-def stored_bars(spark, d):
-    """Indexed bars, folded once and written: ranges read them for spans, ends and queries."""
-    return materialize(daily_indexed(spark, d), "bars")
-
-
 def lookbacks(bars):
     """One range per bar, ending there and reaching back by a length read from the data."""
     back = F.pmod(F.col("volume").cast("long"), F.lit(200))
