@@ -10,6 +10,7 @@ from barloom import plugins
 from barloom.operators import chunking, retrieval, sentiment
 from barloom.sources import chunk_store, documents, filings
 from barloom.catalog.views import prose
+from barloom.session import materialize
 from barloom.sources.bars import balanced, table
 
 
@@ -257,9 +258,7 @@ def arrival():
 SELECT doc_id, ticker, source, doc_type, date, url, title, length(content)::INT AS chars, error FROM marked""",
 )
 def union_sources(spark, d):
-    good, bad = documents.split_errors(landed(spark, d))
-    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
-    return both.select(
+    return documents.marked(landed(spark, d)).select(
         "doc_id", "ticker", "source", "doc_type", "date", "url", "title",
         F.length("content").alias("chars"), "error",
     )
@@ -319,7 +318,7 @@ def plugin_sources(spark, d):
 
 @query("doc_dedup", f"WITH {SQL_LANDED} SELECT doc_id, ticker, source, date, url FROM d2")
 def doc_dedup(spark, d):
-    good, _ = documents.split_errors(landed(spark, d))
+    good = documents.marked(landed(spark, d)).where("error is null")
     return documents.dedup(good.select("doc_id", "ticker", "source", "date", "url"), arrival())
 
 
@@ -328,7 +327,7 @@ def doc_dedup(spark, d):
     f"WITH {SQL_LANDED} SELECT doc_id, ticker, date FROM d2 ORDER BY date DESC, doc_id LIMIT 50",
 )
 def newest_docs(spark, d):
-    good, _ = documents.split_errors(landed(spark, d))
+    good = documents.marked(landed(spark, d)).where("error is null")
     kept = documents.dedup(good.select("doc_id", "ticker", "date", "url"), arrival())
     return documents.newest(kept, 50).select("doc_id", "ticker", "date")
 
@@ -352,11 +351,12 @@ SELECT a.ticker, documents_loaded, array_to_string(k, ',') AS kinds, coalesce(b.
 FROM a LEFT JOIN b USING (ticker) LEFT JOIN c USING (ticker) LEFT JOIN e USING (ticker)""",
 )
 def ingest_report(spark, d):
-    docs = landed(spark, d)
-    good, bad = documents.split_errors(docs)
-    kept = documents.dedup(good, arrival())
-    chunks = chunking.fixed_chunks(kept).join(kept.select("doc_id", "ticker"), "doc_id")
-    out = documents.ingest_report(docs, kept, chunks, bad)
+    docs = documents.land(landed(spark, d))
+    good = docs.where("error is null").select("row", "doc_id", "ticker", "date", "url")
+    kept = materialize(documents.dedup(good, arrival()).select("row", "ticker"), "kept")
+    texts = docs.join(kept.select("row"), "row", "left_semi").select("row", F.col("row").alias("doc_id"), "content")
+    chunks = chunking.fixed_chunks(texts).select(F.col("doc_id").alias("row")).join(kept, "row")
+    out = documents.ingest_report(docs, kept, chunks)
     return out.withColumns(
         {"kinds": F.array_join("kinds", ","), "errors": F.array_join("errors", ",")}
     )

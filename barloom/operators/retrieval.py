@@ -250,16 +250,20 @@ def tfidf(docs: DataFrame) -> DataFrame:
     """Unit-length TF-IDF vectors of ``docs(doc_id, content)`` as ``(doc_id, term, weight)``.
 
     Terms are words in lower case, every one of them kept apart. The weight is the count times
-    ``ln((n + 1) / (df + 1))`` over the length of the vector; terms of weight 0 are left out.
+    ``ln((n + 1) / (df + 1))`` over the length of the vector; terms of weight 0 are left out. Texts
+    are split once: their counts are written, and all else is computed from these. ``doc_id`` is unique.
     """
     words = F.filter(F.split(F.lower("content"), r"\s"), lambda w: w != "")
-    counts = docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    rows = docs.agg(F.count("*").alias("n"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(rows)
+    numbered = docs.select("doc_id", F.explode_outer(words).alias("term"))
+    counts = materialize(numbered.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "term-counts")
+    rows = counts.agg(F.count_distinct("doc_id").alias("n"))
+    counts = counts.where("term is not null")
+    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(rows))
     idf = df.select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")).where("idf <> 0")
     raw = counts.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, "doc_id").select("doc_id", "term", (F.col("w") / F.col("length")).alias("weight"))
+    whole = Window.partitionBy("doc_id")
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))
+    return raw.select("doc_id", "term", (F.col("w") / length).alias("weight"))
 
 
 def mmr(hits: DataFrame, k: int = N_RESULTS, weight: float = LAMBDA) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from barloom.functions import text as tx
 from barloom.operators.matching import contains_join
+from barloom.session import materialize
 
 DOCS_SCHEMA = T.StructType(
     [
@@ -152,15 +153,20 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(to_docs, sources))
 
 
-def split_errors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable documents, and rejected ones with a reason; one bad source stops no other."""
+def marked(docs: DataFrame) -> DataFrame:
+    """Documents with the ``error`` that makes one unusable, or null; one bad source stops no other."""
     reason = (
         F.when(F.col("content").isNull() | (F.trim("content") == ""), "empty content")
         .when(F.col("date").try_cast("date").isNull(), "bad date")
         .when(~F.col("doc_type").isin(DOC_TYPES), "unknown document type")
     )
-    d = docs.withColumn("error", reason)
-    return d.filter(F.col("error").isNull()).drop("error"), d.filter(F.col("error").isNotNull())
+    return docs.withColumn("error", reason)
+
+
+def land(docs: DataFrame) -> DataFrame:
+    """``docs`` marked, numbered by ``row`` and written: every later step reads the columns it needs
+    from there, and no source is read and cleaned again."""
+    return materialize(marked(docs).withColumn("row", F.monotonically_increasing_id()), "landed")
 
 
 def dedup(docs: DataFrame, order: Column, by_url: bool = True) -> DataFrame:
@@ -176,19 +182,26 @@ def newest(docs: DataFrame, limit: int) -> DataFrame:
     return docs.orderBy(F.col("date").desc(), "doc_id").limit(limit)
 
 
-def ingest_report(loaded: DataFrame, kept: DataFrame, chunks: DataFrame, errors: DataFrame):
-    """Counts per ticker across the stages, the sources seen and distinct error reasons."""
-    n = F.count(F.lit(1))
-    parts = [
-        loaded.groupBy("ticker").agg(
-            n.alias("documents_loaded"), F.sort_array(F.collect_set("doc_type")).alias("kinds")
-        ),
-        kept.groupBy("ticker").agg(n.alias("documents_kept")),
-        chunks.groupBy("ticker").agg(n.alias("chunks")),
-        errors.groupBy("ticker").agg(F.sort_array(F.collect_set("error")).alias("errors")),
+def ingest_report(landed: DataFrame, kept: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Counts per ticker across the stages, the sources seen and distinct error reasons.
+
+    ``landed`` as ``land`` gives it; ``kept`` and ``chunks`` carry the ticker. The three are
+    folded map-side and meet as a handful of rows per ticker.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    rows = [
+        landed.select("ticker", F.lit(0).alias("stage"), "doc_type", "error"),
+        kept.select("ticker", F.lit(1).alias("stage"), none("string"), none("string")),
+        chunks.select("ticker", F.lit(2).alias("stage"), none("string"), none("string")),
     ]
-    out = reduce(lambda a, b: a.join(b, "ticker", "left"), parts)
-    return out.fillna(0, ["documents_kept", "chunks"])
+    n = lambda i: F.count_if(F.col("stage") == i)
+    return reduce(lambda a, b: a.union(b), rows).groupBy("ticker").agg(
+        n(0).alias("documents_loaded"),
+        F.sort_array(F.collect_set("doc_type")).alias("kinds"),
+        n(1).alias("documents_kept"),
+        n(2).alias("chunks"),
+        F.when(F.count("error") > 0, F.sort_array(F.collect_set("error"))).alias("errors"),
+    )
 
 
 def flatten(
