@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -75,6 +76,34 @@ def _counted(text: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key // len(different), different[key % len(different)], n
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text cut at characters that are no letters, which are left out: the edges that the parts get
+    instead give the same n-grams."""
+    first = 0
+    while first < len(text):
+        stop = first + SLICE
+        while stop < len(text) and text[stop].isalpha():
+            stop += 1
+        yield text[first:stop]
+        first = stop + 1
+
+
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different (text, gram) in order, how often each occurs, and whether a text has a letter. A long
+    text is worked in parts, whose counts are added up."""
+    if len(texts) != 1 or len(texts[0].as_buffer()) <= SLICE:
+        text, gram, has = grams(texts)
+        return (*_counted(text, gram), has)
+    gram, n, has = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for part in _parts(texts[0].as_py()):
+        text, more, letters = grams(pa.array([part]))
+        _, more, times = _counted(text, more)
+        gram, at = np.unique(np.concatenate([gram, more]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, times]), len(gram)).astype(np.int64)
+        has |= bool(letters[0])
+    return np.zeros(len(gram), np.int64), gram, n, np.array([has])
+
+
 def _numbered(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     coded = pa.array(gram).dictionary_encode()
     different = coded.dictionary.to_numpy()
@@ -104,9 +133,8 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> "Profiles":
         for whole in batches:
             for part in slices(whole, limit=SLICE):
                 lang = part.column("lang").dictionary_encode()
-                text, gram, _ = grams(part.column("text"))
+                text, gram, n, _ = counted(part.column("text"))
                 of = lang.indices.to_numpy()[text]
-                of, gram, n = _counted(of.astype(np.int64), gram)
                 yield pa.RecordBatch.from_arrays(
                     [lang.dictionary.take(pa.array(of)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"]
                 )
@@ -155,11 +183,10 @@ class Profiles:
         ranks lie apart; an n-gram absent from a profile counts ``size``. The score is one
         less the distance as a share of the largest possible one.
         """
-        text, gram, has = grams(texts)
-        n_texts = len(has)
         if not self.langs:
-            return [UNKNOWN] * n_texts, np.zeros(n_texts)
-        text, gram, n = _counted(text, gram)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        text, gram, n, has = counted(texts)
+        n_texts = len(has)
         order, rank = _ranked(text, n)
         top = order[rank < self.size]
         text, gram, rank = text[top], gram[top], rank[rank < self.size]

@@ -16,6 +16,8 @@ from barloom.llm.texts import Rolling, binary, flat, mix, slices
 SPACE = "▁"
 #: Pre-tokens longer than this many symbols are merged with a heap, not in rounds.
 LONG = 64
+#: Characters of a long text that are worked at a time.
+PART_CHARS = 1 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -124,11 +126,36 @@ class Dropout:
         return drawn < self.below if self.share < 1 else np.ones(len(left), bool)
 
 
+def spans(text: str, limit: int) -> list[tuple[int, int]]:
+    """Parts of a text, about ``limit`` characters each, cut before a space that follows no other:
+    no merge crosses such a cut. A longer run without one is a part of its own."""
+    out, first = [], 0
+    while first < len(text):
+        at = text.find(" ", first + limit)
+        while at > 0 and text[at - 1] == " ":
+            while at < len(text) and text[at] == " ":
+                at += 1
+            at = text.find(" ", at)
+        stop = at if at > 0 else len(text)
+        out.append((first, stop))
+        first = stop
+    return out
+
+
 def encode(vocab: Vocabulary, texts: pa.Array, keys: np.ndarray, dropout: Dropout) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each has. Without dropout these are the
-    library's, but for a literal U+2581, which is written as bytes so that it decodes."""
-    many = [s for s in texts.cast(pa.large_string()).to_pylist()]
-    many = [" " + s if s else "" for s in many]
+    library's, but for a literal U+2581, which is written as bytes so that it decodes. A long text is
+    worked in parts, each with the places that it has in the whole."""
+    if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_buffer()) > PART_CHARS:
+        text = texts[0].as_py()
+        parts = [_encode(vocab, [text[a:b]], keys, dropout, a)[0] for a, b in spans(text, PART_CHARS)]
+        return np.concatenate(parts), np.array([sum(map(len, parts))], np.int64)
+    return _encode(vocab, texts.cast(pa.large_string()).to_pylist(), keys, dropout)
+
+
+def _encode(vocab: Vocabulary, many: list[str], keys: np.ndarray, dropout: Dropout, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``start`` is where in its text a part begins; only the first has a space put before it."""
+    many = [s if start or not s else " " + s for s in many]
     size = np.fromiter(map(len, many), np.int64, len(many))
     chars = np.frombuffer("".join(many).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
     n = len(chars)
@@ -147,7 +174,7 @@ def encode(vocab: Vocabulary, texts: pa.Array, keys: np.ndarray, dropout: Dropou
     cut[1:] = (space[1:] & ~space[:-1]) | lone[1:] | lone[:-1]
     cut[heads[:-1][size > 0]] = True
     seg = np.cumsum(cut) - 1
-    place = np.arange(n) - heads[text_of]
+    place = np.arange(n) - heads[text_of] + (start + 1 if start else 0)
     key = dropout.keys(keys)[text_of]
 
     done_at, done_sym = [], []

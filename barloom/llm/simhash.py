@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.tables import in_batches, saved, text_key, without
+from barloom.llm.tables import discard, in_batches, saved, text_key, without
 from barloom.llm.texts import Words, lowered, slices
 
 BYTES = 8
@@ -117,9 +117,11 @@ def _finer(level: int) -> list[tuple[int, list[int]]]:
     return out
 
 
-def _split(posted: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Postings as they are, and in finer ones what stands in overfull ones."""
+def _split(posted: DataFrame, level: int, spent: list) -> tuple[DataFrame, DataFrame]:
+    """Postings as they are, and in finer ones what stands in overfull ones. What it writes is
+    added to ``spent``."""
     sizes = saved(posted.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "postings")
+    spent.append(sizes)
     met = posted.join(sizes, ["mask", "key"])
     small = met.where(F.col("n") <= POSTING).select("fp", "mask", "key")
     pairs = [F.struct(F.lit(_signed(m)).alias("m"), F.array(*[F.lit(_signed(f)) for f in fs]).alias("fs")) for m, fs in _finer(level)]
@@ -133,7 +135,7 @@ def _split(posted: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     return small, large
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, spent: list | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of different fingerprints at RADIUS or fewer differing bits.
 
     Every fingerprint is posted under the 14 fours of positional bytes. Two that meet are
@@ -141,14 +143,20 @@ def links(fps: DataFrame) -> DataFrame:
     bits. A posting of four bytes is one of 2**32, so the index stays sparse where single
     bytes (2048 postings) would let a share of all pairs meet. Overfull postings, as of large
     groups of near copies, are split twice by what a linked pair must also share, which
-    loses no pair and leaves few fingerprints that agree in 46 bits.
+    loses no pair and leaves few fingerprints that agree in 46 bits. The table that the result
+    is read from is added to ``spent``.
     """
+    own: list = []
     posted = _postings(fps.select("fp"), [sum(0xFF << 8 * p for p in b) for b in BLOCKS])
-    small, large = _split(posted, 1)
+    small, large = _split(posted, 1, own)
     finer = saved(large, "posted-finer")
-    small2, finest = _split(finer, 2)
+    small2, finest = _split(finer, 2, own)
     index = small.union(small2).union(finest)
     index = saved(index, "index")
+    for table in (*own, finer):
+        discard(table)
+    if spent is not None:
+        spent.append(index)
     a, b = index.alias("a"), index.alias("b")
     x, y = F.col("a.fp"), F.col("b.fp")
     met = a.join(
@@ -169,7 +177,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     rows = saved(fingerprints(docs, words), "fingerprints")
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    linked = components(links(fps))
+    spent = [fps]
+    linked = components(links(fps, spent))
     rooted = fps.join(linked, fps["fp"] == linked["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("is_linked")
     )
@@ -180,6 +189,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
         ),
         "named",
     )
+    for table in spent:
+        discard(table)
     return rows.join(named, rows["fp"] == named["own"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key"
     )

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.tables import Members, in_batches, saved
+from barloom.llm.tables import Members, discard, in_batches, saved
 from barloom.session import shared_path
 
 #: Fixed values of the formats.
@@ -204,12 +204,17 @@ def _writes(folder: str, date: str, frame_bytes: int):
     return run
 
 
+def payload_key():
+    """Both digests of a payload: payloads made to share one of them do not share the other."""
+    raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    return F.concat(F.unhex(F.sha1(raw)), F.unhex(F.sha2(raw, 256)))
+
+
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, sha, refers_to) of pages whose payload the page ``refers_to`` also has."""
+    """(page_id, sha, refers_to) of pages whose payload the page ``refers_to`` also has. ``sha`` is
+    that of ``payload_key``."""
     raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = saved(
-        pages.select("page_id", F.unhex(F.sha1(raw)).alias("sha"), F.octet_length(raw).alias("size")), "payloads"
-    )
+    rows = saved(pages.select("page_id", payload_key().alias("sha"), F.octet_length(raw).alias("size")), "payloads")
     groups = saved(
         rows.where(F.col("size") >= least_bytes).groupBy("sha", "size")
         .agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
@@ -217,7 +222,10 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         "payload-groups",
     )
     met = rows.join(groups, ["sha", "size"]).where("not page_id <=> refers_to and refers_to is not null")
-    return saved(met.select("page_id", "sha", "refers_to").distinct(), "revisits")
+    again = saved(met.select("page_id", "sha", "refers_to").distinct(), "revisits")
+    discard(rows)
+    discard(groups)
+    return again
 
 
 def write_archive(
@@ -229,7 +237,7 @@ def write_archive(
 
     Of pages with equal payloads of ``least_bytes`` or more, that with the smallest page_id
     is a response with the payload; the others are revisits of it. Bytes are compared by
-    SHA-1 and size, the standard's own measure. Null html is an empty payload. If rows repeat
+    SHA-1, the standard's own measure, SHA-256 and size. Null html is an empty payload. If rows repeat
     the smallest page_id, each is a response; pages without an id refer to one that has one,
     or are responses. Only pages that may be revisits are shuffled with their html. ``folder``
     must be open to all executors (a shared mount, or a store that pyarrow knows); it is made
@@ -243,7 +251,7 @@ def write_archive(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
     again = revisits(base, least_bytes)
-    keyed = base.withColumn("own", F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))))
+    keyed = base.withColumn("own", payload_key())
     marked = Members(again, F.xxhash64("page_id", "sha")).mark(keyed, F.xxhash64("page_id", "own"), "maybe")
     theirs = again.select(F.col("page_id").alias("their"), "sha", "refers_to")
     told = (
@@ -252,28 +260,31 @@ def write_archive(
         .select("page_id", "url", "html", "refers_to")
         .union(marked.where("not maybe").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
     )
-    return folder, saved(in_batches(told).mapInArrow(_writes(folder, date, frame_bytes), INDEX), "warc-index")
+    index = saved(in_batches(told).mapInArrow(_writes(folder, date, frame_bytes), INDEX), "warc-index")
+    discard(again)
+    return folder, index
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
 def _reads(folder: str):
-    """For ``mapInArrow``: (bundle, frame) to what the records of the frame say."""
+    """For ``mapInArrow``: (bundle, frame, places) to what the records at those places say."""
 
     def run(batches):
         store, root = _store(folder)
         for batch in batches:
-            wanted = sorted(zip(batch.column("bundle").to_pylist(), batch.column("frame").to_pylist()))
+            wanted = sorted(batch.to_pylist(), key=lambda r: (r["bundle"], r["frame"]))
             opened, reader, source = None, None, None
-            for bundle, frame in wanted:
-                if bundle != opened:
+            for place in wanted:
+                if place["bundle"] != opened:
                     if source is not None:
                         source.close()
-                    opened, source = bundle, store.open_input_file(f"{root}/{bundle}")
+                    opened, source = place["bundle"], store.open_input_file(f"{root}/{place['bundle']}")
                     reader = BundleReader(source)
-                rows = [_told(h, block) for h, block in records(reader.frame(frame)) if h["WARC-Type"] != "warcinfo"]
-                columns = list(zip(*rows)) or [[]] * 6
+                data = reader.frame(place["frame"])
+                rows = [_told(*_record_at(data, p["offset"], p["length"], p["record_id"])) for p in place["places"]]
+                columns = list(zip(*rows))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in READ.split(", ")]
@@ -284,6 +295,14 @@ def _reads(folder: str):
     return run
 
 
+def _record_at(frame: bytes, offset: int, length: int, known: str) -> tuple[dict[str, str], bytes]:
+    """The record that the index names: one whole record with its identifier lies there, or it fails."""
+    found = list(records(frame[offset : offset + length]))
+    if len(found) != 1 or found[0][0]["WARC-Record-ID"] != known:
+        raise ValueError(f"the index does not lead to {known}")
+    return found[0]
+
+
 def _told(headers: dict[str, str], block: bytes) -> tuple:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
@@ -295,9 +314,12 @@ def _told(headers: dict[str, str], block: bytes) -> tuple:
 
 
 def read_archive(folder: str, index: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record,
-    read from the bundles that ``index`` names; frames are dealt out to tasks. Payloads of
-    responses are hashed again and must match; a revisit tells those of the full payload."""
-    frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n"))
-    tasks = max(1, -(-frames.count() // FRAMES_PER_TASK))
-    return frames.select("bundle", "frame").repartition(tasks, "bundle", "frame").mapInArrow(_reads(folder), READ)
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record that
+    ``index`` names, each read from its own place in its frame; frames are dealt out to tasks, and the
+    places of a frame are as many as fit into it. A place that does not hold the record with that
+    identifier fails. Payloads of responses are hashed again and must match; a revisit tells those of the
+    full payload."""
+    place = F.struct("offset", "length", "record_id")
+    frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    tasks = max(1, -(-index.select("bundle", "frame").distinct().count() // FRAMES_PER_TASK))
+    return frames.repartition(tasks, "bundle", "frame").mapInArrow(_reads(folder), READ)
