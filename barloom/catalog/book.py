@@ -367,7 +367,8 @@ def earnings_calendar(spark, d):
         .join(tickers, F.col("o_custkey") == F.col("c_custkey"))
         .select("ticker", F.col("o_orderdate").alias("date"))
     )
-    return calendar.earnings_calendar(tickers.select("ticker"), dated, "2001-06-01 12:00:00")
+    found = calendar.earnings_calendar(tickers.select("ticker"), dated, "2001-06-01 12:00:00")
+    return found.orderBy(F.col("days_until_earnings").asc_nulls_last(), "ticker")
 
 
 # --- search and checks -----------------------------------------------------------------

@@ -20,6 +20,7 @@ def fires(condition: Column, threshold: Column, price: Column, change: Column) -
     )
 
 
+# The texts of a message.
 def message(symbol, condition, threshold, note, price, change) -> Column:
     what = (
         F.when(condition == "price_below", F.format_string("dropped below $%.2f", threshold))

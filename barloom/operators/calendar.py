@@ -18,14 +18,16 @@ def next_events(events: DataFrame, asks: DataFrame) -> DataFrame:
         .groupBy("ticker", "date")
         .agg(F.max("_event").alias("_event"))
     )
-    later = Window.partitionBy("ticker").orderBy("date").rowsBetween(1, Window.unboundedFollowing)
-    found = F.first(F.when(F.col("_event"), F.col("date")), ignorenulls=True).over(later)
+    # from the last day backwards, so that the frame grows row by row
+    later = Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.last(F.when(F.col("_event"), F.col("date")), ignorenulls=True).over(later)
     known = days.withColumn("next_date", found).select("ticker", "date", "next_date")
     return asks.join(known, ["ticker", "date"])
 
 
 def earnings_calendar(tickers: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
-    """Next event per ticker seen from ``as_of``, or the last one if none is ahead."""
+    """Next event per ticker seen from ``as_of``, or the last one if none is ahead. The calendar
+    reads by ``days_until_earnings``, unknown ones last; sorting is left to whoever shows it."""
     now = F.lit(as_of).cast("timestamp_ntz")
     found = events.groupBy("ticker").agg(
         F.min(F.when(F.col("date") > now, F.col("date"))).alias("_ahead"),
@@ -45,6 +47,7 @@ def earnings_calendar(tickers: DataFrame, events: DataFrame, as_of: str) -> Data
         .when(days <= 7, "warning")
         .otherwise("info")
     )
+    # The levels above and the texts below.
     iso, short = F.date_format("_at", "yyyy-MM-dd"), F.date_format("_at", "MMM dd")
     full = F.date_format("_at", "MMMM dd, yyyy")
     text = (
@@ -67,4 +70,4 @@ def earnings_calendar(tickers: DataFrame, events: DataFrame, as_of: str) -> Data
         level.alias("warning_level"),
         text.alias("message"),
         F.coalesce(days.between(0, 30), F.lit(False)).alias("has_upcoming_earnings"),
-    ).orderBy(F.col("days_until_earnings").asc_nulls_last(), "ticker")
+    )

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INITIAL_CAPITAL = 100_000.0
-#: Parts that the positions of one ticker are dealt over.
-SALTS = 16
 
 
 def merge_lots(lots: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
@@ -23,20 +21,14 @@ def merge_lots(lots: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
     )
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, ways: int = SALTS) -> DataFrame:
-    """Left join of many rows per key to one row per key. A key may hold most rows: they are
-    dealt over ``ways`` copies of its one row."""
-    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(ways)).cast("int"))
-    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
-
-
 def performance(positions: DataFrame, quotes: DataFrame, digits: int | None = 2) -> DataFrame:
     """Positions valued at the latest quote; without one, at their entry price.
 
-    ``quotes``: ``ticker, price, change_pct, week_52_high, week_52_low``, one row per ticker.
+    ``quotes``: ``ticker, price, change_pct, week_52_high, week_52_low``, one row per ticker. A
+    plain equi-join: adaptive execution sends the quotes to the positions if they turn out small, and splits
+    a ticker that holds most positions if not.
     """
-    d = salted_join(positions, quotes, "ticker")
+    d = positions.join(quotes, "ticker", "left")
     price = F.coalesce("price", "entry_price")
     cost, value = F.col("shares") * F.col("entry_price"), F.col("shares") * price
     cut = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)

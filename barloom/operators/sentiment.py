@@ -26,6 +26,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+# The patterns of sources, rules, sentence ends and bare numbers.
 def sentence_array(text: Column, limit: int | None, chars: int | None) -> Column:
     t = F.regexp_replace(text, r"\[Source \d+\][^\n]*\n?", "")
     t = F.regexp_replace(t, "---+", "")

@@ -20,9 +20,11 @@ COMMISSION = 0.001
 
 
 def running_product(factor: Column, window, positive: bool) -> Column:
-    """Product of factors over an ordered frame; ``positive`` spares the sign bookkeeping."""
+    """Product of factors over an ordered frame; ``positive`` spares the sign bookkeeping, and
+    there the first factor that is not above zero leaves nothing."""
     if positive:
-        return F.exp(F.sum(F.ln(F.greatest(factor, F.lit(1e-300)))).over(window))
+        growth = F.exp(F.coalesce(F.sum(F.ln(F.when(factor > 0, factor))).over(window), F.lit(0.0)))
+        return F.when(F.min(factor).over(window) <= 0, F.lit(0.0)).otherwise(growth)
     size = F.exp(F.sum(F.ln(F.nullif(F.abs(factor), F.lit(0.0)))).over(window))
     negatives = F.sum(F.when(factor < 0, 1).otherwise(0)).over(window)
     zeros = F.sum(F.when(factor == 0, 1).otherwise(0)).over(window)

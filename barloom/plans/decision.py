@@ -188,6 +188,7 @@ def resolve(chosen: DataFrame, gated: DataFrame) -> DataFrame:
     )
 
 
+# The limits and the texts of an explanation.
 def recommend(rows: DataFrame) -> DataFrame:
     """BUY, SELL or HOLD from the report, with a templated explanation."""
     sharpe, ret = F.col("sharpe_ratio"), F.col("total_return")

@@ -202,3 +202,12 @@ def test_simulation_equals_loop(spark, long_only, size):
         made = [t for t in gains[s] if t is not None]
         assert len(made) == len(trades)
         assert all(loops.close_to(x, y, 1e-8) for x, y in zip(made, trades))
+
+
+def test_a_total_loss_leaves_nothing(spark):
+    bars = [(100.0, 100.0, 1), (100.0, 90.0, -1), (0.0, 0.0, 1), (50.0, 60.0, 0), (60.0, 70.0, -1), (80.0, 80.0, 0)]
+    rows = [("A", i, *b) for i, b in enumerate(bars)]
+    df = spark.createDataFrame(rows, "symbol string, idx long, open double, close double, signal int")
+    got = columns(backtest.simulate(df), "equity")["A"]
+    want, _ = loops.backtest(*zip(*bars))
+    assert got[2:] == [0.0] * 4 and all(loops.close_to(x, y) for x, y in zip(got, want))
