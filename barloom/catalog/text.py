@@ -763,9 +763,9 @@ SQL_TEXT_HITS = (
     SQL_TOPK
     + f""",
 th AS (
-  SELECT query_id, rank, vec_id, score, text AS content, source, doc_id,
-    list_distinct({SQL_WORDS.format('lower(text)')}) AS ws
-  FROM topk JOIN documents ON doc_id = vec_id WHERE rank <= 20)"""
+  SELECT query_id, rank, vec_id, score, coalesce(text, '') AS content, coalesce(source, 'unknown') AS source, vec_id AS doc_id,
+    list_distinct({SQL_WORDS.format("lower(coalesce(text, ''))")}) AS ws
+  FROM topk LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 20)"""
 )
 
 
@@ -773,7 +773,9 @@ def text_hits(spark, d, k: int = retrieval.FETCH_K):
     docs = prose(spark, d).select(
         F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), "source"
     )
-    return label_hits(spark, d, k).join(docs, "vec_id")
+    # a hit whose document is gone stays a hit, without words
+    found = label_hits(spark, d, k).join(docs, "vec_id", "left")
+    return found.withColumns({"content": F.coalesce("content", F.lit("")), "source": F.coalesce("source", F.lit("unknown"))})
 
 
 @query(

@@ -61,7 +61,10 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
         ["symbol", "ts"],
         index_price(),
         F.col("l_quantity"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"),
+        src.order_key(
+            (F.col("l_orderkey"), 13), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 12),
+            (F.round(F.col("l_extendedprice") * 100).cast("long"), 11),
+        ),
     )
 
 

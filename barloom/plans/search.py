@@ -143,7 +143,7 @@ def all_signals(df: DataFrame, strategy: str, combos: list[dict], layout: Layout
         "momentum": _crossovers, "rsi": _rsi, "macd": _macd, "mean_reversion": _reversion
     }[strategy]
     d = build(df, layout, combos)
-    kept = [*layout.keys, INDEX, *[c for c in ("ts", "start") if c in df.columns], "open", "close"]
+    kept = [*layout.keys, INDEX, *[c for c in ("ts", "start", "n_rows") if c in df.columns], "open", "close"]
     d = d.select(*kept, F.posexplode("_signals").alias("run", "signal"))
     if strategy != "mean_reversion":
         return d

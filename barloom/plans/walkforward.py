@@ -116,17 +116,14 @@ def assign(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
     )
 
 
-def score_over(metric: str, group) -> Column:
-    """The tuning metric of a run as a window aggregate over its rows."""
-    n = F.count("ret").over(group)
-    mean, std = F.avg("ret").over(group), F.stddev_samp("ret").over(group)
+def score_of(metric: str) -> Column:
+    """The tuning metric of a run as an aggregate over its rows."""
+    n, mean, std = F.count("ret"), F.avg("ret"), F.stddev_samp("ret")
     if metric == "sharpe":
-        flat = (n < 2) | (std < metrics.TINY)
-        return F.when(flat, 0.0).otherwise(mean / std * metrics.ROOT_YEAR)
+        return F.when((n < 2) | (std < metrics.TINY), 0.0).otherwise(mean / std * metrics.ROOT_YEAR)
     if metric == "total_return":
-        first, last = F.min_by("equity", INDEX).over(group), F.max_by("equity", INDEX).over(group)
-        return last / first - 1
-    fall = F.max("drawdown").over(group)
+        return F.max_by("equity", INDEX) / F.min_by("equity", INDEX) - 1
+    fall = F.max("drawdown")
     yearly = F.pow(1 + mean, F.lit(metrics.YEAR)) - 1
     return F.when(fall < metrics.TINY, 0.0).otherwise(yearly / fall)
 
@@ -134,9 +131,9 @@ def score_over(metric: str, group) -> Column:
 def evaluate(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """Simulated bars of all test slices under each window's best run.
 
-    Training and test slices are series of their own, with indicators started afresh, and
-    all runs are simulated on both in one pass. The best run of a window is then a window
-    aggregate over its training rows, so nothing is scanned or joined a second time.
+    Training and test slices are series of their own, with indicators started afresh, placed by one
+    shuffle that both phases read. All runs are simulated on the training slices and fold to a score each;
+    the test slices are simulated under the best run alone.
 
     Equal scores go to the earlier run. A run whose training slice is too short has no score
     and comes last; where the test slice is too short (``ok`` is false) nothing is traded.
@@ -148,35 +145,28 @@ def evaluate(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
     n_of = lambda phase: F.count(F.when(F.col("phase") == phase, 1)).over(whole)
     d = d.withColumns({"_train": n_of("train"), "_test": n_of("test")})
     d = d.filter((F.col("_train") >= MIN_TRAIN) & (F.col("_test") >= MIN_TEST))
-    d = number_rows(d.drop("_train", "_test"), phases)
+    own = F.when(F.col("phase") == "train", F.col("_train")).otherwise(F.col("_test"))
+    d = number_rows(d.withColumn("n_rows", own).drop("_train", "_test"), phases)
 
-    combos = spec.combos
-    rows = search.all_signals(d, spec.strategy, combos, phases)
-    # Ordered like the simulation below, so that all of them share one sort.
-    per_run = Window.partitionBy(*phases.keys, "run").orderBy(INDEX)
-    per_run = per_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    combos, keyed = spec.combos, Layout((*phases.keys, "run"))
     need = F.greatest(
         search.lookup([bars_needed(spec.strategy, p) for p in combos], F.col("run")), F.lit(MIN_RUN)
     )
-    rows = rows.withColumn("ok", F.count(F.lit(1)).over(per_run) >= need)
-    rows = rows.withColumn("signal", F.when(F.col("ok"), F.col("signal")).otherwise(0))
-    keyed = Layout((*phases.keys, "run"))
-    sim = backtest.equity_stats(backtest.simulate(rows, keyed), keyed)
-
-    usable = (F.col("phase") == "train") & F.col("ok")
-    sim = sim.withColumn(
-        "_score", F.when(usable, F.round(score_over(spec.optimize_for, per_run), 10))
-    )
+
+    def signals(phase: str) -> DataFrame:
+        rows = search.all_signals(d.filter(F.col("phase") == phase), spec.strategy, combos, phases)
+        rows = rows.withColumn("ok", F.col("n_rows") >= need)
+        return rows.withColumn("signal", F.when(F.col("ok"), F.col("signal")).otherwise(0))
+
+    tried = backtest.equity_stats(backtest.simulate(signals("train"), keyed), keyed)
+    score = F.when(F.first("ok"), F.round(score_of(spec.optimize_for), 10)).alias("score")
+    scores = tried.groupBy(*SLICE, "run").agg(score)
     # NULL scores sort last: no score counts as the largest negative.
-    order = F.struct(F.coalesce(-F.col("_score"), F.lit(float("inf"))), F.col("run"))
-    candidate = F.when(F.col("phase") == "train", order)
-    best = F.min_by(F.struct("run", F.col("_score").alias("score")), candidate)
-    sim = sim.withColumn("_best", best.over(whole))
-    return (
-        sim.filter((F.col("phase") == "test") & (F.col("run") == F.col("_best.run")))
-        .withColumn("train_score", F.col("_best.score"))
-        .drop("phase", "_score", "_best")
-    )
+    order = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))), F.col("run"))
+    best = scores.groupBy(*SLICE).agg(F.min_by(F.struct("run", "score"), order).alias("_best"))
+    chosen = signals("test").join(best, list(SLICE)).filter(F.col("run") == F.col("_best.run"))
+    chosen = chosen.withColumn("train_score", F.col("_best.score")).drop("_best")
+    return backtest.equity_stats(backtest.simulate(chosen, keyed), keyed).drop("phase", "n_rows")
 
 
 def results(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:

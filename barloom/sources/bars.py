@@ -8,6 +8,8 @@ map-side before the shuffle.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,10 +71,31 @@ def scan_bars(df: DataFrame, start: str | None = None, end: str | None = None) -
     return df
 
 
+def order_key(*parts: tuple[Column, int]) -> Column:
+    """Whole numbers of at least zero, each with its most digits (38 in all), as one number in the
+    same order. Folds by a number keep it in a hash table, where a struct would have all rows sorted."""
+    out, shift = None, 0
+    for part, digits in reversed(parts):
+        value = part.cast("decimal(38,0)")
+        if shift:
+            value = (value * F.lit(Decimal(10) ** shift).cast("decimal(38,0)")).cast("decimal(38,0)")
+        out = value if out is None else (out + value).cast("decimal(38,0)")
+        shift += digits
+    if shift > 38:
+        raise ValueError("an order key holds 38 digits")
+    return out
+
+
+def tick_order(ts: str = "ts", seq: str = "seq") -> Column:
+    """Time, then sequence number."""
+    return order_key((F.unix_micros(F.col(ts).cast("timestamp")), 18), (F.col(seq), 19))
+
+
 def ohlcv(
     rows: DataFrame, keys: list[str], price: Column, size: Column, order: Column
 ) -> DataFrame:
-    """Fold priced rows into bars; ``order`` must be total inside a bar."""
+    """Fold priced rows into bars; ``order`` must be total inside a bar, and a number lets
+    the rows fold without being sorted."""
     rows = rows.select(*keys, price.alias("_p"), size.alias("_q"), order.alias("_o"))
     return rows.groupBy(*keys).agg(
         F.min_by("_p", "_o").alias("open"),
@@ -102,7 +125,7 @@ def resample(ticks: DataFrame, interval: str) -> DataFrame:
         ["symbol", "bar_ts"],
         F.col("price"),
         F.col("size"),
-        F.struct("ts", "seq"),
+        tick_order(),
     )
     return bars.withColumnRenamed("bar_ts", "ts")
 

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.sources.bars import tick_order
+
 #: How far a tick may lag behind the newest one and still count.
 DELAY = "1 day"
 
 
 def candles(ticks: DataFrame, interval: str = "1 hour", delay: str = DELAY) -> DataFrame:
     """OHLCV per symbol and window. In append mode only closed candles come out."""
-    order = F.struct("ts", "seq")
+    order = tick_order()
     rows = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", interval)).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),

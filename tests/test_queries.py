@@ -13,7 +13,9 @@ NAMES = [
     "portfolio_totals", "alert_registry", "doc_dedup", "build_context", "stream_sessions",
     "range_minmax", "range_agg", "tfidf_vectors", "mmr_rerank_five", "post_normalize", "history_page",
     "position_checks", "compare_checks", "config_checks", "compare_rank", "stream_candles_closed",
-    "positions_after_removal",
+    "positions_after_removal", "live_signals", "stream_session_signals", "stream_alerts", "mr_signals_far_exit",
+    "plugin_sources", "user_metrics", "alert_commands", "analysis_sources", "recommend", "mention_join", "ingest_report",
+    "union_sources", "walk_forward_rsi", "shock_recovery", "vector_topk", "citations", "stream_candles_ema", "ema", "rsi",
 ]
 
 
