@@ -11,6 +11,7 @@ from barloom.functions import metrics
 from barloom.operators.series import INDEX, Layout, number_rows, spread
 from barloom.operators.validation import bars_needed
 from barloom.plans import backtest, search
+from barloom.session import materialize
 
 # The smaller grids used here, and the verdict thresholds.
 GRIDS = {
@@ -131,14 +132,14 @@ def score_of(metric: str) -> Column:
 def evaluate(bars: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """Simulated bars of all test slices under each window's best run.
 
-    Training and test slices are series of their own, with indicators started afresh, placed by one
-    shuffle that both phases read. All runs are simulated on the training slices and fold to a score each;
+    Training and test slices are series of their own, with indicators started afresh. Bars are folded
+    and written once, as both phases read them. All runs are simulated on the training slices and fold to a score each;
     the test slices are simulated under the best run alone.
 
     Equal scores go to the earlier run. A run whose training slice is too short has no score
     and comes last; where the test slice is too short (``ok`` is false) nothing is traded.
     """
-    d = assign(bars.select("symbol", "ts", "open", "close"), spec)
+    d = assign(materialize(bars.select("symbol", "ts", "open", "close"), "bars"), spec)
     d = spread(d.select("symbol", "win", "phase", "ts", "open", "close", "start"), *SLICE)
     phases = Layout((*SLICE, "phase"))
     whole = Window.partitionBy(*SLICE)
