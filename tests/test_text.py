@@ -1,7 +1,9 @@
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,6 +131,28 @@ def test_substring_join_equals_brute_force(spark):
     }
 
 
+def test_substrings_are_found_in_parts_of_texts(spark, monkeypatch):
+    needles = ["a", "é", "bé", "ab", "😀", "b a", "abab" * 5]
+    marks = matching.Marks(spark.createDataFrame([(n,) for n in needles], "n string"), "n")
+    rng = random.Random(5)
+    texts = ["x"] + ["".join(rng.choice("abé😀 ") for _ in range(n)) for n in (0, 1, 2, 40, 300)] + [None, "abab" * 6]
+    for part in (1, 7, 1 << 20):
+        monkeypatch.setattr(matching, "SLICE", part)
+        for got in (marks.within(pa.array(texts)), marks.within(pa.array(["abé", *texts])[1:])):
+            assert len(got) == len(texts)
+            for t, found in zip(texts, got.to_pylist()):
+                assert {n for n in needles if n in (t or "")} <= set(found) and all(f in t for f in found)
+
+
+def test_a_long_text_is_searched_in_seconds(spark):
+    text = "the quick brown fox " * 100_000 + "fox jumps"
+    names = spark.createDataFrame([("the", "brown fo"), ("x jum", "slow")], "ticker string, company string")
+    entries = spark.createDataFrame([("f", 1, None, text)], "feed string, pos long, title string, summary string")
+    start = time.perf_counter()
+    got = documents.mentions(entries, names, per_feed=None).collect()
+    assert {r["ticker"] for r in got} == {"the", "x jum"} and time.perf_counter() - start < 15
+
+
 def test_topk_paths_agree_with_numpy(spark):
     rng = np.random.default_rng(0)
     corpus, asks = rng.normal(size=(200, 8)), rng.normal(size=(5, 8))
