@@ -264,27 +264,17 @@ def union_sources(spark, d):
     )
 
 
-def turn_shares(options: dict) -> list[int]:
-    """Row groups of the conversations file."""
-    import pyarrow.parquet as pq
-
-    return list(range(pq.ParquetFile(options["path"]).num_row_groups))
-
-
-def turn_documents(share: int, options: dict):
-    """The turns of one row group as documents, batch by batch."""
+def turn_documents(turns):
+    """A batch of turns as documents."""
     import pyarrow as pa
     import pyarrow.compute as pc
-    import pyarrow.parquet as pq
 
-    rows = pq.ParquetFile(options["path"]).iter_batches(row_groups=[share], columns=["conv_id", "turn", "role", "text"])
-    for batch in rows:
-        role, text = batch.column("role"), batch.column("text")
-        url = pc.binary_join_element_wise(
-            "https://example.com/c", batch.column("conv_id").cast("string"), batch.column("turn").cast("string"), "/"
-        )
-        day = pa.array(["2024-02-01"] * batch.num_rows)
-        yield pa.RecordBatch.from_arrays([text, pc.utf8_upper(role), pa.array(["turns"] * batch.num_rows), day, url], ["content", "ticker", "source", "date", "url"])
+    role, text = turns.column("role").cast("string"), turns.column("text").cast("string")
+    url = pc.binary_join_element_wise(
+        "https://example.com/c", turns.column("conv_id").cast("string"), turns.column("turn").cast("string"), "/"
+    )
+    day, source = (pa.array([value] * turns.num_rows, "string") for value in ("2024-02-01", "turns"))
+    return pa.RecordBatch.from_arrays([text, pc.utf8_upper(role), source, day, url], ["content", "ticker", "source", "date", "url"])
 
 
 def benchmark_documents(spark, options: dict):
@@ -295,8 +285,9 @@ def benchmark_documents(spark, options: dict):
     )
 
 
-plugins.register_source(
-    "conversation_turns", "content string, ticker string, source string, date string, url string", turn_shares, turn_documents
+plugins.register_parquet_source(
+    "conversation_turns", ["conv_id", "turn", "role", "text"],
+    "content string, ticker string, source string, date string, url string", turn_documents,
 )
 plugins.register_loader("benchmark_items", benchmark_documents)
 

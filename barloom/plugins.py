@@ -104,6 +104,63 @@ def register_source(name: str, schema: str, split: Callable[[dict], Iterable], r
     register_loader(name, load)
 
 
+def _opened(path: str):
+    """(file system, path in it) if Python can open ``path``, else None."""
+    import pyarrow as pa
+    import pyarrow.fs as fs
+
+    try:
+        store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        return (store, inner) if store.get_file_info(inner).type != fs.FileType.NotFound else None
+    except (pa.ArrowInvalid, OSError):
+        return None
+
+
+def _parquet_shares(options: dict) -> list[tuple[str, int]]:
+    """(file, row group) of a Parquet file, or of all those of a folder but hidden ones."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    store, path = _opened(options["path"])
+    files = [path]
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        inside = store.get_file_info(fs.FileSelector(path, recursive=True))
+        names = (f.path for f in inside if f.type == fs.FileType.File)
+        files = sorted(f for f in names if not any(p[0] in "._" for p in f[len(path) :].split("/") if p))
+    shares = []
+    for file in files:
+        with store.open_input_file(file) as f:
+            shares += [(file, k) for k in range(pq.ParquetFile(f).num_row_groups)]
+    return shares
+
+
+def register_parquet_source(name: str, columns: list[str], schema: str, convert: Callable) -> None:
+    """Add a document source over the ``columns`` of Parquet files in ``path``, written in Python:
+    ``convert(batch)`` makes an Arrow batch of ``schema`` from one of the files.
+
+    Where Python can open the path, it is a data source whose tasks read a row group each. In a store that
+    only Spark reaches, Spark reads the columns and hands the batches to the same function.
+    """
+
+    def read(share: tuple[str, int], options: dict) -> Iterator:
+        import pyarrow.parquet as pq
+
+        file, group = share
+        store, _ = _opened(options["path"])
+        with store.open_input_file(file) as f:
+            yield from map(convert, pq.ParquetFile(f).iter_batches(row_groups=[group], columns=columns))
+
+    register_source(name, schema, _parquet_shares, read)
+    by_python = LOADERS[name]
+
+    def load(spark: SparkSession, options: dict) -> DataFrame:
+        if _opened(options["path"]):
+            return by_python(spark, options)
+        return spark.read.parquet(options["path"]).select(*columns).mapInArrow(lambda batches: map(convert, batches), schema)
+
+    register_loader(name, load)
+
+
 def load_all(spark: SparkSession, options: dict[str, dict]) -> DataFrame:
     """Union of the named sources, each with its own options."""
     from barloom.sources.documents import union_sources

@@ -4,11 +4,14 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import barloom.catalog.text  # noqa: F401  (registers the loaders)
+from barloom import plugins
 from barloom.functions import text as tx
 from barloom.operators import chunking, matching, retrieval, sentiment
 from barloom.sources import chunk_store, documents, export, history
@@ -268,3 +271,19 @@ def test_tables_on_disk(spark, tmp_path):
     export.csv(spark.createDataFrame(text, "note string, v double").coalesce(1), out)
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(out)
     assert {(r[0], float(r[1]) if r[1] else None) for r in back.collect()} == set(text)
+
+
+def test_parquet_sources_read_files_folders_and_stores(spark, tmp_path):
+    rows = [(i, i % 3, "user" if i % 2 else None, f"text {i}" if i % 5 else None) for i in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    folder = tmp_path / "in" / "conversations.parquet"
+    turns.repartition(4).write.parquet(str(folder))
+    (folder / "_hidden.parquet").write_bytes(b"no Parquet")
+    (folder / "more").mkdir()
+    pq.write_table(turns.toArrow(), tmp_path / "one.parquet", row_group_size=7)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.only.link./in", f"file://{tmp_path}/in")
+    want = sorted((t or "", (r or "").upper(), f"https://example.com/c/{c}/{n}") for c, n, r, t in rows)
+    for path in (tmp_path / "one.parquet", folder, f"file://{folder}", "viewfs://only/in/conversations.parquet"):
+        got = plugins.load_all(spark, {"conversation_turns": {"path": str(path)}})
+        assert sorted((r["content"] or "", r["ticker"] or "", r["url"]) for r in got.collect()) == want
