@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ SAMPLE_VECTORS = 20_000
 MAX_CELLS = 1024
 #: Recall that the number of probed cells must reach on the sample.
 RECALL = 0.97
+#: Term counts in a block of documents, and documents that are split into words together.
+BLOCK_TERMS = 1 << 20
+SPLIT_ROWS = 512
 
 # Retrieval defaults and the context budget.
 N_RESULTS, FETCH_K, LAMBDA = 5, 20, 0.5
@@ -246,24 +251,104 @@ class CellIndex:
         return near.join(full, "query_id", "left_semi").union(vector_topk(self.corpus, short, k))
 
 
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+
+def _counted(docs: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, terms, n): the different words of each document and how often each is there."""
+    named = docs.column("doc_id").dictionary_encode("encode")
+    words = pc.ascii_split_whitespace(docs.column("content").cast(pa.string()))
+    flat = pc.list_flatten(words).dictionary_encode()
+    row = pc.list_parent_indices(words).to_numpy()
+    kinds = max(1, len(flat.dictionary))
+    keys = named.indices.to_numpy()[row] * np.int64(kinds) + flat.indices.to_numpy()
+    keys, n = np.unique(keys[pc.not_equal(flat.dictionary, "").to_numpy(zero_copy_only=False)[keys % kinds]], return_counts=True)
+    per = np.bincount(keys // kinds, minlength=len(named.dictionary))
+    terms = flat.dictionary.take(pa.array(keys % kinds))
+    return pa.RecordBatch.from_arrays([named.dictionary, _lists(terms, per), _lists(pa.array(n, pa.int64()), per)], ["doc_id", "terms", "n"])
+
+
+def _merged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows of one document as one: their different terms and the sums of their counts."""
+    columns = [pa.concat_arrays([pc.list_flatten(r.column(c)) for r in rows]) for c in ("terms", "n")]
+    sums = pa.table(columns, ["term", "n"]).group_by("term", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    terms, n = sums.column("term").combine_chunks(), sums.column("n_sum").combine_chunks()
+    return pa.RecordBatch.from_arrays([rows[0].column("doc_id"), _lists(terms, [len(terms)]), _lists(n, [len(n)])], rows[0].schema.names)
+
+
+def _block(block: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a block, and one row more for how many of them have each of its terms."""
+    terms = pa.concat_arrays([pc.list_flatten(r.column("terms")) for r in rows]).value_counts()
+    lists = (_lists(terms.field(k), [len(terms)]) for k in ("values", "counts"))
+    whole = pa.RecordBatch.from_arrays([pa.nulls(1, rows[0].column("doc_id").type), *lists], rows[0].schema.names)
+    for part, is_whole in [*((r, False) for r in rows), (whole, True)]:
+        n = part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *part.columns, pa.array(np.full(n, is_whole))], ["block", *part.schema.names, "whole"])
+
+
+def _term_blocks(
+    batches: Iterator[pa.RecordBatch], block_terms: int = BLOCK_TERMS, split_rows: int = SPLIT_ROWS
+) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over documents in the order of their id: term counts in blocks of about
+    ``block_terms``. A document lies in one block, also if it comes in several rows."""
+    block = TaskContext.get().partitionId() << 32
+    ready, size, last = [], 0, None
+    for batch in batches:
+        for at in range(0, batch.num_rows, split_rows):
+            rows = _counted(batch.slice(at, split_rows))
+            if last is not None and last.column("doc_id").equals(rows.column("doc_id").slice(0, 1)):
+                # the last document goes on
+                last, rows = _merged([last, rows.slice(0, 1)]), rows.slice(1)
+            if not rows.num_rows:
+                continue
+            done = [rows.slice(0, rows.num_rows - 1)] if last is None else [last, rows.slice(0, rows.num_rows - 1)]
+            last = rows.slice(rows.num_rows - 1)
+            ready += done
+            size += sum(len(pc.list_flatten(r.column("terms"))) for r in done)
+            if size >= block_terms:
+                yield from _block(block, ready)
+                block, ready, size = block + 1, [], 0
+    if last is not None:
+        yield from _block(block, [*ready, last])
+
+
+def _weights(docs: pa.Table, idf: pa.Table) -> pa.Table:
+    """Weights of the documents of a block; terms that ``idf`` lacks have none."""
+    terms, n = pc.list_flatten(docs.column("terms")).combine_chunks(), pc.list_flatten(docs.column("n")).to_numpy()
+    row = np.repeat(np.arange(docs.num_rows), pc.list_value_length(docs.column("n")).to_numpy())
+    at = pc.index_in(terms, value_set=idf.column("term").combine_chunks())
+    known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+    at, row = at.drop_null().to_numpy(), row[known]
+    w = n[known] * idf.column("idf").to_numpy()[at]
+    length = np.sqrt(np.bincount(row, w * w, minlength=docs.num_rows))
+    return pa.table([docs.column("doc_id").take(pa.array(row)), terms.filter(pa.array(known)), pa.array(w / length[row])], ["doc_id", "term", "weight"])
+
+
 def tfidf(docs: DataFrame) -> DataFrame:
     """Unit-length TF-IDF vectors of ``docs(doc_id, content)`` as ``(doc_id, term, weight)``.
 
     Terms are words in lower case, every one of them kept apart. The weight is the count times
-    ``ln((n + 1) / (df + 1))`` over the length of the vector; terms of weight 0 are left out. Texts
-    are split once: their counts are written, and all else is computed from these. ``doc_id`` is unique.
+    ``ln((n + 1) / (df + 1))`` over the length of the vector; terms of weight 0 are left out. Rows of
+    one ``doc_id`` are one document.
+
+    Texts are split once: their counts are written, a row per document, in blocks of bounded size, with
+    the different terms of each block. Only these meet by term; what they weigh goes back
+    to their block, which then has all that its documents need.
     """
-    words = F.filter(F.split(F.lower("content"), r"\s"), lambda w: w != "")
-    numbered = docs.select("doc_id", F.explode_outer(words).alias("term"))
-    counts = materialize(numbered.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "term-counts")
-    rows = counts.agg(F.count_distinct("doc_id").alias("n"))
-    counts = counts.where("term is not null")
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(rows))
-    idf = df.select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")).where("idf <> 0")
-    raw = counts.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    whole = Window.partitionBy("doc_id")
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))
-    return raw.select("doc_id", "term", (F.col("w") / length).alias("weight"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.lower("content").alias("content")).repartition("doc_id").sortWithinPartitions("doc_id")
+    counts = rows.mapInArrow(_term_blocks, f"block long, doc_id {kind}, terms array<string>, n array<long>, whole boolean")
+    counts = materialize(counts, "term-counts")
+    vectors = counts.where("not whole")
+    total = vectors.agg(F.count("doc_id").alias("total"))
+    parts = counts.where("whole").select("block", F.explode(F.arrays_zip("terms", "n")).alias("part"))
+    parts = parts.select("block", F.col("part.terms").alias("term"), F.col("part.n").alias("df"))
+    df = parts.withColumn("df", F.sum("df").over(Window.partitionBy("term"))).crossJoin(F.broadcast(total))
+    idf = df.select(F.col("block").alias("home"), "term", F.log((F.col("total") + 1) / (F.col("df") + 1)).alias("idf")).where("idf <> 0")
+    met = vectors.select("block", "doc_id", "terms", "n").groupBy("block").cogroup(idf.groupBy("home"))
+    return met.applyInArrow(_weights, f"doc_id {kind}, term string, weight double")
 
 
 def mmr(hits: DataFrame, k: int = N_RESULTS, weight: float = LAMBDA) -> DataFrame:

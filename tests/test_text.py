@@ -1,6 +1,7 @@
 import math
 import random
 import time
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,34 @@ def test_topk_paths_agree_with_numpy(spark):
     assert retrieval.vector_topk(c, q, 500).groupBy("query_id").count().first()["count"] == 200
 
 
+def test_tfidf_shuffles_no_row_per_term_of_a_document(spark, monkeypatch):
+    """Blocks of a few terms and slices of a row give the weights of one pass, and only a block's
+    different terms meet by term."""
+    rng = random.Random(8)
+    docs = [(rng.randrange(40), " ".join(rng.choice(["The", "the", "of", "a\tb", "É", "x" * rng.randrange(1, 5)]) for _ in range(rng.randrange(30)))) for _ in range(60)]
+    docs += [(100, None), (101, ""), (102, " \n "), (103, "the the once")]
+    counts = {}
+    for i, text in docs:
+        for w in (text or "").lower().split():
+            counts[i, w] = counts.get((i, w), 0) + 1
+    n, df = len({i for i, _ in docs}), {}
+    for _, w in counts:
+        df[w] = df.get(w, 0) + 1
+    raw = {(i, w): c * math.log((n + 1) / (df[w] + 1)) for (i, w), c in counts.items()}
+    length = {i: math.sqrt(sum(v * v for (j, _), v in raw.items() if j == i)) for i, _ in docs}
+    want = {k: v / length[k[0]] for k, v in raw.items() if v}
+    frame = spark.createDataFrame(docs, "doc_id long, content string")
+    for terms, rows in ((1 << 20, 512), (5, 1)):
+        blocks = partial(retrieval._term_blocks, block_terms=terms, split_rows=rows)
+        monkeypatch.setattr(retrieval, "_term_blocks", blocks)
+        out = retrieval.tfidf(frame)
+        got = {(r["doc_id"], r["term"]): r["weight"] for r in out.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        monkeypatch.undo()
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "doc_id" not in plan.partition("Window")[2].split("\n")[0]
+
+
 def recall_and_share(index, corpus, queries, k=10):
     """Recall of the index against the exact search and the share of all pairs that it meets."""
     pairs = lambda hits: {(r["query_id"], r["vec_id"]) for r in hits.collect()}
