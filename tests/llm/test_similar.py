@@ -3,8 +3,10 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from barloom.llm import similar
+from barloom.llm import simhash, similar
 
 STAGE = dict(cp.STAGES)
 BLANK = " \t\n\x0b\x0c\r"
@@ -89,3 +91,17 @@ def _sets(rows):
     import pyarrow as pa
 
     return similar.shingle_sets(pa.array([t for _, t in rows]))
+
+
+def test_stage_links_through_the_byte_index(spark, monkeypatch):
+    """Without the prefix join the stage still folds similar texts with near fingerprints."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(base if i == 0 else edited(rng, base, 1))) for i in range(6)] + [(9, "some other words that stand alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [r.fp for r in simhash.fingerprints(docs, 5).orderBy("doc_id").collect()]
+    near = [i for i in range(1, 6) if ((fps[0] ^ fps[i]) & (2**64 - 1)).bit_count() <= simhash.RADIUS]
+    assert near and kept(rows) == {0, 9}
+    monkeypatch.setattr(similar, "_may_link", lambda *_: F.lit(False))
+    got = {r.doc_id for r in STAGE["near dedup"](spark, docs, "").collect()}
+    assert {0, 9} <= got and not got & set(near)
