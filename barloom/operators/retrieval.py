@@ -25,7 +25,7 @@ MAX_CELLS = 1024
 #: Recall that the number of probed cells must reach on the sample.
 RECALL = 0.97
 #: Term counts in a block of documents, and documents that are split into words together.
-BLOCK_TERMS = 1 << 20
+BLOCK_TERMS = 1 << 22
 SPLIT_ROWS = 512
 
 # Retrieval defaults and the context budget.
@@ -279,19 +279,21 @@ def _merged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _block(block: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of a block, and one row more for how many of them have each of its terms."""
+    """The documents of a block, and one row more for how many of them have each of its terms. The
+    terms of a row are joined by spaces, which take less room than a list."""
     terms = pa.concat_arrays([pc.list_flatten(r.column("terms")) for r in rows]).value_counts()
     lists = (_lists(terms.field(k), [len(terms)]) for k in ("values", "counts"))
     whole = pa.RecordBatch.from_arrays([pa.nulls(1, rows[0].column("doc_id").type), *lists], rows[0].schema.names)
     for part, is_whole in [*((r, False) for r in rows), (whole, True)]:
-        n = part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *part.columns, pa.array(np.full(n, is_whole))], ["block", *part.schema.names, "whole"])
+        columns = [part.column("doc_id"), pc.binary_join(part.column("terms"), " "), part.column("n")]
+        block_of, kind = pa.array(np.full(part.num_rows, block)), pa.array(np.full(part.num_rows, is_whole))
+        yield pa.RecordBatch.from_arrays([block_of, *columns, kind], ["block", "doc_id", "terms", "n", "whole"])
 
 
 def _term_blocks(
     batches: Iterator[pa.RecordBatch], block_terms: int = BLOCK_TERMS, split_rows: int = SPLIT_ROWS
 ) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow`` over documents in the order of their id: term counts in blocks of about
+    """For ``mapInArrow`` over documents, rows of one id side by side: term counts in blocks of about
     ``block_terms``. A document lies in one block, also if it comes in several rows."""
     block = TaskContext.get().partitionId() << 32
     ready, size, last = [], 0, None
@@ -316,7 +318,8 @@ def _term_blocks(
 
 def _weights(docs: pa.Table, idf: pa.Table) -> pa.Table:
     """Weights of the documents of a block; terms that ``idf`` lacks have none."""
-    terms, n = pc.list_flatten(docs.column("terms")).combine_chunks(), pc.list_flatten(docs.column("n")).to_numpy()
+    terms, n = pc.list_flatten(pc.ascii_split_whitespace(docs.column("terms"))).combine_chunks(), pc.list_flatten(docs.column("n")).to_numpy()
+    terms = terms.filter(pc.not_equal(terms, ""))
     row = np.repeat(np.arange(docs.num_rows), pc.list_value_length(docs.column("n")).to_numpy())
     at = pc.index_in(terms, value_set=idf.column("term").combine_chunks())
     known = pc.is_valid(at).to_numpy(zero_copy_only=False)
@@ -333,18 +336,24 @@ def tfidf(docs: DataFrame) -> DataFrame:
     ``ln((n + 1) / (df + 1))`` over the length of the vector; terms of weight 0 are left out. Rows of
     one ``doc_id`` are one document.
 
-    Texts are split once: their counts are written, a row per document, in blocks of bounded size, with
-    the different terms of each block. Only these meet by term; what they weigh goes back
-    to their block, which then has all that its documents need.
+    Texts are split once, where they are read; only those whose id comes again are moved first. The
+    counts are written, a row per document, in blocks of bounded size, with the different terms of
+    each block. Only these meet by term; what they weigh goes back to their block, which then
+    has all that its documents need.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.lower("content").alias("content")).repartition("doc_id").sortWithinPartitions("doc_id")
-    counts = rows.mapInArrow(_term_blocks, f"block long, doc_id {kind}, terms array<string>, n array<long>, whole boolean")
-    counts = materialize(counts, "term-counts")
+    rows = docs.select("doc_id", F.lower("content").alias("content"))
+    again = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
+    again = materialize(again.select("_id"), "repeated-ids")
+    repeated = F.col("doc_id").eqNullSafe(F.col("_id"))
+    together = rows.join(again, repeated, "left_semi").repartition("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.join(again, repeated, "left_anti").union(together)
+    counts = rows.mapInArrow(_term_blocks, f"block long, doc_id {kind}, terms string, n array<long>, whole boolean")
+    counts = materialize(counts, "term-counts", "zstd")
     vectors = counts.where("not whole")
     total = vectors.agg(F.count("doc_id").alias("total"))
-    parts = counts.where("whole").select("block", F.explode(F.arrays_zip("terms", "n")).alias("part"))
-    parts = parts.select("block", F.col("part.terms").alias("term"), F.col("part.n").alias("df"))
+    parts = counts.where("whole").select("block", F.explode(F.arrays_zip(F.split("terms", " ").alias("term"), "n")).alias("part"))
+    parts = parts.select("block", F.col("part.term").alias("term"), F.col("part.n").alias("df")).where("term <> ''")
     df = parts.withColumn("df", F.sum("df").over(Window.partitionBy("term"))).crossJoin(F.broadcast(total))
     idf = df.select(F.col("block").alias("home"), "term", F.log((F.col("total") + 1) / (F.col("df") + 1)).alias("idf")).where("idf <> 0")
     met = vectors.select("block", "doc_id", "terms", "n").groupBy("block").cogroup(idf.groupBy("home"))

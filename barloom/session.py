@@ -66,9 +66,9 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df, label: str):
+def materialize(df, label: str, codec: str | None = None):
     """Cut lineage through a written table, so that a lost executor or a second
-    reader never recomputes what came before."""
+    reader never recomputes what came before. ``codec`` packs a large table tighter."""
     path = shared_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
