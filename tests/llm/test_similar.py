@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from barloom.llm import simhash, similar
+from barloom.llm.tables import saved
 
 STAGE = dict(cp.STAGES)
 BLANK = " \t\n\x0b\x0c\r"
@@ -105,3 +106,55 @@ def test_stage_links_through_the_byte_index(spark, monkeypatch):
     monkeypatch.setattr(similar, "_may_link", lambda *_: F.lit(False))
     got = {r.doc_id for r in STAGE["near dedup"](spark, docs, "").collect()}
     assert {0, 9} <= got and not got & set(near)
+
+
+def test_stage_leaves_one_row_of_groups_that_share_or_lack_an_id(spark):
+    rng = random.Random(8)
+    base, lone, other = ([f"{c}{i}" for i in range(100)] for c in "abc")
+    text = lambda words, n: " ".join(edited(rng, words, n))
+    twice = text(other, 1)
+    rows = [(5, text(base, k)) for k in (0, 1, 1)] + [(None, text(base, 1)), (8, text(base, 1)), (8, "some other words that stand alone")]
+    rows += [(None, text(lone, k)) for k in (0, 1, 1)] + [(7, twice), (7, twice), (9, text(other, 0))]
+    got = [(r.doc_id, r.text[0]) for r in STAGE["near dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(got, key=str) == sorted([(5, "a"), (8, "s"), (None, "b"), (7, "c")], key=str)
+
+
+def spam(tails):
+    """Texts whose fingerprint is that of one repeated shingle, whatever follows."""
+    return [(i, " ".join(["spam"] * 400 + tail)) for i, tail in enumerate(tails)]
+
+
+def test_index_takes_every_text_and_all_its_links(spark, monkeypatch):
+    """With a prefix join that finds nothing, all similar texts with linked fingerprints are folded."""
+    rng = random.Random(9)
+    tails = [[f"w{rng.randrange(10**9)}" for _ in range(60)] for _ in range(9)]
+    rows = spam([*tails, [*tails[0][:-1], "end"], [*tails[1][:-1], "end"], [*tails[1][:-2], "the", "end"]])
+    names = [similar.digest(s) for s in _sets(rows)]
+    assert {0, 9, 1, 10, 11}.isdisjoint({names.index(min(names))}) and kept(rows) == set(range(9))
+    starts, postings = similar._starts, similar._postings
+
+    def shut(size, least):
+        run = starts(size, least)
+
+        def emptied(batches):
+            import pyarrow as pa
+
+            for batch in run(batches):
+                none = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+                yield batch.set_column(batch.schema.get_field_index("start"), "start", none)
+
+        return emptied
+
+    monkeypatch.setattr(similar, "_starts", shut)
+    monkeypatch.setattr(similar, "_postings", lambda *a: saved(postings(*a).where("false"), "posted"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in STAGE["near dedup"](spark, docs, "").collect()} == set(range(9))
+
+
+def test_links_beyond_a_full_fingerprint_meet_in_the_prefix_join(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PAIRS", 4)
+    rng = random.Random(10)
+    tails = [[f"w{rng.randrange(10**9)}" for _ in range(60)] for _ in range(12)]
+    rows = spam([*tails, *([*t[:-1], "end"] for t in tails)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in STAGE["near dedup"](spark, docs, "").collect()} == kept(rows) == set(range(12))
